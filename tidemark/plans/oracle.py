@@ -280,4 +280,17 @@ FROM pairs GROUP BY 1, 2""",
 SELECT series_id, 'train' AS series_name, pos AS idx, {r('value')} AS value FROM scored WHERE split = 'train'
 UNION ALL SELECT series_id, 'actual', pos - 1, {r('value')} FROM scored WHERE split = 'test'
 UNION ALL SELECT series_id, 'predicted', pos, {r('predict')} FROM scored WHERE split = 'test'""",
+    "bars_from_csv": f"WITH {BARS} SELECT date, symbol, {F5} FROM bars WHERE symbol = 'A'",
+    "series_from_text": f"""WITH {VECTORS}, lines AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS line_no FROM embeddings)
+SELECT line_no, CAST(floor(line_no / 100) AS INTEGER) AS label, step, floor(value * 10000) AS value
+FROM vectors JOIN lines ON seq_id = vec_id""",
+    "prepared_test_split": f"""WITH {VECTORS}, {EXACT}
+SELECT seq_id, step, {r('value')} AS value, label FROM vectors JOIN exact ON seq_id = vec_id WHERE split = 'test'""",
 }
+
+STATE = f"""WITH {SERIES}
+SELECT a.series_id, a.event_id,
+       {r("sum(CASE WHEN b.pos = 0 THEN 1 ELSE 0.3 END * power(CAST(0.7 AS DOUBLE), a.pos - b.pos) * b.value)", 4)} AS state
+FROM series a JOIN series b ON a.series_id = b.series_id AND b.pos <= a.pos GROUP BY 1, 2"""
+ORACLE |= {"stateful_score_batch": STATE, "stateful_score_stream": STATE}

@@ -10,11 +10,27 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.columns import BAR_FEATURES, VECTOR_FEATURES, rounded
-from tidemark.operators import alignment, evaluation, forecasting, overlay, scaling, splitting, windowing
+from tidemark.operators import (
+    alignment,
+    evaluation,
+    forecasting,
+    overlay,
+    scaling,
+    splitting,
+    stateful,
+    training,
+    windowing,
+)
 from tidemark.operators.joins import join_on_key
+from tidemark.operators.learners import Learner, Updater
 from tidemark.operators.ordering import Chunked, number_rows
+from tidemark.operators.training import Averaging
 from tidemark.plans import adapters as A
-from tidemark.sources.bars import typed_bars
+from tidemark.session import new_folder
+from tidemark.sources.bars import read_bars, typed_bars
+from tidemark.sources.prepared import read_prepared, write_prepared
+from tidemark.sources.sequences import explode_line, read_series_text
+from tidemark.streaming.stateful import exponential_state_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,8 +274,6 @@ def window_step_totals(spark, folder):
 
 @query
 def text_series_explode(spark, folder):
-    from tidemark.sources.sequences import explode_line
-
     return A.text_series(spark, folder).select(F.col("vec_id").alias("line_no"), explode_line(F.col("line")))
 
 
@@ -422,3 +436,153 @@ def overlay_series(spark, folder):
     rows = forecasting.predict_next(fitted.rows.where(forecasting.fitted_series(["value"])), ["value"])
     lines = overlay.train_actual_predicted(rows, ["series_id"], "value")
     return lines.withColumn("value", rounded(F.col("value")))
+
+
+# --- written and read back -------------------------------------------------
+
+
+@query
+def bars_from_csv(spark, folder):
+    path = new_folder(spark, "bars")
+    A.bars(spark, folder).select("date", "symbol", *BAR_FEATURES).write.csv(path, header=True)
+    return read_bars(spark, path, symbol="A")
+
+
+@query
+def series_from_text(spark, folder):
+    path = new_folder(spark, "lines")
+    A.text_series(spark, folder).orderBy("vec_id").select("line").write.text(path)
+    return read_series_text(spark, path, across_files=True)
+
+
+@query
+def prepared_test_split(spark, folder):
+    path = new_folder(spark, "prepared")
+    embeddings = splitting.split_exact(A.table(spark, folder, "embeddings"), "vec_id", N_TRAIN, SHUFFLE_SEED)
+    features = embeddings.select(F.col("vec_id").alias("seq_id"), "split", F.posexplode("embedding").alias("step", "value"))
+    labels = embeddings.select(F.col("vec_id").alias("seq_id"), "split", "label")
+    write_prepared(features.withColumn("value", F.col("value").cast("double")), labels, path)
+    features, labels = read_prepared(spark, path, "test")
+    joined = features.drop("split").join(labels.drop("split"), "seq_id")
+    return joined.select("seq_id", "step", rounded(F.col("value")).alias("value"), "label")
+
+
+# --- state and training ----------------------------------------------------
+
+ALPHA = 0.3
+
+
+@query
+def stateful_score_batch(spark, folder):
+    scored = stateful.exponential_state(A.series(spark, folder), ["series_id"], SERIES_ORDER, "value", ALPHA)
+    return scored.select("series_id", "event_id", rounded(F.col("state"), 4).alias("state"))
+
+
+@query
+def stateful_score_stream(spark, folder):
+    """The same scores from a stream that is run until its input is used up."""
+    schema = A.table(spark, folder, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    scored = exponential_state_stream(stream, ["user_id"], SERIES_ORDER, "value", ALPHA)
+    path = new_folder(spark, "scores")
+    run = (
+        scored.writeStream.format("parquet")
+        .option("path", f"{path}/rows")
+        .option("checkpointLocation", f"{path}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.select(F.col("user_id").alias("series_id"), "event_id", rounded(F.col("state"), 4).alias("state"))
+
+
+def window_examples(spark: SparkSession, folder: str, length: int) -> DataFrame:
+    """Windows of scaled values (x) with the scaled next value (y, label), by split."""
+    rows = scaling.scale_series(numbered_series(spark, folder), ["value"], F.col("split") == "train")
+    scaled_next = C.min_max(F.col("next_value"), F.col("value_min"), F.col("value_max"))
+    rows = rows.map(lambda df: df.withColumn("scaled_next", scaled_next))
+    windows = windowing.window_arrays(rows, ["value_scaled", "scaled_next"], length)
+    label = F.element_at("steps", -1)["scaled_next"]
+    return windows.select(
+        "series_id",
+        "window_id",
+        F.transform("steps", lambda s: s["value_scaled"]).alias("x"),
+        F.array(label).alias("y"),
+        label.alias("label"),
+        F.when(F.col("window_id") + length < F.col("n_train"), "train").otherwise("test").alias("split"),
+    )
+
+
+def vector_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings (x) with their class (label, one-hot y), by exact split."""
+    rows = splitting.split_exact(A.table(spark, folder, "embeddings"), "vec_id", N_TRAIN, SHUFFLE_SEED)
+    return rows.select(
+        F.col("vec_id").alias("seq_id"),
+        F.col("embedding").cast("array<double>").alias("x"),
+        F.transform(C.one_hot(F.col("label"), CLASSES), lambda c: c.cast("double")).alias("y"),
+        "label",
+        "split",
+    )
+
+
+def clinical_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per sequence: mean of each measurement (x), class (label, one-hot y)."""
+    means = A.clinical(spark, folder).groupBy("seq_id").agg(
+        F.array(*[F.avg(t) / 50 for t in A.EVENT_TYPES]).alias("x")
+    )
+    rows = means.join(A.clinical_labels(spark, folder), "seq_id")
+    rows = rows.withColumn("y", F.transform(C.one_hot(F.col("label"), 2), lambda c: c.cast("double")))
+    return splitting.split_by_hash(rows, ["seq_id"], HASH_SHARES, seed=1)
+
+
+def _train_rows(examples: DataFrame) -> DataFrame:
+    return examples.where(F.col("split") == "train")
+
+
+@query
+def train_avg_linear(spark, folder):
+    """Weights of a linear window regressor."""
+    examples = _train_rows(window_examples(spark, folder, 5))
+    model = training.train(
+        examples, ["series_id", "window_id"], Learner("linear", inputs=5, outputs=1),
+        Averaging(workers=8, batch=128, epochs=2), Updater("nesterov", rate=0.05),
+    )
+    from tidemark.sources.models import model_rows
+
+    return model_rows(spark, model, "linear", with_updater=False).where(F.col("epoch").isNull()).select("pos", "value")
+
+
+@query
+def train_avg_softmax(spark, folder):
+    """Predicted class of every embedding, train and test."""
+    examples = vector_examples(spark, folder)
+    model = training.train(
+        _train_rows(examples), ["seq_id"], Learner("softmax", inputs=64, outputs=CLASSES),
+        Averaging(workers=4, batch=10, epochs=3), Updater("adam", rate=0.02, l2=1e-4),
+    )
+    scored = training.score(examples, model, ["seq_id", "split", "label"])
+    return scored.select("seq_id", "split", "label", evaluation.argmax(F.col("output")).alias("pred"))
+
+
+@query
+def train_history(spark, folder):
+    """Accuracy, F1 and AUC of the sequence classifier per epoch and split."""
+    examples = clinical_examples(spark, folder)
+    model = training.train(
+        _train_rows(examples), ["seq_id"], Learner("softmax", inputs=len(A.EVENT_TYPES), outputs=2),
+        Averaging(workers=4, batch=40, frequency=3, epochs=3, seed=1234), Updater("adam", rate=0.036),
+    )
+    return training.history(examples, model, "clinical")
+
+
+@query
+def train_avg_recurrent(spark, folder):
+    """Error of the recurrent window regressor per epoch and split."""
+    examples = window_examples(spark, folder, windowing.LENGTH)
+    model = training.train(
+        _train_rows(examples), ["series_id", "window_id"],
+        Learner("recurrent", inputs=windowing.LENGTH, outputs=1, steps=windowing.LENGTH, hidden=8, dropout=0.2),
+        Averaging(workers=8, batch=64, epochs=2), Updater("rmsprop", rate=0.005, l2=1e-4),
+    )
+    return training.history(examples, model, "recurrent")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import block_label
 from tidemark.operators.ordering import number_rows
 
 # Fixed value: numbered files are named after their entity.
@@ -20,13 +21,16 @@ def explode_line(line: Column) -> Column:
     return F.posexplode(numbers).alias("step", "value")
 
 
-def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+def read_lines(
+    spark: SparkSession, path: str | list[str], glob: str | None = None, across_files: bool = False
+) -> DataFrame:
     """Lines with ``file`` and ``line_no`` (from 0), for files of any size.
 
     Spark reads a file in byte blocks. The rows of a block keep their order in
     ``monotonically_increasing_id``, and the blocks have their byte offset, so
     numbering per (file, block) plus the lines in earlier blocks is exact and
-    no task holds more than a block.
+    no task holds more than a block. ``across_files`` counts on from file to
+    file, in order of file names.
     """
     reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
     lines = reader.text(path).select(
@@ -37,7 +41,8 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = No
     )
     within = number_rows(lines, ["file", "block"], ["at"], short=True).rows
     sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"))
-    starts = number_rows(sizes, ["file"], ["block"], running=["lines"], short=True).rows
+    order = ([], ["file", "block"]) if across_files else (["file"], ["block"])
+    starts = number_rows(sizes, *order, running=["lines"], short=True).rows  # one row per block
     return (
         within.join(starts.select("file", "block", "lines_before"), ["file", "block"])
         .withColumn("line_no", F.col("pos") + F.col("lines_before"))
@@ -45,12 +50,12 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = No
     )
 
 
-def read_series_text(spark: SparkSession, path: str | list[str], block: int = 100) -> DataFrame:
+def read_series_text(
+    spark: SparkSession, path: str | list[str], block: int = 100, across_files: bool = False
+) -> DataFrame:
     """One series per line: (line_no, label, step, value); classes come in blocks of lines."""
-    lines = read_lines(spark, path)
-    return lines.select(
-        "line_no", F.floor(F.col("line_no") / F.lit(block)).cast("int").alias("label"), explode_line(F.col("value"))
-    )
+    lines = read_lines(spark, path, across_files=across_files)
+    return lines.select("line_no", block_label(F.col("line_no"), block).alias("label"), explode_line(F.col("value")))
 
 
 def read_numbered_files(
