@@ -20,6 +20,8 @@ from tidemark.operators.learners import Learner, Updater
 from tidemark.operators.ordering import number_rows
 from tidemark.session import new_folder
 
+ROUND_SCHEMA = "worker INT, batch_id LONG, pos LONG, x ARRAY<DOUBLE>, y ARRAY<DOUBLE>, round_id INT"
+
 # Rows of the state matrix, as stored with a model.
 STATE_PARTS = ["weights", "first_moment", "second_moment", "step_count"]
 
@@ -69,7 +71,7 @@ def deal_rounds(examples: DataFrame, ids: Sequence[str], averaging: Averaging) -
         .write.partitionBy("round_id")
         .parquet(path)
     )
-    return examples.sparkSession.read.parquet(path)
+    return examples.sparkSession.read.schema(ROUND_SCHEMA).parquet(path)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:

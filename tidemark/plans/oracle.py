@@ -293,4 +293,10 @@ STATE = f"""WITH {SERIES}
 SELECT a.series_id, a.event_id,
        {r("sum(CASE WHEN b.pos = 0 THEN 1 ELSE 0.3 END * power(CAST(0.7 AS DOUBLE), a.pos - b.pos) * b.value)", 4)} AS state
 FROM series a JOIN series b ON a.series_id = b.series_id AND b.pos <= a.pos GROUP BY 1, 2"""
+POOLED = f"""WITH {SERIES_MODELS}, pooled AS (
+  SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM xy
+  WHERE pos + 1 < n_train AND pos < n_rows - 2)
+SELECT CAST(0 AS INTEGER) AS pos, {r('slope', 5)} AS value FROM pooled
+UNION ALL SELECT 1, {r('intercept', 5)} FROM pooled"""
+ORACLE |= {"fit_pooled_ml": POOLED}
 ORACLE |= {"stateful_score_batch": STATE, "stateful_score_stream": STATE}

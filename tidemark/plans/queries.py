@@ -14,6 +14,7 @@ from tidemark.operators import (
     alignment,
     evaluation,
     forecasting,
+    models,
     overlay,
     scaling,
     splitting,
@@ -28,6 +29,7 @@ from tidemark.operators.training import Averaging
 from tidemark.plans import adapters as A
 from tidemark.session import new_folder
 from tidemark.sources.bars import read_bars, typed_bars
+from tidemark.sources.models import model_rows
 from tidemark.sources.prepared import read_prepared, write_prepared
 from tidemark.sources.sequences import explode_line, read_series_text
 from tidemark.streaming.stateful import exponential_state_stream
@@ -482,7 +484,9 @@ def stateful_score_batch(spark, folder):
 def stateful_score_stream(spark, folder):
     """The same scores from a stream that is run until its input is used up."""
     schema = A.table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    # One file per micro-batch bounds what a series can hold of one batch.
+    options = {"pathGlobFilter": "events.parquet", "maxFilesPerTrigger": "1"}
+    stream = spark.readStream.schema(schema).options(**options).parquet(folder)
     scored = exponential_state_stream(stream, ["user_id"], SERIES_ORDER, "value", ALPHA)
     path = new_folder(spark, "scores")
     run = (
@@ -548,8 +552,6 @@ def train_avg_linear(spark, folder):
         examples, ["series_id", "window_id"], Learner("linear", inputs=5, outputs=1),
         Averaging(workers=8, batch=128, epochs=2), Updater("nesterov", rate=0.05),
     )
-    from tidemark.sources.models import model_rows
-
     return model_rows(spark, model, "linear", with_updater=False).where(F.col("epoch").isNull()).select("pos", "value")
 
 
@@ -586,3 +588,29 @@ def train_avg_recurrent(spark, folder):
         Averaging(workers=8, batch=64, epochs=2), Updater("rmsprop", rate=0.005, l2=1e-4),
     )
     return training.history(examples, model, "recurrent")
+
+
+@query
+def fit_pooled_ml(spark, folder):
+    """One least-squares model of the next scaled value for all series together."""
+    train = _train_rows(window_examples(spark, folder, 1))
+    fitted = models.coefficients(train, models.fit_linear(train))
+    return fitted.select("pos", rounded(F.col("value"), 5).alias("value"))
+
+
+@query
+def fit_windows_ml(spark, folder):
+    """Errors of a least-squares model on whole windows, by split."""
+    examples = window_examples(spark, folder, windowing.LENGTH)
+    scored = models.apply_model(models.fit_linear(_train_rows(examples), l2=1e-4), examples)
+    report = evaluation.regression_report(scored, ["split"], actual="label")
+    return report.select("split", "n", *[rounded(F.col(c), 4).alias(c) for c in ("mse", "mae", "rmse")])
+
+
+@query
+def classify_vectors_ml(spark, folder):
+    """Accuracy and F1 of softmax regression on the embeddings, by split."""
+    examples = vector_examples(spark, folder)
+    model = models.fit_classifier(_train_rows(examples), l2=1e-3)
+    scored = models.apply_model(model, examples).withColumn("pred", F.col("predict").cast("int"))
+    return evaluation.accuracy_f1(scored, ["split"])
