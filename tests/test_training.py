@@ -78,6 +78,13 @@ def test_every_row_is_dealt_once(line):
     assert dealt.groupBy("worker", "batch_id").count().agg(F.max("count")).first()[0] == plan.batch
 
 
+def test_asking_for_rounds(line):
+    dealt = training.deal_rounds(line, ["id"], Averaging(workers=3, batch=8, rounds=4))
+    assert dealt.count() == 600
+    assert sorted(r.round_id for r in dealt.select("round_id").distinct().collect()) == [0, 1, 2, 3]
+    assert dealt.groupBy("worker", "batch_id").agg(F.countDistinct("round_id").alias("n")).where("n > 1").count() == 0
+
+
 def test_one_worker_equals_plain_descent(line):
     learner, updater = Learner("linear", inputs=2, outputs=1), Updater("nesterov", rate=0.05)
     plan = Averaging(workers=1, batch=50, frequency=3, epochs=2)

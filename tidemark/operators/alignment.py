@@ -43,10 +43,7 @@ def pad_to(chunked: Chunked, length: int, values: list[str]) -> Chunked:
 
 def missing_sides(features: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Ids found on one side only, with the side that lacks them."""
-    left = features.select(key).distinct()
-    right = labels.select(key).distinct()
-    return (
-        left.join(right, key, "left_anti")
-        .withColumn("missing", F.lit("label"))
-        .unionByName(right.join(left, key, "left_anti").withColumn("missing", F.lit("features")))
-    )
+    left = features.select(key).distinct().withColumn("_left", F.lit(True))
+    right = labels.select(key).distinct().withColumn("_right", F.lit(True))
+    missing = F.when(F.col("_right").isNull(), "label").when(F.col("_left").isNull(), "features")
+    return left.join(right, key, "full").select(key, missing.alias("missing")).where(F.col("missing").isNotNull())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ratio
 from tidemark.operators.ordering import number_rows
+from tidemark.session import write_through
 
 
 def confusion(df: DataFrame, by: Sequence[str] = (), label: str = "label", pred: str = "pred") -> DataFrame:
@@ -83,14 +84,15 @@ def regression_report(df: DataFrame, by: Sequence[str] = (), actual: str = "actu
 def roc_auc(df: DataFrame, by: Sequence[str], label: str = "label", score: str = "score") -> DataFrame:
     """Exact area under the ROC curve per group; ties count half.
 
-    Rows are first counted per distinct score. The negatives below each score
-    are a running sum, which is cut into chunks when a group is long.
+    Rows are first counted per distinct score, and the counts written once. The
+    negatives below each score are a running sum over them, which is cut into
+    chunks when a group is long.
     """
     positive = (F.col(label) == 1).cast("long")
     counts = df.groupBy(*by, score).agg(
         F.sum(positive).alias("n_pos"), F.sum(1 - positive).alias("n_neg")
     )
-    ranked = number_rows(counts, by, [score], running=["n_neg"]).df
+    ranked = number_rows(write_through(counts, "scores"), by, [score], running=["n_neg"]).df
     below = F.col("n_neg_before").cast("double") + F.col("n_neg").cast("double") / 2
     return ranked.groupBy(*by).agg(
         F.sum("n_pos").alias("n_pos"),

@@ -2,13 +2,15 @@
 
 Rows never reach the driver: it holds one parameter vector between rounds.
 In a round, each worker fits its next few batches from the averaged vector, and
-Spark averages the results, weighted by rows.
+Spark averages the results, weighted by rows. Rows move once, when they are
+dealt out; the rounds of all epochs read them where they lie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluation
 from tidemark.operators.learners import Learner, Updater
 from tidemark.operators.ordering import number_rows
-from tidemark.session import new_folder
+from tidemark.session import new_folder, write_through
 
 ROUND_SCHEMA = "worker INT, batch_id LONG, pos LONG, x ARRAY<DOUBLE>, y ARRAY<DOUBLE>, round_id INT"
 
@@ -28,12 +30,17 @@ STATE_PARTS = ["weights", "first_moment", "second_moment", "step_count"]
 
 @dataclass(frozen=True)
 class Averaging:
-    """How rows are dealt out: ``workers`` local models, ``batch`` rows per step,
-    ``frequency`` steps between two averagings."""
+    """How rows are dealt out: ``workers`` local models (one per core unless set),
+    ``batch`` rows per step, ``frequency`` steps between two averagings.
 
-    workers: int = 8
+    ``rounds`` asks for that many averagings per epoch instead of a frequency,
+    so the number of jobs does not grow with the data.
+    """
+
+    workers: int | None = None
     batch: int = 16
     frequency: int = 5
+    rounds: int | None = None
     epochs: int = 1
     seed: int = 12345
 
@@ -53,44 +60,64 @@ def deal_rounds(examples: DataFrame, ids: Sequence[str], averaging: Averaging) -
     """Give each row a worker, a batch and a round, from a hash of its id.
 
     The result is a table in the shared folder, partitioned by round: a round
-    reads only its own rows, and a lost executor loses nothing.
+    reads only its own rows, without a shuffle, and a lost executor loses
+    nothing. Hashing deals the workers equal shares, whatever the ids.
     """
+    spark = examples.sparkSession
+    workers = averaging.workers or spark.sparkContext.defaultParallelism
     key = F.xxhash64(F.lit(averaging.seed), *ids)
     dealt = examples.select(*ids, "x", "y", key.alias("_key")).withColumn(
-        "worker", F.pmod("_key", F.lit(averaging.workers)).cast("int")
+        "worker", F.pmod("_key", F.lit(workers)).cast("int")
     )
-    rows = number_rows(dealt, ["worker"], ["_key", *ids]).rows
-    rows = rows.withColumn("batch_id", F.floor(F.col("pos") / F.lit(averaging.batch))).withColumn(
-        "round_id", F.floor(F.col("batch_id") / F.lit(averaging.frequency)).cast("int")
-    )
-    path = new_folder(examples.sparkSession, "rounds")
-    lanes = max(1, averaging.workers // 16)
+    batch_id = F.floor(F.col("pos") / F.lit(averaging.batch))
+    if averaging.rounds is None:
+        round_id = F.floor(batch_id / F.lit(averaging.frequency))
+    else:
+        batches = F.ceil(F.col("n_rows") / F.lit(averaging.batch))
+        round_id = F.floor(batch_id * averaging.rounds / batches)
+    path = new_folder(spark, "rounds")
     (
-        rows.select("worker", "round_id", "batch_id", "pos", "x", "y")
-        .repartition("round_id", F.col("worker") % lanes)
+        number_rows(dealt, ["worker"], ["_key", *ids], short=True)
+        .rows.select("worker", batch_id.alias("batch_id"), "pos", "x", "y", round_id.cast("int").alias("round_id"))
+        .repartition("round_id", "worker")
+        .sortWithinPartitions("round_id", "worker", "pos")
         .write.partitionBy("round_id")
         .parquet(path)
     )
-    return examples.sparkSession.read.schema(ROUND_SCHEMA).parquet(path)
+    return spark.read.schema(ROUND_SCHEMA).parquet(path)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.to_list(), dtype=np.float64)
 
 
+def _whole_batches(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """(worker, rows of one training batch), joined across Arrow batches."""
+    rest = None
+    for part in parts:
+        part = part if rest is None else pd.concat([rest, part])
+        groups = [(ids[0], rows) for ids, rows in part.groupby(["worker", "batch_id"], sort=False)]
+        yield from groups[:-1]
+        rest = groups[-1][1] if groups else None
+    if rest is not None:
+        yield rest["worker"].iloc[0], rest
+
+
 def _average_round(rows: DataFrame, learner: Learner, updater: Updater, state: np.ndarray, seed: int) -> np.ndarray:
     shared = rows.sparkSession.sparkContext.broadcast(state)
 
-    def fit(batches: pd.DataFrame) -> pd.DataFrame:
-        local = shared.value.copy()
-        batches = batches.sort_values("pos")
-        rng = np.random.default_rng([seed, int(batches["worker"].iloc[0])])
-        for _, batch in batches.groupby("batch_id"):
-            updater.step(local, learner.gradient(local[0], _matrix(batch["x"]), _matrix(batch["y"]), rng))
-        return pd.DataFrame({"n": [len(batches)], "state": [local.ravel()]})
-
-    # A worker's share of one round is at most frequency * batch rows.
-    fitted = rows.groupBy("worker").applyInPandas(fit, "n long, state array<double>")
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for worker, batches in groupby(_whole_batches(parts), key=lambda batch: batch[0]):
+            local, n = shared.value.copy(), 0
+            rng = np.random.default_rng([seed, worker])
+            for _, batch in batches:
+                updater.step(local, learner.gradient(local[0], _matrix(batch["x"]), _matrix(batch["y"]), rng))
+                n += len(batch)
+            yield pd.DataFrame({"n": [n], "state": [local.ravel()]})
+
+    # Files hold whole workers in order, so the scan needs no shuffle. A share
+    # larger than a file split becomes several local models, averaged by rows.
+    fitted = rows.select("worker", "batch_id", "x", "y").mapInPandas(fit, "n long, state array<double>")
     mean = (
         fitted.select("n", F.posexplode("state").alias("pos", "value"))
         .groupBy("pos")
@@ -164,7 +191,7 @@ def history(
     scored = score(examples, model, [split, label], all_epochs=True)
     by = ["epoch", split]
     if model.learner.is_classifier:
-        scored = scored.withColumn("pred", evaluation.argmax(F.col("output")))
+        scored = write_through(scored, "scored").withColumn("pred", evaluation.argmax(F.col("output")))
         report = evaluation.metric_rows(
             evaluation.accuracy_f1(scored, by, label).drop("n"), by, ["accuracy", "f1_macro"]
         )

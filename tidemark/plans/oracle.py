@@ -299,4 +299,5 @@ POOLED = f"""WITH {SERIES_MODELS}, pooled AS (
 SELECT CAST(0 AS INTEGER) AS pos, {r('slope', 5)} AS value FROM pooled
 UNION ALL SELECT 1, {r('intercept', 5)} FROM pooled"""
 ORACLE |= {"fit_pooled_ml": POOLED}
+ORACLE["scale_minmax_vector"] = ORACLE["scale_minmax_pooled"]
 ORACLE |= {"stateful_score_batch": STATE, "stateful_score_stream": STATE}

@@ -24,7 +24,7 @@ from tidemark.operators import (
 )
 from tidemark.operators.joins import join_on_key
 from tidemark.operators.learners import Learner, Updater
-from tidemark.operators.ordering import Chunked, number_rows
+from tidemark.operators.ordering import Chunked, cut_into_chunks, number_rows
 from tidemark.operators.training import Averaging
 from tidemark.plans import adapters as A
 from tidemark.session import new_folder
@@ -105,14 +105,30 @@ def feature_stats_pooled(spark, folder):
 # --- scaling ---------------------------------------------------------------
 
 
+def scaled_bars(bars: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """Scaled in one pass: a symbol has at most one bar per day, so its window is small."""
+    return scaling.scale_series(cut_into_chunks(bars, keys, ["date"], short=True), features).rows
+
+
 @query
 def scale_minmax_by_symbol(spark, folder):
-    scaled = scaling.scale_by_key(A.bars(spark, folder), ["symbol"], BAR_FEATURES, fit_scope="all")
+    scaled = scaled_bars(A.bars(spark, folder), BAR_FEATURES, ["symbol"])
     return scaled.select("symbol", "date", *[rounded(F.col(f"{f}_scaled")).alias(f) for f in BAR_FEATURES])
 
 
 @query
 def scale_minmax_pooled(spark, folder):
+    bars = A.bars(spark, folder).select("symbol", "date", C.unpivot_features(VECTOR_FEATURES).alias("f"))
+    bars = bars.select("symbol", "date", "f.*")
+    scaled = C.min_max(F.col("value"), F.col("min"), F.col("max"))
+    position = F.array_position(F.array(*map(F.lit, VECTOR_FEATURES)), F.col("feature")) - 1
+    return scaling.with_feature_stats(bars, "feature", "value").select(
+        "symbol", "date", position.cast("int").alias("position"), rounded(scaled).alias("scaled")
+    )
+
+
+@query
+def scale_minmax_vector(spark, folder):
     scaled = scaling.scale_vector_min_max(A.bars(spark, folder))
     long = scaled.select("symbol", "date", F.posexplode(vector_to_array("features")).alias("position", "scaled"))
     return long.withColumn("scaled", rounded(F.col("scaled")))
@@ -149,14 +165,14 @@ def scale_minmax_train_with_label(spark, folder):
 
 @query
 def inverse_scale_one(spark, folder):
-    scaled = scaling.scale_by_key(A.bars(spark, folder), ["symbol"], ["close"], fit_scope="all")
+    scaled = scaled_bars(A.bars(spark, folder), ["close"], ["symbol"])
     back = scaling.unscale(scaled, ["close"])
     return back.select("symbol", "date", rounded(F.col("close_scaled")).alias("scaled"), rounded(F.col("close_back"), 4).alias("close"))
 
 
 @query
 def inverse_scale_all(spark, folder):
-    scaled = scaling.scale_by_key(A.bars(spark, folder), ["symbol"], BAR_FEATURES, fit_scope="all")
+    scaled = scaled_bars(A.bars(spark, folder), BAR_FEATURES, ["symbol"])
     back = scaling.unscale(scaled, BAR_FEATURES)
     return back.select("symbol", "date", *[rounded(F.col(f"{f}_back"), 4).alias(f) for f in BAR_FEATURES])
 
@@ -197,11 +213,9 @@ def split_shuffle_exact(spark, folder):
 
 @query
 def split_per_file_scale(spark, folder):
-    all_bars = A.bars(spark, folder)
-    both = splitting.union_files(
-        all_bars.where(F.col("date") < FILE_BORDER), all_bars.where(F.col("date") >= FILE_BORDER)
-    )
-    scaled = scaling.scale_by_key(both, ["symbol"], ["close"], fit_scope="per_split")
+    file = F.when(F.col("date") < FILE_BORDER, "train").otherwise("test")
+    both = A.bars(spark, folder).withColumn("split", file)
+    scaled = scaled_bars(both, ["close"], ["split", "symbol"])
     return scaled.select("split", "symbol", "date", rounded(F.col("close_scaled")).alias("close"))
 
 
@@ -550,7 +564,7 @@ def train_avg_linear(spark, folder):
     examples = _train_rows(window_examples(spark, folder, 5))
     model = training.train(
         examples, ["series_id", "window_id"], Learner("linear", inputs=5, outputs=1),
-        Averaging(workers=8, batch=128, epochs=2), Updater("nesterov", rate=0.05),
+        Averaging(batch=64, rounds=4, epochs=2), Updater("nesterov", rate=0.05),
     )
     return model_rows(spark, model, "linear", with_updater=False).where(F.col("epoch").isNull()).select("pos", "value")
 
@@ -561,7 +575,7 @@ def train_avg_softmax(spark, folder):
     examples = vector_examples(spark, folder)
     model = training.train(
         _train_rows(examples), ["seq_id"], Learner("softmax", inputs=64, outputs=CLASSES),
-        Averaging(workers=4, batch=10, epochs=3), Updater("adam", rate=0.02, l2=1e-4),
+        Averaging(batch=10, rounds=4, epochs=3), Updater("adam", rate=0.02, l2=1e-4),
     )
     scored = training.score(examples, model, ["seq_id", "split", "label"])
     return scored.select("seq_id", "split", "label", evaluation.argmax(F.col("output")).alias("pred"))
@@ -573,7 +587,7 @@ def train_history(spark, folder):
     examples = clinical_examples(spark, folder)
     model = training.train(
         _train_rows(examples), ["seq_id"], Learner("softmax", inputs=len(A.EVENT_TYPES), outputs=2),
-        Averaging(workers=4, batch=40, frequency=3, epochs=3, seed=1234), Updater("adam", rate=0.036),
+        Averaging(batch=40, rounds=4, epochs=3, seed=1234), Updater("adam", rate=0.036),
     )
     return training.history(examples, model, "clinical")
 
@@ -585,7 +599,7 @@ def train_avg_recurrent(spark, folder):
     model = training.train(
         _train_rows(examples), ["series_id", "window_id"],
         Learner("recurrent", inputs=windowing.LENGTH, outputs=1, steps=windowing.LENGTH, hidden=8, dropout=0.2),
-        Averaging(workers=8, batch=64, epochs=2), Updater("rmsprop", rate=0.005, l2=1e-4),
+        Averaging(batch=64, rounds=4, epochs=2), Updater("rmsprop", rate=0.005, l2=1e-4),
     )
     return training.history(examples, model, "recurrent")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_ROWS = "spark.tidemark.chunkRows"
 HOT_ROWS = "spark.tidemark.hotRows"
@@ -51,3 +51,14 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_through(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, computed once into the shared folder and read from there.
+
+    For results that are costly and read several times; it also ends their
+    lineage, so a lost executor does not bring them back to the start.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
