@@ -85,6 +85,21 @@ def test_fit_scopes(bars):
         fit("other")
 
 
+@pytest.mark.parametrize("hot_rows", ["25", "100000"])
+def test_two_files_each_scaled_by_itself(spark, bars, hot_rows):
+    spark.conf.set("spark.tidemark.hotRows", hot_rows)
+    try:
+        both = splitting.union_files(bars.where("date < '2020-01-11'"), bars.where("date >= '2020-01-11'"))
+        rows = scaling.scale_by_key(both, ["symbol"], ["open", "high"], fit_scope="per_split").collect()
+    finally:
+        spark.conf.unset("spark.tidemark.hotRows")
+    assert len(rows) == 53
+    ends = {(r.symbol, r.split): [] for r in rows}
+    for r in rows:
+        ends[r.symbol, r.split].append(r.open_scaled)
+    assert len(ends) == 4 and all((min(v), max(v)) == (0.0, 1.0) for v in ends.values())
+
+
 def test_vector_scaling_pools_all_symbols(bars):
     rows = scaling.scale_vector_min_max(bars).collect()
     assert set(rows[0].asDict()) == {"date", "symbol", "features"}

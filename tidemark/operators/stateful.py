@@ -9,6 +9,7 @@ chunk to chunk, and a second pass starts each chunk from the right state.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
@@ -19,15 +20,13 @@ from pyspark.sql import Window
 from tidemark.operators.ordering import CHUNK, Chunked, cut_into_chunks
 
 
-def scan_state(keep: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """All states of ``s[i] = keep[i] * s[i - 1] + add[i]`` in log2(n) array steps."""
-    keep, add, reach = keep.copy(), add.copy(), 1
-    while reach < len(add) and keep.any():
-        add[reach:] = add[reach:] + keep[reach:] * add[:-reach]
-        keep[reach:] = keep[reach:] * keep[:-reach]
-        keep[:reach] = 0.0
-        reach *= 2
-    return add
+def scan_state(keep: np.ndarray, add: np.ndarray, state: float = 0.0) -> np.ndarray:
+    """All states of ``s[i] = keep[i] * s[i - 1] + add[i]``, in row order.
+
+    One multiply-add per row; the result does not depend on batch borders.
+    """
+    steps = zip(keep.tolist(), add.tolist())
+    return np.fromiter(islice(accumulate(steps, lambda s, step: step[0] * s + step[1], initial=state), 1, None), float)
 
 
 def _scan_sorted(batches: Iterator[pd.DataFrame], group: list[str], value: str, alpha: float) -> Iterator[pd.DataFrame]:
@@ -43,9 +42,7 @@ def _scan_sorted(batches: Iterator[pd.DataFrame], group: list[str], value: str,
         opens = starts & batch["_opens"].to_numpy(bool)
         keep = np.where(starts, 0.0, 1 - alpha)
         add = np.where(opens, x, alpha * x + np.where(starts & ~opens, (1 - alpha) * state_in, 0.0))
-        if not starts[0]:
-            keep[0], add[0] = 0.0, add[0] + (1 - alpha) * carried
-        states = scan_state(keep, add)
+        states = scan_state(keep, add, carried)
         carried_group, carried = tuple(ids.iloc[-1]), states[-1]
         yield batch.drop(columns=["_state_in", "_opens"]).assign(state=states)
 

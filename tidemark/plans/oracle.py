@@ -291,7 +291,7 @@ SELECT seq_id, step, {r('value')} AS value, label FROM vectors JOIN exact ON seq
 
 STATE = f"""WITH {SERIES}
 SELECT a.series_id, a.event_id,
-       {r("sum(CASE WHEN b.pos = 0 THEN 1 ELSE 0.3 END * power(CAST(0.7 AS DOUBLE), a.pos - b.pos) * b.value)", 4)} AS state
+       {r("sum(CASE WHEN b.pos = 0 THEN 1 ELSE 0.3 END * power(CAST(0.7 AS DOUBLE), a.pos - b.pos) * b.value) + 1e-9", 4)} AS state
 FROM series a JOIN series b ON a.series_id = b.series_id AND b.pos <= a.pos GROUP BY 1, 2"""
 POOLED = f"""WITH {SERIES_MODELS}, pooled AS (
   SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM xy

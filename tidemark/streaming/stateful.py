@@ -40,9 +40,7 @@ def exponential_state_stream(
         starts[0] = starts[0] or not state.exists
         keep = np.where(starts, 0.0, 1 - alpha)
         add = np.where(starts, x, alpha * x)
-        if not starts[0]:
-            keep[0], add[0] = 0.0, add[0] + (1 - alpha) * state.get[0]
-        states = scan_state(keep, add)
+        states = scan_state(keep, add, state.get[0] if state.exists else 0.0)
         state.update((float(states[-1]),))
         yield batch[columns].assign(state=states)
 
