@@ -1,11 +1,14 @@
+import numpy as np
 import pandas as pd
 from conftest import TINY
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.learners import Learner
 from tidemark.operators.stateful import exponential_state
+from tidemark.operators.training import Model
 from tidemark.plans.adapters import series
-from tidemark.streaming.stateful import exponential_state_stream
+from tidemark.streaming.stateful import exponential_state_stream, recurrent_state_stream
 
 
 def run(spark, stream, path):
@@ -42,3 +45,20 @@ def test_restart_clears_the_state(spark, tmp_path):
     out = run(spark, exponential_state_stream(stream, ["k"], ["t"], "x", 0.5, restart="r"), tmp_path)
     assert [r.state for r in out.orderBy("t").collect()] == [1.0, 1.5, 2.25, 10.0, 15.0, 22.5]
     assert out.where(F.col("r")).count() == 1
+
+
+def test_recurrent_state_is_carried_across_batches(spark, tmp_path):
+    learner = Learner("recurrent", inputs=2 * 12, outputs=2, steps=12, hidden=3)
+    weights = np.random.default_rng(4).normal(size=learner.size)
+    rng = np.random.default_rng(5)
+    values = {k: rng.normal(size=(12, 2)) for k in (1, 2)}
+    for part in (range(0, 5), range(5, 12)):  # the first rows, later the rest
+        rows = [(k, t, *map(float, values[k][t])) for t in part for k in values]
+        spark.createDataFrame(rows, "k int, t int, a double, b double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k int, t int, a double, b double").option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
+    model = Model(learner, np.vstack([weights] + [np.zeros(learner.size)] * 3))
+    out = run(spark, recurrent_state_stream(stream, ["k"], ["t"], ["a", "b"], model), tmp_path)
+    ends = {r.k: r.output for r in out.where("t = 11").collect()}
+    for k in values:
+        assert np.allclose(ends[k], learner.predict(weights, values[k].reshape(1, -1))[0])
+    assert out.count() == 24

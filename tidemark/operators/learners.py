@@ -63,21 +63,34 @@ class Learner:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def _cell(self, x: np.ndarray, h: np.ndarray, c: np.ndarray, gates: np.ndarray):
+        """One step of the recurrent cell: new h and c, and what the backward pass needs."""
+        units = self.hidden
+        seen = np.hstack([x, h, np.ones((len(x), 1))])
+        z = seen @ gates
+        i, f, o = (1 / (1 + np.exp(-z[:, k * units : (k + 1) * units])) for k in range(3))
+        g = np.tanh(z[:, 3 * units :])
+        before, c = c, f * c + i * g
+        return o * np.tanh(c), c, (seen, i, f, o, g, before, c)
+
     def _unroll(self, x: np.ndarray, gates: np.ndarray):
-        """Run the recurrent cell over the steps; the trace feeds the backward pass."""
-        n, units = len(x), self.hidden
-        seq = x.reshape(n, self.steps, -1)
-        h, c, trace = np.zeros((n, units)), np.zeros((n, units)), []
+        seq = x.reshape(len(x), self.steps, -1)
+        h, c = np.zeros((2, len(x), self.hidden))
+        trace = []
         for t in range(self.steps):
-            seen = np.hstack([seq[:, t], h, np.ones((n, 1))])
-            z = seen @ gates
-            i, f, o = (1 / (1 + np.exp(-z[:, k * units : (k + 1) * units])) for k in range(3))
-            g = np.tanh(z[:, 3 * units :])
-            before, c = c, f * c + i * g
-            h = o * np.tanh(c)
-            trace.append((seen, i, f, o, g, before, c))
+            h, c, step = self._cell(seq[:, t], h, c, gates)
+            trace.append(step)
         return h, trace
 
+    def continue_series(self, w: np.ndarray, x: np.ndarray, h: np.ndarray, c: np.ndarray):
+        """Outputs for consecutive rows of one series, from state (h, c) on; and the new state."""
+        gates, head = self._unpack(w)
+        outputs = []
+        for row in x:
+            h, c, _ = self._cell(row[None, :], h, c, gates)
+            outputs.append(self._head(h, head)[0])
+        return np.array(outputs), h, c
+
     def predict(self, w: np.ndarray, x: np.ndarray) -> np.ndarray:
         parts = self._unpack(w)
         hidden = self._unroll(x, parts[0])[0] if self.kind == "recurrent" else x

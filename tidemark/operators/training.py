@@ -165,15 +165,14 @@ def score(examples: DataFrame, model: Model, keep: Sequence[str], all_epochs: bo
         weights = list(enumerate(model.history))
     else:
         weights = [(len(model.history) - 1, model.weights)]
-    shared = examples.sparkSession.sparkContext.broadcast((model.learner, weights))
+    shared, learner = examples.sparkSession.sparkContext.broadcast(weights), model.learner
     kept = examples.select(*keep, "x")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        learner, versions = shared.value
         for batch in batches:
             if len(batch):
                 x = _matrix(batch.pop("x"))
-                for epoch, w in versions:
+                for epoch, w in shared.value:
                     yield batch.assign(epoch=np.int32(epoch), output=list(learner.predict(w, x)))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "x")

@@ -21,23 +21,43 @@ def series(spark: SparkSession, folder: str) -> DataFrame:
     return events.select(F.col("user_id").alias("series_id"), "ts", "event_id", "value")
 
 
+def _day_items(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").withColumns(
+        {"symbol": F.col("l_returnflag"), "date": F.to_date("l_shipdate")}
+    )
+
+
+def trading_days(spark: SparkSession, folder: str) -> DataFrame:
+    """The symbol and date of every bar, when prices are not asked for."""
+    return _day_items(spark, folder).select("symbol", F.col("date").cast("string").alias("date")).distinct()
+
+
 def bars(spark: SparkSession, folder: str) -> DataFrame:
     """Daily bars: return flags as symbols, ship dates as trading days.
 
-    At most one row per symbol and calendar day, however many line items.
+    At most one row per symbol and calendar day, however many line items. Open
+    and close are the prices of the first and last item of the day; hash
+    aggregates find the first and last order, and only the items of those two
+    orders are compared in full, so the line items are never sorted.
     """
-    items = table(spark, folder, "lineitem")
+    day = ["symbol", "date"]
     price = F.col("l_extendedprice")
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return items.groupBy(
-        F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").cast("string").alias("date")
-    ).agg(
-        F.min_by(price, order).alias("open"),
-        F.max_by(price, order).alias("close"),
+    items = _day_items(spark, folder)
+    days = items.groupBy(*day).agg(
+        F.min("l_orderkey").alias("_first"),
+        F.max("l_orderkey").alias("_last"),
         F.min(price).alias("low"),
         F.max(price).alias("high"),
         F.sum("l_quantity").alias("volume"),
     )
+    # One row per flag (a single letter) and day: small enough to broadcast.
+    outer = items.join(F.broadcast(days), day).where(F.col("l_orderkey").isin(F.col("_first"), F.col("_last")))
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return outer.groupBy(*day).agg(
+        F.min_by(price, order).alias("open"),
+        F.max_by(price, order).alias("close"),
+        *[F.max(c).alias(c) for c in ("low", "high", "volume")],
+    ).withColumn("date", F.col("date").cast("string"))
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,7 +27,7 @@ from tidemark.operators.learners import Learner, Updater
 from tidemark.operators.ordering import Chunked, cut_into_chunks, number_rows
 from tidemark.operators.training import Averaging
 from tidemark.plans import adapters as A
-from tidemark.session import new_folder
+from tidemark.session import new_folder, write_through
 from tidemark.sources.bars import read_bars, typed_bars
 from tidemark.sources.models import model_rows
 from tidemark.sources.prepared import read_prepared, write_prepared
@@ -59,8 +59,11 @@ def numbered_series(spark: SparkSession, folder: str) -> Chunked:
     return splitting.split_by_time(ordered, SHARE)
 
 
-def numbered_bars(spark: SparkSession, folder: str) -> Chunked:
-    ordered = number_rows(A.bars(spark, folder), ["symbol"], ["date"], next_of=BAR_FEATURES, short=True)
+def numbered_bars(spark: SparkSession, folder: str, keep: bool = False) -> Chunked:
+    """Bars in order; ``keep`` writes the few bars once, for work that reads them repeatedly."""
+    bars = A.bars(spark, folder)
+    bars = write_through(bars, "bars") if keep else bars
+    ordered = number_rows(bars, ["symbol"], ["date"], next_of=BAR_FEATURES, short=True)
     return splitting.split_by_time(ordered, SHARE)
 
 
@@ -69,12 +72,12 @@ def numbered_bars(spark: SparkSession, folder: str) -> Chunked:
 
 @query
 def symbol_counts(spark, folder):
-    return A.bars(spark, folder).groupBy("symbol").agg(F.count("date").alias("n_rows"))
+    return A.trading_days(spark, folder).groupBy("symbol").agg(F.count("date").alias("n_rows"))
 
 
 @query
 def symbol_total(spark, folder):
-    return A.bars(spark, folder).agg(F.countDistinct("symbol").alias("n_symbols"))
+    return A.trading_days(spark, folder).agg(F.countDistinct("symbol").alias("n_symbols"))
 
 
 @query
@@ -271,7 +274,7 @@ def window_counts(spark, folder):
 
 @query
 def window_batches(spark, folder):
-    counts = windowing.count_windows(A.bars(spark, folder), ["symbol"])
+    counts = windowing.count_windows(A.trading_days(spark, folder), ["symbol"])
     return windowing.batch_sizes(counts, ["symbol"], BATCH)
 
 
@@ -535,6 +538,31 @@ def window_examples(spark: SparkSession, folder: str, length: int) -> DataFrame:
     )
 
 
+def bar_examples(spark: SparkSession, folder: str, length: int) -> DataFrame:
+    """Windows of all scaled features (x) with all scaled next values (y), inside each split."""
+    bars = numbered_bars(spark, folder, keep=True)
+    rows = scaling.scale_series(bars, BAR_FEATURES, F.col("split") == "train")
+    ranges = {f: (F.col(f"{f}_min"), F.col(f"{f}_max")) for f in BAR_FEATURES}
+    aimed = {f"{f}_aim": C.min_max(F.col(f"next_{f}"), *ranges[f]) for f in BAR_FEATURES}
+    rows = rows.map(lambda df: df.withColumns(aimed))
+    inputs, aims = [f"{f}_scaled" for f in BAR_FEATURES], [f"{f}_aim" for f in BAR_FEATURES]
+    after = [f"next_{f}" for f in BAR_FEATURES]
+    parts = [
+        windowing.window_arrays(splitting.only_split(rows, split), [*inputs, *aims, *after], length)
+        for split in ("train", "test")
+    ]
+    last = F.element_at("steps", -1)
+    return parts[0].unionByName(parts[1]).select(
+        "symbol",
+        "window_id",
+        "split",
+        F.flatten(F.transform("steps", lambda s: F.array(*[s[c] for c in inputs]))).alias("x"),
+        F.array(*[last[c] for c in aims]).alias("y"),
+        *[last[c].alias(c) for c in after],
+        *[F.col(f"{f}_{end}") for f in BAR_FEATURES for end in ("min", "max")],
+    )
+
+
 def vector_examples(spark: SparkSession, folder: str) -> DataFrame:
     """Embeddings (x) with their class (label, one-hot y), by exact split."""
     rows = splitting.split_exact(A.table(spark, folder, "embeddings"), "vec_id", N_TRAIN, SHUFFLE_SEED)
@@ -607,6 +635,27 @@ def train_avg_recurrent(spark, folder):
     return training.history(examples, model, "recurrent")
 
 
+@query
+def forecast_trained(spark, folder):
+    """Forecasts of all features by an averaged window model, in original units."""
+    length = windowing.LENGTH
+    examples = bar_examples(spark, folder, length)
+    model = training.train(
+        _train_rows(examples), ["symbol", "window_id"],
+        Learner("linear", inputs=length * len(BAR_FEATURES), outputs=len(BAR_FEATURES)),
+        Averaging(batch=64, rounds=4, epochs=3), Updater("rmsprop", rate=0.005, l2=1e-4),
+    )
+    keep = [c for c in examples.columns if c not in ("x", "y", "split")]
+    scored = training.score(examples.where(F.col("split") == "test"), model, keep)
+    scored = scored.withColumns(
+        {
+            f"{f}_predict": C.undo_min_max(F.col("output")[i], F.col(f"{f}_min"), F.col(f"{f}_max"))
+            for i, f in enumerate(BAR_FEATURES)
+        }
+    )
+    return forecasting.long_pairs(scored.withColumnRenamed("window_id", "idx"), ["symbol"], BAR_FEATURES)
+
+
 @query
 def fit_pooled_ml(spark, folder):
     """One least-squares model of the next scaled value for all series together."""
