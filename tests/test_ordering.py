@@ -38,7 +38,7 @@ def test_number_rows(series, chunk_rows):
     done = number_rows(series, ["k"], ["t", "u"], next_of=["x"], running=["x"], chunk_rows=chunk_rows)
     got = {(r.k, r.t, r.u): (r.pos, r.n_rows, r.next_x, r.x_before) for r in done.rows.collect()}
     assert got == by_hand(rows_with_one_long_series())
-    assert (done.hot is None) == (chunk_rows is None)
+    assert (done.cut is None) == (chunk_rows is None)
 
 
 def test_null_values_are_not_taken_for_a_missing_next_row(spark):

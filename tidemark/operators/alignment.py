@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import Chunked
+from tidemark.operators.ordering import Ordered
 
 
-def align_end(chunked: Chunked, labels: DataFrame, label: str = "label") -> Chunked:
+def align_end(ordered: Ordered, labels: DataFrame, label: str = "label") -> Ordered:
     """Put each sequence's label on its last step and mask the other steps.
 
     ``labels`` has one row per sequence; sequences without a label drop out.
     """
     last = F.col("pos") == F.col("n_rows") - 1
-    return chunked.attach(labels).map(
+    return ordered.attach(labels).map(
         lambda rows: rows.withColumns(
             {"label_mask": last.cast("int"), label: F.when(last, F.col(label))}
         )
     )
 
 
-def pad_to(chunked: Chunked, length: int, values: list[str]) -> Chunked:
+def pad_to(ordered: Ordered, length: int, values: list[str]) -> Ordered:
     """Fill sequences up to a common length with unmasked rows of zeros.
 
     Each last step brings the padding rows of its sequence along.
@@ -38,7 +38,7 @@ def pad_to(chunked: Chunked, length: int, values: list[str]) -> Chunked:
         filled |= {"pos": F.col("pos") + F.col("_extra"), "step_mask": real.cast("int")}
         return rows.withColumns(filled).drop("_extra")
 
-    return chunked.map(fill)
+    return ordered.map(fill)
 
 
 def missing_sides(features: DataFrame, labels: DataFrame, key: str) -> DataFrame:

@@ -92,7 +92,7 @@ def roc_auc(df: DataFrame, by: Sequence[str], label: str = "label", score: str =
     counts = df.groupBy(*by, score).agg(
         F.sum(positive).alias("n_pos"), F.sum(1 - positive).alias("n_neg")
     )
-    ranked = number_rows(write_through(counts, "scores"), by, [score], running=["n_neg"]).df
+    ranked = number_rows(write_through(counts, "scores"), by, [score], running=["n_neg"]).rows
     below = F.col("n_neg_before").cast("double") + F.col("n_neg").cast("double") / 2
     return ranked.groupBy(*by).agg(
         F.sum("n_pos").alias("n_pos"),

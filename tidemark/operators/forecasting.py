@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators.ordering import Chunked, number_rows
+from tidemark.operators.ordering import Ordered, number_rows
 from tidemark.operators.scaling import scale_series
 from tidemark.operators.splitting import split_by_time
 from tidemark.operators.windowing import LENGTH, last_steps
 
 
-def fit_next_step(chunked: Chunked, features: Sequence[str]) -> Chunked:
+def fit_next_step(ordered: Ordered, features: Sequence[str]) -> Ordered:
     """Least squares of the next scaled value on the current one, on train pairs.
 
     Needs ``<f>_scaled`` and ``next_<f>``; adds ``<f>_slope`` and
@@ -27,11 +27,11 @@ def fit_next_step(chunked: Chunked, features: Sequence[str]) -> Chunked:
         y = F.when(pair, C.min_max(F.col(f"next_{f}"), F.col(f"{f}_min"), F.col(f"{f}_max")))
         stats[f"{f}_slope"] = F.regr_slope(y, x)
         stats[f"{f}_intercept"] = F.regr_intercept(y, x)
-    return chunked.with_series_stats(stats)
+    return ordered.with_series_stats(stats)
 
 
 def prepare(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[str],
-            share: float = 0.8, short: bool = False) -> Chunked:
+            share: float = 0.8, short: bool = False) -> Ordered:
     """Number, split by time, scale on the train range and fit. One shuffle."""
     numbered = number_rows(df, keys, order, next_of=features, short=short)
     split = split_by_time(numbered, share)
@@ -61,20 +61,20 @@ def fitted_series(features: Sequence[str]) -> Column:
     return ok
 
 
-def forecast_test_rows(chunked: Chunked, features: Sequence[str]) -> DataFrame:
+def forecast_test_rows(ordered: Ordered, features: Sequence[str]) -> DataFrame:
     """Forecast and actual for every test row, the first one made from the last train row."""
     to_test = (F.col("pos") + 1 >= F.col("n_train")) & (F.col("pos") + 1 < F.col("n_rows"))
-    scored = predict_next(chunked.df.where(to_test & fitted_series(features)), features)
-    return long_pairs(scored.withColumn("idx", F.col("pos") + 1 - F.col("n_train")), chunked.keys, features)
+    scored = predict_next(ordered.rows.where(to_test & fitted_series(features)), features)
+    return long_pairs(scored.withColumn("idx", F.col("pos") + 1 - F.col("n_train")), ordered.keys, features)
 
 
-def forecast_test_windows(chunked: Chunked, features: Sequence[str], length: int = LENGTH) -> DataFrame:
+def forecast_test_windows(ordered: Ordered, features: Sequence[str], length: int = LENGTH) -> DataFrame:
     """Forecast and actual for the row after each test window."""
-    test = chunked.df.where((F.col("split") == "test") & fitted_series(features)).withColumns(
+    test = ordered.rows.where((F.col("split") == "test") & fitted_series(features)).withColumns(
         {"pos": F.col("pos") - F.col("n_train"), "n_rows": F.col("n_rows") - F.col("n_train")}
     )
     scored = predict_next(last_steps(test, length), features)
-    return long_pairs(scored.withColumnRenamed("window_id", "idx"), chunked.keys, features)
+    return long_pairs(scored.withColumnRenamed("window_id", "idx"), ordered.keys, features)
 
 
 def long_pairs(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:

@@ -1,14 +1,15 @@
 """Ordered work over many series, safe when one series holds most of the rows.
 
-A plain ``Window.partitionBy(series)`` puts a whole series into one task. Here a
-series that is too long is cut into *chunks* first: a few of its own rows,
-picked by a hash of the row, serve as cut points, and a row's chunk is the
-number of cut points at or before it. The chunk depends only on the row and the
-cut points, so a lost and recomputed task always gives the same rows.
+A plain ``Window.partitionBy(series)`` puts a whole series into one task. So
+series that are too long go a way of their own: they are cut into *chunks* at a
+few of their rows, picked by a hash of the row, and a row's chunk is the number
+of cut points at or before it. The chunk depends only on the row and the cut
+points, so a lost and recomputed task always gives the same rows.
 
 Windows then run per (series, chunk), and what crosses a chunk border (row
 offset, running sums, first row of the next chunk, totals) comes from a table
-with one row per chunk. Short series have one chunk and pay nothing for this.
+with one row per chunk. All other series take the plain window; when no series
+is long, that is all there is in the plan.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.session import CHUNK_ROWS, DEFAULT_CHUNK_ROWS, int_setting
+from tidemark.session import CHUNK_ROWS, DEFAULT_CHUNK_ROWS, int_setting, write_through
 
 CHUNK = "_chunk"
 EVERYTHING = "_everything"
@@ -32,70 +33,49 @@ MAX_CUTS = 1 << CUT_BITS
 
 
 @dataclass(frozen=True)
-class Chunked:
-    """Rows with a chunk number.
+class Ordered:
+    """Rows of many series: ``whole`` series, and those ``cut`` into chunks.
 
-    ``hot`` holds again the rows of those series that were cut, or None when no
-    series was; everything derived for them from whole-series totals has at
-    most one row per chunk, so at most ``2 * MAX_CUTS`` rows.
+    At most MAX_CUTS series are cut, into at most ``2 * MAX_CUTS`` chunks, so a
+    table with a row for each of them can be broadcast.
     """
 
-    df: DataFrame
+    whole: DataFrame
     keys: list[str]
     order: list[str]
-    hot: DataFrame | None = None
+    cut: DataFrame | None = None
 
     @property
     def rows(self) -> DataFrame:
-        return self.df.drop(CHUNK, EVERYTHING)
+        """All rows together."""
+        whole = self.whole.drop(EVERYTHING)
+        return whole if self.cut is None else whole.unionByName(self.cut.drop(CHUNK, EVERYTHING))
 
-    @property
-    def group(self) -> list[str]:
-        return [*self.keys, CHUNK]
-
-    def map(self, change: Callable[[DataFrame], DataFrame]) -> Chunked:
-        """Apply a row-wise change that keeps the key and chunk columns."""
-        hot = None if self.hot is None else change(self.hot)
-        return replace(self, df=change(self.df), hot=hot)
-
-    def with_series_stats(self, stats: dict[str, Column]) -> Chunked:
-        """Add per-series aggregates to every row without another shuffle.
-
-        An uncut series is one window group. A cut one takes its values from a
-        small grouped table instead.
-        """
-        over = Window.partitionBy(*self.group)
-        df = self.df.withColumns({name: agg.over(over) for name, agg in stats.items()})
-        if self.hot is None:
-            return replace(self, df=df)
-        totals = self.hot.groupBy(*self.keys).agg(
-            F.lit(True).alias("_cut"), *[agg.alias(f"_hot_{name}") for name, agg in stats.items()]
-        )
-        df = df.join(F.broadcast(totals), self.keys, "left").withColumns(
-            {n: F.when(F.col("_cut"), F.col(f"_hot_{n}")).otherwise(F.col(n)) for n in stats}
-        )
-        hot = self.hot.join(F.broadcast(totals), self.keys).withColumnsRenamed(
-            {f"_hot_{n}": n for n in stats}
-        )
-        return replace(
-            self, df=df.drop("_cut", *[f"_hot_{n}" for n in stats]), hot=hot.drop("_cut")
-        )
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> Ordered:
+        """Apply a row-wise change that keeps the key columns."""
+        return replace(self, whole=change(self.whole), cut=None if self.cut is None else change(self.cut))
 
-    def attach(self, right: DataFrame, how: str = "inner") -> Chunked:
-        """Join a table with one row per series.
+    def with_series_stats(self, stats: dict[str, Column]) -> Ordered:
+        """Add per-series aggregates to every row, and shuffle none of them.
 
-        The rows stay where the windows put them. For a cut series the right
-        row is repeated once per chunk, so no task gets the whole series.
+        Whole series are window groups already; cut ones get their values from
+        a grouped table with one row per series.
         """
-        if self.hot is None:
-            return replace(self, df=self.df.join(right, self.keys, how))
-        chunks = self.hot.groupBy(*self.keys).agg(F.collect_set(CHUNK).alias("_chunks"))
-        spread = (
-            right.join(F.broadcast(chunks), self.keys, "left")
-            .withColumn(CHUNK, F.explode(F.coalesce("_chunks", F.array(F.lit(0)))))
-            .drop("_chunks")
-        )
-        return self.map(lambda rows: rows.join(spread, self.group, how))
+        over = Window.partitionBy(*self.keys)
+        whole = self.whole.withColumns({name: agg.over(over) for name, agg in stats.items()})
+        if self.cut is None:
+            return replace(self, whole=whole)
+        totals = self.cut.groupBy(*self.keys).agg(*[agg.alias(name) for name, agg in stats.items()])
+        return replace(self, whole=whole, cut=self.cut.join(F.broadcast(totals), self.keys))
+
+    def attach(self, right: DataFrame, how: str = "inner") -> Ordered:
+        """Join a table with one row per series; the rows stay where they are."""
+        whole = self.whole.join(right, self.keys, how)
+        if self.cut is None:
+            return replace(self, whole=whole)
+        ids = self.cut.select(*self.keys).distinct()
+        mine = right.join(F.broadcast(ids), self.keys, "left_semi")
+        return replace(self, whole=whole, cut=self.cut.join(F.broadcast(mine), self.keys, how))
 
 
 def _cut_points(
@@ -132,18 +112,18 @@ def _chunk_of(cuts: str, order: Sequence[str]) -> Column:
     return F.when(F.col(cuts).isNull(), F.lit(0)).otherwise(found)
 
 
-def cut_into_chunks(
+def cut_long_series(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     chunk_rows: int | None = None,
     short: bool = False,
-) -> Chunked:
-    """Give each row its chunk.
+) -> Ordered:
+    """Set series apart that are too long for one task, and give their rows a chunk.
 
     ``order`` must make the rows of a series distinct. ``short=True`` states
     that the length of a series is bounded by what it means (one row per
-    calendar day, one per vector position), so no cutting is looked for.
+    calendar day, one per vector position), so no long one is looked for.
     """
     keys, order = list(keys), list(order)
     if not keys:
@@ -154,13 +134,12 @@ def cut_into_chunks(
         size = chunk_rows or int_setting(df.sparkSession, CHUNK_ROWS, DEFAULT_CHUNK_ROWS)
         cuts = _cut_points(df, keys, order, size)
     if cuts is None:
-        return Chunked(df.withColumn(CHUNK, F.lit(0)), keys, order)
-    chunk = _chunk_of("_cuts", order)
-    return Chunked(
-        df=df.join(F.broadcast(cuts), keys, "left").withColumn(CHUNK, chunk).drop("_cuts"),
+        return Ordered(df, keys, order)
+    return Ordered(
+        whole=df.join(F.broadcast(cuts.select(*keys)), keys, "left_anti"),
         keys=keys,
         order=order,
-        hot=df.join(F.broadcast(cuts), keys).withColumn(CHUNK, chunk).drop("_cuts"),
+        cut=df.join(F.broadcast(cuts), keys).withColumn(CHUNK, _chunk_of("_cuts", order)).drop("_cuts"),
     )
 
 
@@ -172,71 +151,62 @@ def number_rows(
     running: Sequence[str] = (),
     chunk_rows: int | None = None,
     short: bool = False,
-) -> Chunked:
+) -> Ordered:
     """Add ``pos`` (from 0) and ``n_rows`` per series.
 
     ``next_of`` columns come back as ``next_<name>``, the value in the
     following row (null at the end); ``running`` columns as ``<name>_before``,
-    the sum over all earlier rows.
+    the sum over all earlier rows. Cut series are written once, numbered.
     """
-    chunked = cut_into_chunks(df, keys, order, chunk_rows, short)
-    group = Window.partitionBy(*chunked.group)
-    ordered = group.orderBy(*chunked.order)
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    ordered = cut_long_series(df, keys, order, chunk_rows, short)
+    zero = {c: F.lit(0).cast(df.schema[c].dataType) for c in running}
 
-    def in_chunk(rows: DataFrame) -> DataFrame:
+    def numbered(rows: DataFrame, group: list[str]) -> DataFrame:
+        all_rows = Window.partitionBy(*group)
+        in_order = all_rows.orderBy(*ordered.order)
+        earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
         columns = {
-            "pos": F.row_number().over(ordered).cast("long") - 1,
-            "n_rows": F.count(F.lit(1)).over(group),
-        }
-        columns |= {f"next_{c}": F.lead(c).over(ordered) for c in next_of}
-        columns |= {
-            f"{c}_before": F.coalesce(F.sum(c).over(earlier), F.lit(0).cast(df.schema[c].dataType))
-            for c in running
+            "pos": F.row_number().over(in_order).cast("long") - 1,
+            "n_rows": F.count(F.lit(1)).over(all_rows),
         }
+        columns |= {f"next_{c}": F.lead(c).over(in_order) for c in next_of}
+        columns |= {f"{c}_before": F.coalesce(F.sum(c).over(earlier), zero[c]) for c in running}
         return rows.withColumns(columns)
 
-    if chunked.hot is None:
-        return replace(chunked, df=in_chunk(chunked.df))
+    whole = numbered(ordered.whole, ordered.keys)
+    if ordered.cut is None:
+        return replace(ordered, whole=whole)
 
-    head = F.min_by(F.struct(*[F.col(c) for c in next_of]), F.struct(*chunked.order)) if next_of else F.lit(None)
-    by_series = Window.partitionBy(*chunked.keys)
+    group = [*ordered.keys, CHUNK]
+    head = F.min_by(F.struct(*next_of), F.struct(*ordered.order)) if next_of else F.lit(None)
+    by_series = Window.partitionBy(*ordered.keys)
     by_chunk = by_series.orderBy(CHUNK)
     before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     borders = (
-        chunked.hot.groupBy(*chunked.group)
+        ordered.cut.groupBy(*group)
         .agg(
             F.count(F.lit(1)).alias("_size"),
             head.alias("_head"),
             *[F.sum(c).alias(f"_sum_{c}") for c in running],
         )
         .select(
-            *chunked.group,
+            *group,
             F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
             F.sum("_size").over(by_series).alias("_total"),
             F.lead("_head").over(by_chunk).alias("_next_head"),
-            *[F.sum(f"_sum_{c}").over(before).alias(f"_sum_{c}") for c in running],
+            *[F.coalesce(F.sum(f"_sum_{c}").over(before), zero[c]).alias(f"_sum_{c}") for c in running],
         )
     )
-
-    def across_chunks(rows: DataFrame) -> DataFrame:
-        at_border = (F.col("pos") == F.col("n_rows") - 1) & F.col("_total").isNotNull()
-        joined = in_chunk(rows).join(F.broadcast(borders), chunked.group, "left")
-        columns = {
-            f"next_{c}": F.when(at_border, F.col(f"_next_head.{c}")).otherwise(F.col(f"next_{c}"))
-            for c in next_of
-        }
-        columns |= {
-            f"{c}_before": F.col(f"{c}_before")
-            + F.coalesce(F.col(f"_sum_{c}"), F.lit(0).cast(df.schema[c].dataType))
-            for c in running
-        }
-        joined = joined.withColumns(columns)
-        return joined.withColumns(
-            {
-                "pos": F.col("pos") + F.coalesce("_offset", F.lit(0)),
-                "n_rows": F.coalesce("_total", "n_rows"),
-            }
-        ).drop("_offset", "_total", "_next_head", *[f"_sum_{c}" for c in running])
-
-    return chunked.map(across_chunks)
+    last_of_chunk = F.col("pos") == F.col("n_rows") - 1
+    moved = {
+        f"next_{c}": F.when(last_of_chunk, F.col(f"_next_head.{c}")).otherwise(F.col(f"next_{c}")) for c in next_of
+    }
+    moved |= {f"{c}_before": F.col(f"{c}_before") + F.col(f"_sum_{c}") for c in running}
+    cut = (
+        numbered(ordered.cut, group)
+        .join(F.broadcast(borders), group)
+        .withColumns(moved)
+        .withColumns({"pos": F.col("pos") + F.col("_offset"), "n_rows": F.col("_total")})
+        .drop("_offset", "_total", "_next_head", *[f"_sum_{c}" for c in running])
+    )
+    return replace(ordered, whole=whole, cut=write_through(cut, "numbered"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators.joins import join_on_key
-from tidemark.operators.ordering import Chunked
+from tidemark.operators.ordering import Ordered
 
 # fit_scope: which rows the statistics come from.
 SCOPES = ("all", "train", "per_split")
@@ -58,7 +58,7 @@ def scale_by_key(
     )
 
 
-def scale_series(chunked: Chunked, features: Sequence[str], fit_rows: Column | None = None) -> Chunked:
+def scale_series(ordered: Ordered, features: Sequence[str], fit_rows: Column | None = None) -> Ordered:
     """As ``scale_by_key``, for rows that are numbered already: no new shuffle."""
     inside = fit_rows if fit_rows is not None else F.lit(True)
     stats = {}
@@ -66,7 +66,7 @@ def scale_series(chunked: Chunked, features: Sequence[str], fit_rows: Column | N
         stats[f"{f}_min"] = F.min(F.when(inside, F.col(f)))
         stats[f"{f}_max"] = F.max(F.when(inside, F.col(f)))
     scaled = {f"{f}_scaled": C.min_max(F.col(f), F.col(f"{f}_min"), F.col(f"{f}_max")) for f in features}
-    return chunked.with_series_stats(stats).map(lambda rows: rows.withColumns(scaled))
+    return ordered.with_series_stats(stats).map(lambda rows: rows.withColumns(scaled))
 
 
 def unscale(df: DataFrame, features: Sequence[str], suffix: str = "_scaled", into: str = "_back") -> DataFrame:

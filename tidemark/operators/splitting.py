@@ -11,23 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemark.functions import columns as C
-from tidemark.operators.ordering import Chunked
+from tidemark.operators.ordering import Ordered
 
 
-def split_by_time(chunked: Chunked, share: float = 0.8) -> Chunked:
+def split_by_time(ordered: Ordered, share: float = 0.8) -> Ordered:
     """First share of each series is ``train``, the rest ``test``."""
-    return chunked.map(
+    return ordered.map(
         lambda rows: rows.withColumn("n_train", C.train_length(F.col("n_rows"), share)).withColumn(
             "split", F.when(F.col("pos") < F.col("n_train"), "train").otherwise("test")
         )
     )
 
 
-def only_split(chunked: Chunked, split: str) -> Chunked:
+def only_split(ordered: Ordered, split: str) -> Ordered:
     """Rows of one time split, with ``pos`` and ``n_rows`` counted inside it."""
     start = F.lit(0) if split == "train" else F.col("n_train")
     length = F.col("n_train") if split == "train" else F.col("n_rows") - F.col("n_train")
-    return chunked.map(
+    return ordered.map(
         lambda rows: rows.where(F.col("split") == split).withColumns(
             {"pos": F.col("pos") - start, "n_rows": length}
         )

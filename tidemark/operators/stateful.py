@@ -1,9 +1,9 @@
 """Scoring with a state that is carried along each series.
 
 The state is an exponential mean, ``s = a * x + (1 - a) * s``, which starts at
-the first value of a series. Its steps compose, so a long series is worked on
-in chunks: each chunk starts from nothing, a small table passes the state from
-chunk to chunk, and a second pass starts each chunk from the right state.
+the first value of a series. Its steps compose: a chunk of a long series can
+start from nothing, and the state before it is added afterwards, faded by the
+number of rows since. So long series are scanned in chunks, all at once.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.operators.ordering import CHUNK, Chunked, cut_into_chunks
+from tidemark.operators.ordering import CHUNK, EVERYTHING, cut_long_series
+from tidemark.session import write_through
 
 
 def scan_state(keep: np.ndarray, add: np.ndarray, state: float = 0.0) -> np.ndarray:
@@ -30,61 +31,60 @@ def scan_state(keep: np.ndarray, add: np.ndarray, state: float = 0.0) -> np.ndar
 
 
 def _scan_sorted(batches: Iterator[pd.DataFrame], group: list[str], value: str, alpha: float) -> Iterator[pd.DataFrame]:
-    """Scan rows that arrive sorted by group; the state passes from batch to batch."""
-    carried_group, carried = None, 0.0
+    """Scan rows that arrive sorted by group; the state passes from batch to batch.
+
+    Adds ``state`` and ``_faded``, the share that a state before the group's
+    first row would still have in it.
+    """
+    carried_group, carried, faded = None, 0.0, 1.0
     for batch in batches:
         if not len(batch):
             continue
         ids = batch[group]
         starts = (ids != ids.shift()).any(axis=1).to_numpy()
         starts[0] = carried_group != tuple(ids.iloc[0])
-        x, state_in = batch[value].to_numpy(np.float64), batch["_state_in"].to_numpy(np.float64)
-        opens = starts & batch["_opens"].to_numpy(bool)
+        x, opens = batch[value].to_numpy(np.float64), starts & batch["_opens"].to_numpy(bool)
         keep = np.where(starts, 0.0, 1 - alpha)
-        add = np.where(opens, x, alpha * x + np.where(starts & ~opens, (1 - alpha) * state_in, 0.0))
-        states = scan_state(keep, add, carried)
-        carried_group, carried = tuple(ids.iloc[-1]), states[-1]
-        yield batch.drop(columns=["_state_in", "_opens"]).assign(state=states)
+        states = scan_state(keep, np.where(opens, x, alpha * x), carried)
+        fades = scan_state(keep, np.where(starts & ~opens, 1 - alpha, 0.0), faded)
+        carried_group, carried, faded = tuple(ids.iloc[-1]), states[-1], fades[-1]
+        yield batch.drop(columns="_opens").assign(state=states, _faded=fades)
 
 
-def _scan_chunks(rows: DataFrame, chunked: Chunked, value: str, alpha: float) -> DataFrame:
-    group = chunked.group
-    together = rows.repartition(*group).sortWithinPartitions(*group, *chunked.order)
-    kept = [f for f in together.schema if f.name not in ("_state_in", "_opens")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return together.mapInPandas(lambda batches: _scan_sorted(batches, group, value, alpha), f"{schema}, state double")
+def _scan(rows: DataFrame, group: list[str], order: list[str], value: str, alpha: float) -> DataFrame:
+    together = rows.repartition(*group).sortWithinPartitions(*group, *order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_opens")
+    return together.mapInPandas(
+        lambda batches: _scan_sorted(batches, group, value, alpha), f"{schema}, state double, _faded double"
+    )
 
 
-def _pass_on(chunks: pd.DataFrame, alpha: float) -> pd.DataFrame:
+def _pass_on(chunks: pd.DataFrame) -> pd.DataFrame:
     """State before each chunk of a series, from the chunks' own final states."""
     chunks = chunks.sort_values(CHUNK)
-    after = scan_state((1 - alpha) ** chunks["size"].to_numpy(np.float64), chunks["final"].to_numpy(np.float64))
-    return chunks.assign(_state_in=np.concatenate([[0.0], after[:-1]])).drop(columns=["size", "final"])
+    after = scan_state(chunks["_faded"].to_numpy(np.float64), chunks["state"].to_numpy(np.float64))
+    return chunks.assign(_state_in=np.concatenate([[0.0], after[:-1]])).drop(columns=["state", "_faded"])
 
 
 def exponential_state(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float) -> DataFrame:
     """The rows with ``state``, the exponential mean up to and including each row."""
-    chunked = cut_into_chunks(df, keys, order)
-    fresh = {"_state_in": F.lit(0.0), "_opens": F.lit(True)}
-    if chunked.hot is None:
-        return _scan_chunks(chunked.df.withColumns(fresh), chunked, value, alpha).drop(CHUNK)
-
-    first = F.col(CHUNK) == F.min(CHUNK).over(Window.partitionBy(*chunked.keys))
-    openers = chunked.hot.groupBy(*chunked.group).count().drop("count").withColumn("_opens", first)
-    alone = chunked.hot.join(F.broadcast(openers), chunked.group).withColumn("_state_in", F.lit(0.0))
-    ends = (
-        _scan_chunks(alone, chunked, value, alpha)
-        .groupBy(*chunked.group)
-        .agg(F.count(F.lit(1)).alias("size"), F.max_by("state", F.struct(*chunked.order)).alias("final"))
-    )
-    # At most one row per chunk, so this grouping stays small.
-    key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ends.schema if f.name in chunked.group)
-    carried = (
-        ends.groupBy(*chunked.keys)
-        .applyInPandas(lambda chunks: _pass_on(chunks, alpha), f"{key_types}, _state_in double")
-        .withColumn("_opens", first)
-    )
-    rows = chunked.df.join(F.broadcast(carried), chunked.group, "left").withColumns(
-        {"_state_in": F.coalesce("_state_in", F.lit(0.0)), "_opens": F.coalesce("_opens", F.lit(True))}
+    ordered = cut_long_series(df, keys, order)
+    whole = _scan(ordered.whole.withColumn("_opens", F.lit(True)), ordered.keys, ordered.order, value, alpha)
+    whole = whole.drop("_faded", EVERYTHING)
+    if ordered.cut is None:
+        return whole
+
+    group = [*ordered.keys, CHUNK]
+    first = F.col(CHUNK) == F.min(CHUNK).over(Window.partitionBy(*ordered.keys))
+    openers = ordered.cut.groupBy(*group).agg(F.lit(1)).select(*group, first.alias("_opens"))
+    alone = _scan(ordered.cut.join(F.broadcast(openers), group), group, ordered.order, value, alpha)
+    alone = write_through(alone, "states")
+    # One row per chunk, so this table and the groups in it stay small.
+    last = F.max_by(F.struct("state", "_faded"), F.struct(*ordered.order)).alias("last")
+    ends = alone.groupBy(*group).agg(last).select(*group, "last.*")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ends.schema if f.name in group)
+    carried = ends.groupBy(*ordered.keys).applyInPandas(_pass_on, f"{types}, _state_in double")
+    cut = alone.join(F.broadcast(carried), group).withColumn(
+        "state", F.col("state") + F.col("_faded") * F.col("_state_in")
     )
-    return _scan_chunks(rows, chunked, value, alpha).drop(CHUNK)
+    return whole.unionByName(cut.drop("_faded", "_state_in", CHUNK, EVERYTHING))

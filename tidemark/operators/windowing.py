@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.operators.ordering import Chunked
+from tidemark.operators.ordering import CHUNK, EVERYTHING, Ordered
 
 LENGTH = 22
 
@@ -69,30 +69,28 @@ def batch_sizes(counts: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     )
 
 
-def window_arrays(chunked: Chunked, columns: Sequence[str], length: int = LENGTH, block: int = 4096) -> DataFrame:
+def window_arrays(ordered: Ordered, columns: Sequence[str], length: int = LENGTH, block: int = 4096) -> DataFrame:
     """One row per window with its steps as ``ARRAY<STRUCT<columns>>``.
 
-    Series that were not cut use their existing partitioning. For cut ones the
-    rows go to blocks of ``block`` positions, and the first rows of a block are
-    also sent to the block before it, so every window finds all its steps.
+    Whole series use their existing partitioning. Rows of cut series go to
+    blocks of ``block`` positions, and the first rows of a block are also sent
+    to the block before it, so every window finds all its steps.
     """
-    steps = F.struct(*columns)
+    steps = F.collect_list(F.struct(*columns))
     starts = F.col("pos") < window_total(F.col("n_rows"), length)
-    frame = (0, length - 1)
-    if chunked.hot is None:
-        over = Window.partitionBy(*chunked.group).orderBy("pos").rowsBetween(*frame)
-        return (
-            chunked.df.withColumn("steps", F.collect_list(steps).over(over))
-            .where(starts)
-            .withColumnRenamed("pos", "window_id")
+
+    def frame(*group: str):
+        return Window.partitionBy(*group).orderBy("pos").rowsBetween(0, length - 1)
+
+    windows = ordered.whole.drop(EVERYTHING).withColumn("steps", steps.over(frame(*ordered.keys))).where(starts)
+    if ordered.cut is not None:
+        own = F.floor(F.col("pos") / F.lit(block))
+        halo = (F.col("pos") % block < length - 1) & (own > 0)
+        blocks = F.explode(F.when(halo, F.array(own - 1, own)).otherwise(F.array(own)))
+        cut = (
+            ordered.cut.withColumn("_block", blocks)
+            .withColumn("steps", steps.over(frame(*ordered.keys, "_block")))
+            .where(starts & (F.col("_block") == own))
         )
-    own = F.floor(F.col("pos") / F.lit(block))
-    halo = (F.col("pos") % block < length - 1) & (own > 0)
-    over = Window.partitionBy(*chunked.keys, "_block").orderBy("pos").rowsBetween(*frame)
-    return (
-        chunked.df.withColumn("_block", F.explode(F.when(halo, F.array(own - 1, own)).otherwise(F.array(own))))
-        .withColumn("steps", F.collect_list(steps).over(over))
-        .where(starts & (F.col("_block") == own))
-        .drop("_block")
-        .withColumnRenamed("pos", "window_id")
-    )
+        windows = windows.unionByName(cut.drop("_block", CHUNK, EVERYTHING))
+    return windows.withColumnRenamed("pos", "window_id")

@@ -24,7 +24,7 @@ from tidemark.operators import (
 )
 from tidemark.operators.joins import join_on_key
 from tidemark.operators.learners import Learner, Updater
-from tidemark.operators.ordering import Chunked, cut_into_chunks, number_rows
+from tidemark.operators.ordering import Ordered, cut_long_series, number_rows
 from tidemark.operators.training import Averaging
 from tidemark.plans import adapters as A
 from tidemark.session import new_folder, write_through
@@ -54,12 +54,12 @@ def query(build: Query) -> Query:
     return build
 
 
-def numbered_series(spark: SparkSession, folder: str) -> Chunked:
+def numbered_series(spark: SparkSession, folder: str) -> Ordered:
     ordered = number_rows(A.series(spark, folder), ["series_id"], SERIES_ORDER, next_of=["value"])
     return splitting.split_by_time(ordered, SHARE)
 
 
-def numbered_bars(spark: SparkSession, folder: str, keep: bool = False) -> Chunked:
+def numbered_bars(spark: SparkSession, folder: str, keep: bool = False) -> Ordered:
     """Bars in order; ``keep`` writes the few bars once, for work that reads them repeatedly."""
     bars = A.bars(spark, folder)
     bars = write_through(bars, "bars") if keep else bars
@@ -110,7 +110,7 @@ def feature_stats_pooled(spark, folder):
 
 def scaled_bars(bars: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     """Scaled in one pass: a symbol has at most one bar per day, so its window is small."""
-    return scaling.scale_series(cut_into_chunks(bars, keys, ["date"], short=True), features).rows
+    return scaling.scale_series(cut_long_series(bars, keys, ["date"], short=True), features).rows
 
 
 @query
