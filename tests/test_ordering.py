@@ -49,6 +49,15 @@ def test_null_values_are_not_taken_for_a_missing_next_row(spark):
     assert got == {t: (rows[t + 1][2] if t < 39 else None) for t in range(40)}
 
 
+def test_missing_order_values_come_first(spark):
+    rows = [("a", None, i) for i in range(20)] + [("a", t, i if i else None) for t in range(10) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, t int, u int")
+    expect = [(r.t, r.u) for r in df.orderBy("t", "u").collect()]
+    for chunk_rows in (None, 1, 3):
+        done = number_rows(df, ["k"], ["t", "u"], chunk_rows=chunk_rows).rows.collect()
+        assert [(r.t, r.u) for r in sorted(done, key=lambda r: r.pos)] == expect
+
+
 @pytest.mark.parametrize("chunk_rows", [None, 4])
 def test_whole_table_is_one_series(series, chunk_rows):
     done = number_rows(series, [], ["k", "t", "u"], chunk_rows=chunk_rows).rows

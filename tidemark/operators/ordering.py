@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,35 +83,45 @@ class Ordered:
 def _cut_points(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int
 ) -> DataFrame | None:
-    """One row per series that needs cutting: its sorted cut points."""
+    """One row per series that needs cutting: its sorted cut points, and search steps."""
     hashed = F.xxhash64(*keys, *order)
+    complete = reduce(and_, [F.col(c).isNotNull() for c in order])
     picked = (
-        df.select(*keys, F.struct(*order).alias("_at"), hashed.alias("_hash"))
-        .where(F.pmod("_hash", F.lit(chunk_rows)) == 0)
+        df.select(*keys, F.struct(*order).alias("_at"), hashed.alias("_hash"), complete.alias("_complete"))
+        .where((F.pmod("_hash", F.lit(chunk_rows)) == 0) & F.col("_complete"))
         .orderBy("_hash")
         .limit(MAX_CUTS)
-        .drop("_hash")
+        .drop("_hash", "_complete")
     )
     found = picked.collect()  # at most MAX_CUTS small rows, usually none
     if not found:
         return None
+    powers = F.array(*[F.lit(1 << b) for b in range(CUT_BITS, -1, -1)])
     return (
         df.sparkSession.createDataFrame(found, picked.schema)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_set("_at")).alias("_cuts"))
+        .withColumn("_steps", F.filter(powers, lambda step: step <= F.size("_cuts")))
     )
 
 
-def _chunk_of(cuts: str, order: Sequence[str]) -> Column:
+def _at_or_before(cut: Column, order: Sequence[str]) -> Column:
+    """Does the cut point lie at or before the row? Compares column by column."""
+    at_or_before = F.lit(True)
+    for name in reversed(order):
+        same = cut[name] == F.col(name)
+        at_or_before = (cut[name] < F.col(name)) | (same & at_or_before)
+    return at_or_before
+
+
+def _chunk_of(order: Sequence[str]) -> Column:
     """How many cut points lie at or before the row: a binary search."""
-    here = F.struct(*order)
-    steps = F.array(*[F.lit(1 << b) for b in range(CUT_BITS, -1, -1)])
-    found = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda low, step: F.when(F.get(F.col(cuts), low + step - 1) <= here, low + step).otherwise(low),
-    )
-    return F.when(F.col(cuts).isNull(), F.lit(0)).otherwise(found)
+
+    def search(low: Column, step: Column) -> Column:
+        cut = F.get(F.col("_cuts"), low + step - 1)
+        return F.when(_at_or_before(cut, order), low + step).otherwise(low)
+
+    return F.aggregate("_steps", F.lit(0), search)
 
 
 def cut_long_series(
@@ -139,7 +151,7 @@ def cut_long_series(
         whole=df.join(F.broadcast(cuts.select(*keys)), keys, "left_anti"),
         keys=keys,
         order=order,
-        cut=df.join(F.broadcast(cuts), keys).withColumn(CHUNK, _chunk_of("_cuts", order)).drop("_cuts"),
+        cut=df.join(F.broadcast(cuts), keys).withColumn(CHUNK, _chunk_of(order)).drop("_cuts", "_steps"),
     )
 
 
