@@ -5,8 +5,8 @@ from compare import connect, differences
 from conftest import TINY
 
 import __spark_entry__ as entry_points
-
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
+from tidemark.plans.oracle import ORACLE
+from tidemark.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +32,7 @@ def test_equals_sql_when_series_are_cut(spark, con, cut_small, name):
 
 
 def test_every_sql_has_a_query():
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     assert set(ORACLE) <= set(QUERIES)
 
 
