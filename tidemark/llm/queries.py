@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, licences, mixing
+from tidemark.llm import decontamination, licences, mixing, quality, token_files, toxicity
+from tidemark.llm.labelled import fold
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +18,33 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def _classified(scored: DataFrame, folds: int, out: int) -> DataFrame:
+    return scored.select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), folds) == out, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; learnt from rows outside fold 0 of 5."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return _classified(toxicity.tag(docs, model), 5, 0)
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; learnt from rows outside fold 1 of 3."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"), fold(F.col("doc_id"), 3) != 1)
+    return _classified(quality.score(docs, model), 3, 1)
+
+
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's place, length and checksum, from the files of ids."""
+    written = token_files.write(table(spark, folder, "documents").select("doc_id", "text"))
+    return token_files.documents(spark, written).withColumnRenamed("key", "doc_id")
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """What the mix takes of each document."""
     mixed = mixing.mix(table(spark, folder, "documents"))
@@ -35,6 +63,9 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
+    "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
