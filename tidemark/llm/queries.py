@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, licences, mixing, quality, token_files, toxicity
+from tidemark.llm import decontamination, jaccard, licences, mixing, quality, token_files, toxicity
 from tidemark.llm.labelled import fold
 
 
@@ -32,6 +32,11 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return _classified(toxicity.tag(docs, model), 5, 0)
 
 
+def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document; learnt from rows outside fold 1 of 3."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -64,6 +69,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality": op4_quality,
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,

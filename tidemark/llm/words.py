@@ -93,8 +93,8 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
         if b - a >= width:
             sets.append(np.unique(whole[a : b - width + 1]))
         elif b > a:
-            short = (words[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64) + _PLACES[width + b - a]
-            sets.append(mixed(np.array([short], np.uint64)))
+            short = (words[a:b] * _PLACES[: b - a]).sum(keepdims=True, dtype=np.uint64)
+            sets.append(mixed(short + _PLACES[width + b - a : width + b - a + 1]))
         else:
             sets.append(np.empty(0, np.uint64))
     return sets
