@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard, licences, mixing, quality, token_files, toxicity
+from tidemark.llm import decontamination, jaccard, licences, mixing, quality, site_trees, token_files, toxicity
 from tidemark.llm.labelled import fold
 
 
@@ -44,6 +44,12 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return _classified(quality.score(docs, model), 3, 1)
 
 
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = site_trees.extract(table(spark, folder, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's place, length and checksum, from the files of ids."""
     written = token_files.write(table(spark, folder, "documents").select("doc_id", "text"))
@@ -71,6 +77,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality": op4_quality,
+    "op5_html_extraction": op5_html_extraction,
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
