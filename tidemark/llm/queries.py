@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard, licences, mixing, quality, site_trees, token_files, toxicity
+from tidemark.llm import decontamination, embeddings, jaccard, licences, mixing, quality, site_trees, token_files, toxicity
 from tidemark.llm.labelled import fold
 
 
@@ -50,6 +50,11 @@ def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's place, length and checksum, from the files of ids."""
     written = token_files.write(table(spark, folder, "documents").select("doc_id", "text"))
@@ -78,6 +83,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality": op4_quality,
     "op5_html_extraction": op5_html_extraction,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
