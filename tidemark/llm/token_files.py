@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import re
 import sys
 import types
 import zlib
@@ -24,8 +25,10 @@ SHARD_IDS = 1 << 20
 # Characters of text in a task's part, the file.
 PART_CHARS = 16 << 20
 END_ID = 0
+# Text encoded at once; the more, the fewer pieces come twice.
+SLICE_BYTES = 12 << 20
 # Pieces of text whose ids a worker keeps, in each of two generations.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 400_000
 
 SHARD = (
     "part int, seq int, first bigint, n bigint, bits int, zeros array<int>, planes array<binary>, ranks array<binary>, "
@@ -37,6 +40,9 @@ _SHARD_ARROW = pa.schema([
 ])
 
 
+_SPACED_WORD = re.compile(r" \S+")
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary file lies on this machine."""
     return importlib.import_module("public_tokenizers").path(name)
@@ -69,30 +75,34 @@ class _Encoder:
 
     def _missing(self, pieces: list[str]) -> None:
         """Encode pieces; words after one space together, as their first ids show where each begins."""
-        plain = [p for p in pieces if p[:1] == " " and len(p) > 1 and len(p.split()) == 1 and not p[1].isspace() and not p[-1].isspace()]
+        plain, left = [], []
+        for piece in pieces:
+            (plain if _SPACED_WORD.fullmatch(piece) else left).append(piece)
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        left = []
+        width = np.dtype(self.kind).itemsize
         for group, coded in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(coded.ids, self.kind)
-            starts = np.flatnonzero(self.opens[ids])
+            starts = (np.flatnonzero(self.opens[ids]) * width).tolist()
             if len(starts) == len(group) and starts[0] == 0:
-                for piece, part in zip(group, np.split(ids, starts[1:])):
-                    self.new[piece] = part.tobytes()
+                raw = ids.tobytes()
+                self.new.update(zip(group, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]))
             else:
                 left += group
-        chosen = set(plain)
-        left += [p for p in pieces if p not in chosen]
         self.new.update(zip(left, self._whole(left)))
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         if len(self.new) > KEPT_PIECES:
             self.old, self.new = self.new, {}
-        known = [self.new.get(p) for p in pieces]
-        for i, ids in enumerate(known):
-            if ids is None and (ids := self.old.get(pieces[i])) is not None:
-                known[i] = self.new[pieces[i]] = ids
-        self._missing([p for p, ids in zip(pieces, known) if ids is None])
-        return [self.new[p] if ids is None else ids for p, ids in zip(pieces, known)]
+        missing = []
+        for piece in pieces:
+            if piece not in self.new:
+                ids = self.old.get(piece)
+                if ids is None:
+                    missing.append(piece)
+                else:
+                    self.new[piece] = ids
+        self._missing(missing)
+        return list(map(self.new.__getitem__, pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and where each text's ids begin."""
@@ -162,7 +172,7 @@ def write(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", folder: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(path), TaskContext.get().partitionId()
         seq, first, held, ids, keys, ends = 0, 0, 0, [], [], []
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES, rows=10_000):
             flat, at = encoder.encode(batch.column("text"))
             names = batch.column("key").to_pylist()
             done = 0

@@ -23,7 +23,7 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, ranks, zeros = [], [], []
         for level in range(bits - 1, -1, -1):
-            ones = (ids >> level) & 1 == 1
+            ones = (ids & ids.dtype.type(1 << level)) != 0
             packed = np.packbits(ones, bitorder="little")
             planes.append(packed.tobytes())
             padded = np.zeros(-(-len(packed) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)

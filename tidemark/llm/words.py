@@ -26,16 +26,16 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of a few megabytes of text."""
     for batch in batches:
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(column)
-        size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
-        for i, n in enumerate(size):
-            if i > start and (held + n > SLICE_BYTES or i - start >= SLICE_ROWS):
+        for i, n in enumerate(lengths):
+            if i > start and (held + n > size or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += int(n)
