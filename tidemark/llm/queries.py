@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, embeddings, jaccard, licences, mixing, quality, site_trees, token_files, toxicity
+from tidemark.llm import decontamination, embeddings, jaccard, language_model, licences, mixing, quality, site_trees, token_files, toxicity
 from tidemark.llm.labelled import fold
 
 
@@ -50,6 +50,12 @@ def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
 
 
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all documents; learnt from those outside fold 2 of 7."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return language_model.score(docs, fold(F.col("doc_id"), 7) == 2)
+
+
 def op7_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all vectors."""
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
@@ -83,6 +89,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality": op4_quality,
     "op5_html_extraction": op5_html_extraction,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
