@@ -17,28 +17,26 @@ def word_features(distinct: list[str], sizes: tuple[int, ...], buckets: int) ->
     """
     n = len(distinct)
     if not n:
-        return np.empty(0, np.int64), np.zeros(1, np.int64)
+        return np.empty(0, np.int32), np.zeros(1, np.int64)
     text = "".join(f"<{w}>" for w in distinct)
     chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    length = np.fromiter((len(w) + 2 for w in distinct), np.int64, n)
-    end = np.cumsum(length)
-    owner = np.repeat(np.arange(n), length)
-    last = end[owner]
-    parts, owners = [hash_strings(distinct, seed=1)], [np.arange(n)]
+    length = np.fromiter((len(w) + 2 for w in distinct), np.int32, n)
+    owner = np.repeat(np.arange(n, dtype=np.int32), length)
+    last = np.cumsum(length, dtype=np.int32)[owner]
+    parts, owners = [(hash_strings(distinct, seed=1) % np.uint64(buckets)).astype(np.int32)], [np.arange(n, dtype=np.int32)]
     for size in sizes:
         if len(chars) < size:
             continue
         code = np.full(len(chars) - size + 1, size, np.uint64)
         for j in range(size):
             code = code * _STEP + chars[j : j + len(code)]
-        at = np.arange(len(code))
-        inside = at + size <= last[: len(code)]
-        parts.append(mixed(code[inside]))
+        inside = np.arange(size, size + len(code), dtype=np.int32) <= last[: len(code)]
+        parts.append((mixed(code[inside]) % np.uint64(buckets)).astype(np.int32))
         owners.append(owner[: len(code)][inside])
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     starts = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=n))))
-    return (np.concatenate(parts)[order] % np.uint64(buckets)).astype(np.int64), starts
+    return np.concatenate(parts)[order], starts
 
 
 def pair_features(hashes: np.ndarray, starts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from tidemark.llm.words import encode_words, slices, split_words
 
 NGRAMS = (4, 5, 6)
 BUCKETS = 1 << 20
-SAMPLE = 6000
+SAMPLE = 3000
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
