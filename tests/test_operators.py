@@ -202,7 +202,10 @@ def test_regression_report(spark):
 def test_forecast_of_a_line_is_exact(bars):
     rising = bars.where("symbol = 'LONG'")
     fitted = forecasting.prepare(rising, ["symbol"], ["date"], ["open", "volume"], short=True)
-    assert forecasting.forecast_test_rows(fitted, ["open", "volume"]).count() == 0  # constant volume: no model
+    pairs = forecasting.forecast_test_rows(fitted, ["open", "volume"]).collect()
+    assert pairs and {p.feature for p in pairs} == {"open"}  # a constant volume has no model
+    lacking = forecasting.unfitted(fitted, ["open", "volume"]).collect()
+    assert [(r.feature, r.reason) for r in lacking] == [("volume", "constant in train")]
     pairs = forecasting.forecast_test_rows(fitted, ["open"]).collect()
     assert len(pairs) == 6
     assert all(p.predict == pytest.approx(p.actual) for p in pairs)

@@ -93,6 +93,26 @@ def test_join_on_hot_key_keeps_every_row(spark, series, how):
     assert hot_keys(series, ["k"], 10_000) is None
 
 
+def test_hot_keys_without_other_columns_and_refused_joins(spark, series):
+    keys, right = series.select("k"), spark.createDataFrame([("long", 1), ("s5", 3)], "k string, y int")
+    assert join_on_key(keys, right, ["k"], hot_rows=100).count() == 305
+    for how in ("right", "full"):
+        with pytest.raises(ValueError):
+            join_on_key(series, right, ["k"], how, hot_rows=100)
+
+
+def test_a_null_key_is_cut_like_any_other(spark):
+    rows = [(None, t, float(t)) for t in range(100)] + [("a", t, 1.0) for t in range(4)]
+    df = spark.createDataFrame(rows, "k string, t int, x double").repartition(3)
+    done = number_rows(df, ["k"], ["t"], next_of=["x"], running=["x"], chunk_rows=10)
+    assert done.whole.count() == 4 and done.cut.groupBy("_chunk").count().agg(F.max("count")).first()[0] < 40
+    done = done.with_series_stats({"top": F.max("x")})
+    got = {r.t: (r.pos, r.n_rows, r.next_x, r.x_before, r.top) for r in done.rows.where("k is null").collect()}
+    assert got == {t: (t, 100, t + 1.0 if t < 99 else None, t * (t - 1) / 2, 99.0) for t in range(100)}
+    states = exponential_state(df, ["k"], ["t"], "x", 0.5).where("k is null").orderBy("t").collect()
+    assert len(states) == 100 and states[2].state == pytest.approx(1.25)
+
+
 @pytest.mark.parametrize("chunk_rows", ["1000000", "1", "6"])
 @pytest.mark.parametrize("alpha", [0.02, 0.3, 1.0])
 def test_exponential_state(spark, series, chunk_rows, alpha):

@@ -69,6 +69,23 @@ def test_file_pairs_keep_both_contents(spark, folders):
         assert p.features_path != p.labels_path
 
 
+def test_file_pairs_need_the_whole_name_to_be_a_number(spark, tmp_path):
+    for side, name in (("x", "12"), ("x", "note13"), ("y", "12"), ("y", "13")):
+        (tmp_path / side).mkdir(exist_ok=True)
+        (tmp_path / side / f"{name}.csv").write_text("1\n")
+    with pytest.raises(Exception, match="note13"):
+        read_file_pairs(spark, f"{tmp_path}/x", f"{tmp_path}/y").collect()
+    pairs = read_file_pairs(spark, f"{tmp_path}/x", f"{tmp_path}/y", strict_names=False).collect()
+    assert [p.seq_id for p in pairs] == [12]
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_blank_lines_are_no_rows(spark, tmp_path, large):
+    (tmp_path / "1.csv").write_text("1,2\n3,4\n\n  \n")
+    rows = read_numbered_files(spark, str(tmp_path), ["a", "b"], large_files=large).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 0, 1.0, 2.0), (1, 1, 3.0, 4.0)]
+
+
 def test_line_numbers_of_a_file_read_in_many_blocks(spark, tmp_path):
     (tmp_path / "a.txt").write_text("".join(f"{i}  {'9' * (i % 13)}1\n" for i in range(3000)))
     (tmp_path / "b.txt").write_text("x\ny\n")
@@ -139,5 +156,7 @@ def test_model_survives_saving(spark, tmp_path):
     assert all(np.array_equal(a, b) for a, b in zip(back.history, model.history))
     two = load_model(spark, f"{tmp_path}/m", "two")
     assert np.array_equal(two.weights, model.weights * 2) and not two.state[1:].any()
+    with pytest.raises(ValueError):
+        save_model(spark, model, f"{tmp_path}/m", "one")
     with pytest.raises(ValueError):
         load_model(spark, f"{tmp_path}/m", "three")

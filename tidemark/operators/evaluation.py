@@ -74,8 +74,8 @@ def regression_report(df: DataFrame, by: Sequence[str] = (), actual: str = "actu
         F.covar_pop(y, p).alias("_cov"),
         spread.alias("_spread"),
     )
-    rse = F.when(F.col("_var") > 1e-12, F.col("mse") / F.nullif(F.col("_var"), F.lit(0.0)))
-    r = F.when(F.col("_spread") > 1e-12, F.col("_cov") / F.nullif(F.col("_spread"), F.lit(0.0)))
+    rse = F.when(F.col("_var") > 0, F.col("mse") / F.nullif(F.col("_var"), F.lit(0.0)))
+    r = F.when(F.col("_spread") > 0, F.col("_cov") / F.nullif(F.col("_spread"), F.lit(0.0)))
     return sums.select(
         *by, "n", "mse", "mae", F.sqrt("mse").alias("rmse"), rse.alias("rse"), (1 - rse).alias("r2"), r.alias("pearson_r")
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,12 +55,26 @@ def predict_next(df: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
+def unfitted_reason(feature: str) -> Column:
+    """Why a series has no model of a feature; null where it has one."""
+    return (
+        F.when(F.col("n_train") < 3, "fewer than 3 train rows")
+        .when(F.col(f"{feature}_max").isNull(), "no train values")
+        .when(F.col(f"{feature}_max") <= F.col(f"{feature}_min"), "constant in train")
+        .when(F.col(f"{feature}_slope").isNull(), "constant before the last train row")
+    )
+
+
 def fitted_series(features: Sequence[str]) -> Column:
-    """True where a model exists: 3 train rows, and a range above zero."""
-    ok = F.col("n_train") >= 3
-    for f in features:
-        ok = ok & (F.col(f"{f}_max") > F.col(f"{f}_min")) & F.col(f"{f}_slope").isNotNull()
-    return ok
+    """True where any of the features has a model."""
+    return reduce(or_, [unfitted_reason(f).isNull() for f in features])
+
+
+def unfitted(ordered: Ordered, features: Sequence[str]) -> DataFrame:
+    """(keys, feature, reason, n_rows): series and features without a model, once each."""
+    reasons = F.array(*[F.struct(F.lit(f).alias("feature"), unfitted_reason(f).alias("reason")) for f in features])
+    first = ordered.rows.where(F.col("pos") == 0).select(*ordered.keys, "n_rows", F.inline(reasons))
+    return first.where(F.col("reason").isNotNull()).select(*ordered.keys, "feature", "reason", "n_rows")
 
 
 def forecast_test_rows(ordered: Ordered, features: Sequence[str]) -> DataFrame:
@@ -78,13 +94,14 @@ def forecast_test_windows(ordered: Ordered, features: Sequence[str], length: int
 
 
 def long_pairs(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """(keys, idx, feature, predict, actual), one row per feature."""
+    """(keys, idx, feature, predict, actual), one row per feature that has a model."""
     pairs = F.array(
         *[
             F.struct(
-                F.lit(f).alias("feature"), F.col(f"{f}_predict").alias("predict"), F.col(f"next_{f}").alias("actual")
+                F.lit(f).alias("feature"), F.col(f"{f}_predict").alias("predict"), F.col(f"next_{f}").alias("actual"),
+                (unfitted_reason(f).isNull() if f"{f}_slope" in df.columns else F.lit(True)).alias("has_model"),
             )
             for f in features
         ]
     )
-    return df.select(*keys, "idx", F.inline(pairs))
+    return df.select(*keys, "idx", F.inline(pairs)).where("has_model").drop("has_model")

@@ -7,26 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import DEFAULT_HOT_ROWS, HOT_ROWS, int_setting
+from tidemark.session import DEFAULT_HOT_ROWS, HOT_ROWS, int_setting, write_through
 
-SAMPLE_RATE = 1 / 256
-SALTS = 256
+# Joins that may repeat rows of the right side without changing the result.
+HOWS = {"inner", "left", "left_outer", "leftouter", "left_semi", "leftsemi", "semi", "left_anti", "leftanti", "anti"}
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
-    """Keys with about ``hot_rows`` rows or more, estimated from a sample.
+    """Keys with ``hot_rows`` rows or more, and into how many parts (``_salts``) their rows go; None if there is none.
 
-    The estimate only decides which keys get salted, never which rows are kept.
-    At most (rows / hot_rows) keys can qualify.
+    Counts are pre-aggregated; the table of hot keys stays distributed.
     """
     limit = hot_rows or int_setting(df.sparkSession, HOT_ROWS, DEFAULT_HOT_ROWS)
-    if limit * SAMPLE_RATE >= 32:
-        drawn, least = df.select(*keys).sample(SAMPLE_RATE, seed=7), limit * SAMPLE_RATE
-    else:
-        drawn, least = df.select(*keys), limit
-    counted = drawn.groupBy(*keys).count().where(F.col("count") >= least).drop("count")
-    found = counted.collect()
-    return df.sparkSession.createDataFrame(found, counted.schema) if found else None
+    counted = df.groupBy(*keys).count().where(F.col("count") >= limit)
+    salts = F.ceil(2 * F.col("count") / F.lit(limit)).cast("int").alias("_salts")
+    found = write_through(counted.select(*keys, salts), "hot-keys")
+    return None if found.isEmpty() else found
 
 
 def join_on_key(
@@ -38,23 +34,21 @@ def join_on_key(
 ) -> DataFrame:
     """Join ``many`` (any number of rows per key) with ``one`` (few per key).
 
-    Rows of a hot key get a random-looking but repeatable salt, and the other
-    side repeats its rows of that key once per salt.
+    Rows of a hot key get a random-looking but repeatable salt, as many as its
+    rows need, and the other side repeats its rows of that key once per salt.
+    Right and full joins would return those copies, and are refused.
     """
+    if how not in HOWS:
+        raise ValueError(f"join_on_key offers no {how!r} join")
     keys = list(keys)
     hot = hot_keys(many, keys, hot_rows)
     if hot is None:
         return many.join(one, keys, how)
-    flagged = hot.withColumn("_hot", F.lit(True))
     rest = [c for c in many.columns if c not in keys]
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int")).otherwise(0)
-    salted = many.join(flagged, keys, "left").withColumn("_salt", salt).drop("_hot")
-    spread = (
-        one.join(flagged, keys, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_hot")
-    )
+    # Rows that are keys only are alike; their place tells them apart.
+    drawn = F.xxhash64(*rest) if rest else F.monotonically_increasing_id()
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(drawn, F.col("_salts")).cast("int")).otherwise(0)
+    salted = many.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    spread = one.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")

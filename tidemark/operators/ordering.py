@@ -1,10 +1,11 @@
 """Ordered work over many series, safe when one series holds most of the rows.
 
 A plain ``Window.partitionBy(series)`` puts a whole series into one task. So
-series that are too long go a way of their own: they are cut into *chunks* at a
-few of their rows, picked by a hash of the row, and a row's chunk is the number
-of cut points at or before it. The chunk depends only on the row and the cut
-points, so a lost and recomputed task always gives the same rows.
+series that are too long go a way of their own: their rows are sorted into
+ranges of bounded size across tasks and written once, each with the number of
+its range, its *chunk*. Everything later reads the chunk from the written rows,
+so a lost and recomputed task can't change it. The number of chunks grows with
+the rows; a chunk doesn't.
 
 Windows then run per (series, chunk), and what crosses a chunk border (row
 offset, running sums, first row of the next chunk, totals) comes from a table
@@ -28,19 +29,17 @@ from tidemark.session import CHUNK_ROWS, DEFAULT_CHUNK_ROWS, int_setting, write_
 CHUNK = "_chunk"
 EVERYTHING = "_everything"
 
-# Upper limit for all cut points together. It bounds every broadcast below;
-# with more rows the chunks grow instead, and no row is left out.
-CUT_BITS = 14
-MAX_CUTS = 1 << CUT_BITS
+
+def join_series(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on series keys; a null key is a key like any other. Keeps the left side's keys."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(and_, [F.expr(f"`{k}` <=> `_right_{k}`") for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 @dataclass(frozen=True)
 class Ordered:
-    """Rows of many series: ``whole`` series, and those ``cut`` into chunks.
-
-    At most MAX_CUTS series are cut, into at most ``2 * MAX_CUTS`` chunks, so a
-    table with a row for each of them can be broadcast.
-    """
+    """Rows of many series: ``whole`` series, and those ``cut`` into chunks."""
 
     whole: DataFrame
     keys: list[str]
@@ -68,60 +67,15 @@ class Ordered:
         if self.cut is None:
             return replace(self, whole=whole)
         totals = self.cut.groupBy(*self.keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-        return replace(self, whole=whole, cut=self.cut.join(F.broadcast(totals), self.keys))
+        return replace(self, whole=whole, cut=join_series(self.cut, totals, self.keys))
 
     def attach(self, right: DataFrame, how: str = "inner") -> Ordered:
         """Join a table with one row per series; the rows stay where they are."""
         whole = self.whole.join(right, self.keys, how)
         if self.cut is None:
             return replace(self, whole=whole)
-        ids = self.cut.select(*self.keys).distinct()
-        mine = right.join(F.broadcast(ids), self.keys, "left_semi")
-        return replace(self, whole=whole, cut=self.cut.join(F.broadcast(mine), self.keys, how))
-
-
-def _cut_points(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int
-) -> DataFrame | None:
-    """One row per series that needs cutting: its sorted cut points, and search steps."""
-    hashed = F.xxhash64(*keys, *order)
-    complete = reduce(and_, [F.col(c).isNotNull() for c in order])
-    picked = (
-        df.select(*keys, F.struct(*order).alias("_at"), hashed.alias("_hash"), complete.alias("_complete"))
-        .where((F.pmod("_hash", F.lit(chunk_rows)) == 0) & F.col("_complete"))
-        .orderBy("_hash")
-        .limit(MAX_CUTS)
-        .drop("_hash", "_complete")
-    )
-    found = picked.collect()  # at most MAX_CUTS small rows, usually none
-    if not found:
-        return None
-    powers = F.array(*[F.lit(1 << b) for b in range(CUT_BITS, -1, -1)])
-    return (
-        df.sparkSession.createDataFrame(found, picked.schema)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set("_at")).alias("_cuts"))
-        .withColumn("_steps", F.filter(powers, lambda step: step <= F.size("_cuts")))
-    )
-
-
-def _at_or_before(cut: Column, order: Sequence[str]) -> Column:
-    """Does the cut point lie at or before the row? Compares column by column."""
-    at_or_before = F.lit(True)
-    for name in reversed(order):
-        same = cut[name] == F.col(name)
-        at_or_before = (cut[name] < F.col(name)) | (same & at_or_before)
-    return at_or_before
-
-
-def _chunk_of(order: Sequence[str]) -> Column:
-    """How many cut points lie at or before the row: a binary search."""
-
-    def search(low: Column, step: Column) -> Column:
-        cut = F.get(F.col("_cuts"), low + step - 1)
-        return F.when(_at_or_before(cut, order), low + step).otherwise(low)
-
-    return F.aggregate("_steps", F.lit(0), search)
+        # One row per series on the right: a small table, or a join whose skewed side Spark can split.
+        return replace(self, whole=whole, cut=self.cut.join(right, self.keys, how))
 
 
 def cut_long_series(
@@ -141,17 +95,21 @@ def cut_long_series(
     if not keys:
         keys = [EVERYTHING]
         df = df.withColumn(EVERYTHING, F.lit(1))
-    cuts = None
-    if not short:
-        size = chunk_rows or int_setting(df.sparkSession, CHUNK_ROWS, DEFAULT_CHUNK_ROWS)
-        cuts = _cut_points(df, keys, order, size)
-    if cuts is None:
+    if short:
+        return Ordered(df, keys, order)
+    size = chunk_rows or int_setting(df.sparkSession, CHUNK_ROWS, DEFAULT_CHUNK_ROWS)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
+    long = write_through(counts, "long-series")
+    total = long.agg(F.sum("_n")).first()[0]
+    if total is None:
         return Ordered(df, keys, order)
+    long = long.drop("_n")
+    ranges = join_series(df, long, keys, "left_semi").repartitionByRange(-(-total // size), *keys, *order)
     return Ordered(
-        whole=df.join(F.broadcast(cuts.select(*keys)), keys, "left_anti"),
+        whole=join_series(df, long, keys, "left_anti"),
         keys=keys,
         order=order,
-        cut=df.join(F.broadcast(cuts), keys).withColumn(CHUNK, _chunk_of(order)).drop("_cuts", "_steps"),
+        cut=write_through(ranges.withColumn(CHUNK, F.spark_partition_id()), "chunks"),
     )
 
 
@@ -215,8 +173,7 @@ def number_rows(
     }
     moved |= {f"{c}_before": F.col(f"{c}_before") + F.col(f"_sum_{c}") for c in running}
     cut = (
-        numbered(ordered.cut, group)
-        .join(F.broadcast(borders), group)
+        join_series(numbered(ordered.cut, group), borders, group)
         .withColumns(moved)
         .withColumns({"pos": F.col("pos") + F.col("_offset"), "n_rows": F.col("_total")})
         .drop("_offset", "_total", "_next_head", *[f"_sum_{c}" for c in running])

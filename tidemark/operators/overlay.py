@@ -17,7 +17,7 @@ def shared_range(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Whole-number value range of both series, 2% wider than the data."""
     low = F.min(F.least("predict", "actual")) * 0.98
     high = F.max(F.greatest("predict", "actual")) * 1.02
-    return pairs.groupBy(*keys).agg(low.cast("int").alias("range_min"), high.cast("int").alias("range_max"))
+    return pairs.groupBy(*keys).agg(low.cast("bigint").alias("range_min"), high.cast("bigint").alias("range_max"))
 
 
 def train_actual_predicted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

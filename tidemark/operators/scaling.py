@@ -82,10 +82,10 @@ def unscale(df: DataFrame, features: Sequence[str], suffix: str = "_scaled", int
 def with_feature_stats(df: DataFrame, feature: str, value: str, fit_rows: Column | None = None) -> DataFrame:
     """Attach pooled statistics to a long table ``(…, feature, value)``.
 
-    One stats row per feature, so the broadcast is as small as the schema.
+    Features are data, so their number isn't bounded: Spark chooses the join.
     """
     fitted = df if fit_rows is None else df.where(fit_rows)
-    return df.join(F.broadcast(moments_long(fitted, [feature], value)), [feature])
+    return df.join(moments_long(fitted, [feature], value), [feature])
 
 
 def scale_vector_min_max(

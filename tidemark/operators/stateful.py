@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.operators.ordering import CHUNK, EVERYTHING, cut_long_series
+from tidemark.operators.ordering import CHUNK, EVERYTHING, cut_long_series, join_series
 from tidemark.session import write_through
 
 
@@ -30,6 +30,10 @@ def scan_state(keep: np.ndarray, add: np.ndarray, state: float = 0.0) -> np.ndar
     return np.fromiter(islice(accumulate(steps, lambda s, step: step[0] * s + step[1], initial=state), 1, None), float)
 
 
+def _group_of(ids: pd.Series) -> tuple:
+    return tuple(None if pd.isna(v) else v for v in ids)
+
+
 def _scan_sorted(batches: Iterator[pd.DataFrame], group: list[str], value: str, alpha: float) -> Iterator[pd.DataFrame]:
     """Scan rows that arrive sorted by group; the state passes from batch to batch.
 
@@ -41,13 +45,14 @@ def _scan_sorted(batches: Iterator[pd.DataFrame], group: list[str], value: str,
         if not len(batch):
             continue
         ids = batch[group]
-        starts = (ids != ids.shift()).any(axis=1).to_numpy()
-        starts[0] = carried_group != tuple(ids.iloc[0])
+        before = ids.shift()
+        starts = ((ids != before) & ~(ids.isna() & before.isna())).any(axis=1).to_numpy()
+        starts[0] = carried_group != _group_of(ids.iloc[0])
         x, opens = batch[value].to_numpy(np.float64), starts & batch["_opens"].to_numpy(bool)
         keep = np.where(starts, 0.0, 1 - alpha)
         states = scan_state(keep, np.where(opens, x, alpha * x), carried)
         fades = scan_state(keep, np.where(starts & ~opens, 1 - alpha, 0.0), faded)
-        carried_group, carried, faded = tuple(ids.iloc[-1]), states[-1], fades[-1]
+        carried_group, carried, faded = _group_of(ids.iloc[-1]), states[-1], fades[-1]
         yield batch.drop(columns="_opens").assign(state=states, _faded=fades)
 
 
@@ -77,14 +82,14 @@ def exponential_state(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     group = [*ordered.keys, CHUNK]
     first = F.col(CHUNK) == F.min(CHUNK).over(Window.partitionBy(*ordered.keys))
     openers = ordered.cut.groupBy(*group).agg(F.lit(1)).select(*group, first.alias("_opens"))
-    alone = _scan(ordered.cut.join(F.broadcast(openers), group), group, ordered.order, value, alpha)
+    alone = _scan(join_series(ordered.cut, openers, group), group, ordered.order, value, alpha)
     alone = write_through(alone, "states")
     # One row per chunk, so this table and the groups in it stay small.
     last = F.max_by(F.struct("state", "_faded"), F.struct(*ordered.order)).alias("last")
     ends = alone.groupBy(*group).agg(last).select(*group, "last.*")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ends.schema if f.name in group)
     carried = ends.groupBy(*ordered.keys).applyInPandas(_pass_on, f"{types}, _state_in double")
-    cut = alone.join(F.broadcast(carried), group).withColumn(
+    cut = join_series(alone, carried, group).withColumn(
         "state", F.col("state") + F.col("_faded") * F.col("_state_in")
     )
     return whole.unionByName(cut.drop("_faded", "_state_in", CHUNK, EVERYTHING))

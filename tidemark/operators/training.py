@@ -2,8 +2,9 @@
 
 Rows never reach the driver: it holds one parameter vector between rounds.
 In a round, each worker fits its next few batches from the averaged vector, and
-Spark averages the results, weighted by rows. Rows move once, when they are
-dealt out; the rounds of all epochs read them where they lie.
+Spark averages the results, weighted by rows. Which rows a worker sees in which
+round and order follows from a hash of their ids and the number of workers that
+is asked for, not from cores, files or partitions.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation
 from tidemark.operators.learners import Learner, Updater
-from tidemark.operators.ordering import number_rows
 from tidemark.session import new_folder, write_through
 
-ROUND_SCHEMA = "worker INT, batch_id LONG, pos LONG, x ARRAY<DOUBLE>, y ARRAY<DOUBLE>, round_id INT"
+ROUND_SCHEMA = "worker INT, key LONG, x ARRAY<DOUBLE>, y ARRAY<DOUBLE>, round_id INT"
 
 # Rows of the state matrix, as stored with a model.
 STATE_PARTS = ["weights", "first_moment", "second_moment", "step_count"]
@@ -30,15 +31,17 @@ STATE_PARTS = ["weights", "first_moment", "second_moment", "step_count"]
 
 @dataclass(frozen=True)
 class Averaging:
-    """How rows are dealt out: ``workers`` local models (one per core unless set),
-    ``batch`` rows per step, ``frequency`` steps between two averagings.
+    """How rows are dealt out: ``workers`` local models, ``batch`` rows per step,
+    about ``frequency`` steps between two averagings.
 
-    ``rounds`` asks for that many averagings per epoch instead of a frequency,
-    so the number of jobs does not grow with the data.
+    ``rounds`` asks for that many averagings per epoch instead of a frequency.
+    Without a ``batch``, each worker takes one step per round along the mean
+    gradient of all its rows; with plain descent, averaging then gives the step
+    of the whole round, whatever the number of workers.
     """
 
-    workers: int | None = None
-    batch: int = 16
+    workers: int = 4
+    batch: int | None = 16
     frequency: int = 5
     rounds: int | None = None
     epochs: int = 1
@@ -57,77 +60,94 @@ class Model:
 
 
 def deal_rounds(examples: DataFrame, ids: Sequence[str], averaging: Averaging) -> DataFrame:
-    """Give each row a worker, a batch and a round, from a hash of its id.
+    """Give each row a worker and a round, from hashes of its id.
 
     The result is a table in the shared folder, partitioned by round: a round
-    reads only its own rows, without a shuffle, and a lost executor loses
-    nothing. Hashing deals the workers equal shares, whatever the ids.
+    reads only its own rows, and a lost executor loses nothing. Hashing deals
+    workers and rounds about equal shares, whatever the ids.
     """
     spark = examples.sparkSession
-    workers = averaging.workers or spark.sparkContext.defaultParallelism
+    rounds = averaging.rounds
+    if rounds is None and averaging.batch is None:
+        rounds = 1
+    if rounds is None:
+        rounds = max(1, -(-examples.count() // (averaging.workers * averaging.batch * averaging.frequency)))
     key = F.xxhash64(F.lit(averaging.seed), *ids)
-    dealt = examples.select(*ids, "x", "y", key.alias("_key")).withColumn(
-        "worker", F.pmod("_key", F.lit(workers)).cast("int")
-    )
-    batch_id = F.floor(F.col("pos") / F.lit(averaging.batch))
-    if averaging.rounds is None:
-        round_id = F.floor(batch_id / F.lit(averaging.frequency))
-    else:
-        batches = F.ceil(F.col("n_rows") / F.lit(averaging.batch))
-        round_id = F.floor(batch_id * averaging.rounds / batches)
     path = new_folder(spark, "rounds")
     (
-        number_rows(dealt, ["worker"], ["_key", *ids], short=True)
-        .rows.select("worker", batch_id.alias("batch_id"), "pos", "x", "y", round_id.cast("int").alias("round_id"))
+        examples.select(
+            F.pmod(F.xxhash64(F.lit(1), key), F.lit(averaging.workers)).cast("int").alias("worker"), key.alias("key"), "x", "y",
+            F.pmod(F.xxhash64(F.lit(2), key), F.lit(rounds)).cast("int").alias("round_id"),
+        )
         .repartition("round_id", "worker")
-        .sortWithinPartitions("round_id", "worker", "pos")
         .write.partitionBy("round_id")
         .parquet(path)
-    )
+    )
     return spark.read.schema(ROUND_SCHEMA).parquet(path)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.to_list(), dtype=np.float64)
+def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    values = column.flatten() if isinstance(column, pa.Array) else column.combine_chunks().flatten()
+    return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
-def _whole_batches(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
-    """(worker, rows of one training batch), joined across Arrow batches."""
-    rest = None
+def _by_worker(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of one worker's rows; batches arrive sorted by worker."""
     for part in parts:
-        part = part if rest is None else pd.concat([rest, part])
-        groups = [(ids[0], rows) for ids, rows in part.groupby(["worker", "batch_id"], sort=False)]
-        yield from groups[:-1]
-        rest = groups[-1][1] if groups else None
-    if rest is not None:
-        yield rest["worker"].iloc[0], rest
+        worker = part.column("worker").to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], worker[1:] != worker[:-1], [True]))) if len(worker) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield int(worker[a]), part.slice(int(a), int(b - a))
 
 
-def _average_round(rows: DataFrame, learner: Learner, updater: Updater, state: np.ndarray, seed: int) -> np.ndarray:
-    shared = rows.sparkSession.sparkContext.broadcast(state)
+def _steps(parts: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """A worker's rows, ``size`` at a time."""
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        held.append(part)
+        if sum(p.num_rows for p in held) >= size:
+            table = pa.Table.from_batches(held)
+            whole = table.num_rows // size * size
+            yield from (table.slice(at, size) for at in range(0, whole, size))
+            held = table.slice(whole).to_batches()
+    if sum(p.num_rows for p in held):
+        yield pa.Table.from_batches(held)
 
-    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for worker, batches in groupby(_whole_batches(parts), key=lambda batch: batch[0]):
+
+def _average_round(rows: DataFrame, learner: Learner, updater: Updater, averaging: Averaging, state: np.ndarray, seed: int) -> np.ndarray:
+    shared, size = rows.sparkSession.sparkContext.broadcast(state), averaging.batch
+
+    def fit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for worker, mine in groupby(_by_worker(parts), key=lambda run: run[0]):
             local, n = shared.value.copy(), 0
-            rng = np.random.default_rng([seed, worker])
-            for _, batch in batches:
-                updater.step(local, learner.gradient(local[0], _matrix(batch["x"]), _matrix(batch["y"]), rng))
-                n += len(batch)
-            yield pd.DataFrame({"n": [n], "state": [local.ravel()]})
-
-    # Files hold whole workers in order, so the scan needs no shuffle. A share
-    # larger than a file split becomes several local models, averaged by rows.
-    fitted = rows.select("worker", "batch_id", "x", "y").mapInPandas(fit, "n long, state array<double>")
+            rng, whole = np.random.default_rng([seed, worker]), 0.0
+            for batch in (run for _, run in mine) if size is None else _steps((run for _, run in mine), size):
+                x, y = (_matrix(batch.column(c), batch.num_rows) for c in ("x", "y"))
+                gradient = learner.gradient(local[0], x, y, rng)
+                if size is None:
+                    whole = whole + gradient * len(x)
+                else:
+                    updater.step(local, gradient)
+                n += len(x)
+            if size is None:
+                updater.step(local, whole / n)
+            yield pa.RecordBatch.from_pydict({"n": [n], "state": [local.ravel()]})
+
+    # One small shuffle per round brings a worker's rows together in order.
+    dealt = rows.repartition(averaging.workers, "worker").sortWithinPartitions("worker", "key", "x", "y")
+    fitted = dealt.select("worker", "x", "y").mapInArrow(fit, "n long, state array<double>")
     mean = (
         fitted.select("n", F.posexplode("state").alias("pos", "value"))
         .groupBy("pos")
         .agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))
     )
-    averaged = np.empty(state.size)
-    for row in mean.collect():  # one row per parameter
-        averaged[row.pos] = row.value
+    found = {row.pos: row.value for row in mean.collect()}  # one row per parameter
     shared.destroy()
-    return averaged.reshape(state.shape)
+    if not found:
+        return state  # no row was dealt to this round
+    if len(found) != state.size:
+        raise ValueError(f"{len(found)} of {state.size} parameters came back")
+    return np.array([found[i] for i in range(state.size)]).reshape(state.shape)
 
 
 def train(
@@ -151,7 +171,7 @@ def train(
     for epoch in range(averaging.epochs):
         for number in range(last + 1):
             rows = dealt.where(F.col("round_id") == number)
-            state = _average_round(rows, learner, updater, state, averaging.seed + epoch * (last + 1) + number)
+            state = _average_round(rows, learner, updater, averaging, state, averaging.seed + epoch * (last + 1) + number)
         history.append(state[0].copy())
     return Model(learner, state, history)
 
@@ -171,7 +191,7 @@ def score(examples: DataFrame, model: Model, keep: Sequence[str], all_epochs: bo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x = _matrix(batch.pop("x"))
+                x = np.array(batch.pop("x").to_list(), dtype=np.float64)
                 for epoch, w in shared.value:
                     yield batch.assign(epoch=np.int32(epoch), output=list(learner.predict(w, x)))
 
@@ -185,9 +205,11 @@ def history(
     """(run_id, epoch, split, metric, value) for all epochs and splits in one pass.
 
     Classifiers report accuracy, macro F1 and, with two classes, AUC;
-    regressors the first output's mse and mae.
+    regressors mse and mae, of several outputs as ``mse_0``, ``mse_1`` and so on,
+    against the targets in ``y``.
     """
-    scored = score(examples, model, [split, label], all_epochs=True)
+    keep = [split, label] if model.learner.is_classifier or model.learner.outputs == 1 else [split, "y"]
+    scored = score(examples, model, keep, all_epochs=True)
     by = ["epoch", split]
     if model.learner.is_classifier:
         scored = write_through(scored, "scored").withColumn("pred", evaluation.argmax(F.col("output")))
@@ -197,7 +219,12 @@ def history(
         if model.learner.outputs == 2:
             auc = evaluation.roc_auc(scored.withColumn("score", F.col("output")[1]), by, label)
             report = report.unionByName(evaluation.metric_rows(auc.select(*by, "auc"), by, ["auc"]))
-    else:
+    elif model.learner.outputs == 1:
         errors = evaluation.regression_report(scored.withColumn("predict", F.col("output")[0]), by, label)
         report = evaluation.metric_rows(errors.select(*by, "mse", "mae"), by, ["mse", "mae"])
+    else:
+        each = scored.select(*by, F.posexplode(F.arrays_zip("y", "output")).alias("at", "pair")).select(*by, "at", "pair.*")
+        errors = evaluation.regression_report(each, [*by, "at"], "y", "output")
+        report = evaluation.metric_rows(errors.select(*by, "at", "mse", "mae"), [*by, "at"], ["mse", "mae"])
+        report = report.withColumn("metric", F.concat_ws("_", "metric", "at"))
     return report.select(F.lit(run_id).alias("run_id"), *by, "metric", "value")

@@ -125,8 +125,8 @@ def regression(by: str, source: str, metrics: list[str], digits: int, y: str = "
     return f"""SELECT {by}, n, {rounded} FROM (
   SELECT *, sqrt(mse) AS rmse, mse / v AS rse, 1 - mse / v AS r2, c / sp AS pearson_r FROM (
     SELECT {by}, count(*) AS n, avg(({y} - {p}) * ({y} - {p})) AS mse, avg(abs({y} - {p})) AS mae,
-      CASE WHEN var_pop({y}) > 1e-12 THEN var_pop({y}) END AS v, covar_pop({y}, {p}) AS c,
-      CASE WHEN stddev_pop({y}) * stddev_pop({p}) > 1e-12 THEN stddev_pop({y}) * stddev_pop({p}) END AS sp
+      CASE WHEN var_pop({y}) > 0 THEN var_pop({y}) END AS v, covar_pop({y}, {p}) AS c,
+      CASE WHEN stddev_pop({y}) * stddev_pop({p}) > 0 THEN stddev_pop({y}) * stddev_pop({p}) END AS sp
     FROM {source} GROUP BY ALL))"""
 
 
@@ -273,8 +273,8 @@ FROM pairs WHERE feature = 'close'""",
 SELECT symbol, idx, 'predict' AS series_name, {r('predict', 4)} AS value FROM pairs WHERE feature = 'close'
 UNION ALL SELECT symbol, idx, 'actual', {r('actual', 4)} FROM pairs WHERE feature = 'close'""",
     "predict_actual_range": f"""WITH {bar_models()}
-SELECT symbol, feature, CAST(trunc(min(least(predict, actual)) * CAST(0.98 AS DOUBLE)) AS INTEGER) AS range_min,
-       CAST(trunc(max(greatest(predict, actual)) * CAST(1.02 AS DOUBLE)) AS INTEGER) AS range_max
+SELECT symbol, feature, CAST(trunc(min(least(predict, actual)) * CAST(0.98 AS DOUBLE)) AS BIGINT) AS range_min,
+       CAST(trunc(max(greatest(predict, actual)) * CAST(1.02 AS DOUBLE)) AS BIGINT) AS range_max
 FROM pairs GROUP BY 1, 2""",
     "overlay_series": f"""WITH {SERIES_MODELS}
 SELECT series_id, 'train' AS series_name, pos AS idx, {r('value')} AS value FROM scored WHERE split = 'train'
@@ -291,13 +291,44 @@ SELECT seq_id, step, {r('value')} AS value, label FROM vectors JOIN exact ON seq
 
 STATE = f"""WITH {SERIES}
 SELECT a.series_id, a.event_id,
-       {r("sum(CASE WHEN b.pos = 0 THEN 1 ELSE 0.3 END * power(CAST(0.7 AS DOUBLE), a.pos - b.pos) * b.value) + 1e-9", 4)} AS state
+       {r("sum(CASE WHEN b.pos = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / 3 END * power(2.0::DOUBLE / 3, a.pos - b.pos) * b.value)", 4)} AS state
 FROM series a JOIN series b ON a.series_id = b.series_id AND b.pos <= a.pos GROUP BY 1, 2"""
 POOLED = f"""WITH {SERIES_MODELS}, pooled AS (
   SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM xy
-  WHERE pos + 1 < n_train AND pos < n_rows - 2)
+  WHERE pos < n_train - 2)
 SELECT CAST(0 AS INTEGER) AS pos, {r('slope', 5)} AS value FROM pooled
 UNION ALL SELECT 1, {r('intercept', 5)} FROM pooled"""
 ORACLE |= {"fit_pooled_ml": POOLED}
 ORACLE["scale_minmax_vector"] = ORACLE["scale_minmax_pooled"]
 ORACLE |= {"stateful_score_batch": STATE, "stateful_score_stream": STATE}
+
+
+def descent(steps: int, rate: float) -> str:
+    """Full-batch descent from zero for windows of five values: one table per step, from the moments of the examples."""
+    rows = ", ".join(["x", *[f"lead(x, {k}) OVER w" for k in range(1, 5)], "CAST(1 AS DOUBLE)"])
+    tables = [
+        f"""w{k} AS (SELECT b.i, w.v - {rate}::DOUBLE * (s.av - b.b) AS v FROM b JOIN w{k - 1} w USING (i) JOIN (
+  SELECT a.i, sum(a.a * w.v) AS av FROM a JOIN w{k - 1} w ON a.j = w.i GROUP BY a.i) s USING (i))"""
+        for k in range(1, steps + 1)
+    ]
+    return f"""WITH {SERIES_MODELS}, windows AS (
+  SELECT [{rows}] AS x, lead(y, 4) OVER w AS y, pos, n_train FROM xy WHERE pos < n_train
+  WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+examples AS (SELECT x, y FROM windows WHERE pos < n_train - 6),
+places AS (SELECT unnest(range(1, 7)) AS i),
+a AS (SELECT p.i, q.i AS j, avg(x[p.i] * x[q.i]) AS a FROM examples, places p, places q GROUP BY ALL),
+b AS (SELECT i, avg(x[i] * y) AS b FROM examples, places GROUP BY ALL),
+w0 AS (SELECT i, CAST(0 AS DOUBLE) AS v FROM places),
+{", ".join(tables)}
+SELECT CAST(i - 1 AS INTEGER) AS pos, {r("v", 6)} AS value FROM w{steps}"""
+
+
+ORACLE["train_avg_linear"] = descent(5, 0.2)
+ORACLE["forecast_unfitted"] = f"""WITH {TRAIN_BARS}, long AS ({" UNION ALL ".join(
+    f"SELECT symbol, pos, n_rows, n_train, '{f}' AS feature, {f}_min AS lo, {f}_max AS hi, {f} AS v FROM bar_scaled" for f in BAR_FEATURES
+)}),
+per AS (SELECT symbol, feature, any_value(n_rows) AS n_rows, any_value(n_train) AS n_train, any_value(lo) AS lo, any_value(hi) AS hi,
+  count(DISTINCT v) FILTER (WHERE pos + 1 < n_train) AS kinds FROM long GROUP BY 1, 2)
+SELECT symbol, feature, CASE WHEN n_train < 3 THEN 'fewer than 3 train rows' WHEN lo IS NULL THEN 'no train values'
+  WHEN hi <= lo THEN 'constant in train' ELSE 'constant before the last train row' END AS reason, n_rows
+FROM per WHERE n_train < 3 OR lo IS NULL OR hi <= lo OR kinds < 2"""

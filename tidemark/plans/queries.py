@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -488,16 +489,16 @@ def prepared_test_split(spark, folder):
 
 # --- state and training ----------------------------------------------------
 
-ALPHA = 0.3
-# States of two-decimal values end in exact fives; this lifts them off the
-# rounding border, where engines may differ in the last bit.
-OFF_TIES = 1e-9
+# No state of two-decimal values lies on a rounding border.
+ALPHA = 1 / 3
+DESCENT_STEPS = 5
+DESCENT_RATE = 0.2
 
 
 @query
 def stateful_score_batch(spark, folder):
     scored = stateful.exponential_state(A.series(spark, folder), ["series_id"], SERIES_ORDER, "value", ALPHA)
-    return scored.select("series_id", "event_id", rounded(F.col("state") + OFF_TIES, 4).alias("state"))
+    return scored.select("series_id", "event_id", rounded(F.col("state"), 4).alias("state"))
 
 
 @query
@@ -518,15 +519,17 @@ def stateful_score_stream(spark, folder):
     )
     run.awaitTermination()
     rows = spark.read.parquet(f"{path}/rows")
-    return rows.select(F.col("user_id").alias("series_id"), "event_id", rounded(F.col("state") + OFF_TIES, 4).alias("state"))
+    return rows.select(F.col("user_id").alias("series_id"), "event_id", rounded(F.col("state"), 4).alias("state"))
 
 
 def window_examples(spark: SparkSession, folder: str, length: int) -> DataFrame:
-    """Windows of scaled values (x) with the scaled next value (y, label), by split."""
+    """Windows of scaled values (x) with the scaled next value (y, label), inside each split."""
     rows = scaling.scale_series(numbered_series(spark, folder), ["value"], F.col("split") == "train")
     scaled_next = C.min_max(F.col("next_value"), F.col("value_min"), F.col("value_max"))
     rows = rows.map(lambda df: df.withColumn("scaled_next", scaled_next))
-    windows = windowing.window_arrays(rows, ["value_scaled", "scaled_next"], length)
+    inside = [splitting.only_split(rows, split) for split in ("train", "test")]
+    parts = [windowing.window_arrays(part, ["value_scaled", "scaled_next"], length) for part in inside]
+    windows = parts[0].unionByName(parts[1])
     label = F.element_at("steps", -1)["scaled_next"]
     return windows.select(
         "series_id",
@@ -534,7 +537,7 @@ def window_examples(spark: SparkSession, folder: str, length: int) -> DataFrame:
         F.transform("steps", lambda s: s["value_scaled"]).alias("x"),
         F.array(label).alias("y"),
         label.alias("label"),
-        F.when(F.col("window_id") + length < F.col("n_train"), "train").otherwise("test").alias("split"),
+        "split",
     )
 
 
@@ -591,13 +594,22 @@ def _train_rows(examples: DataFrame) -> DataFrame:
 
 @query
 def train_avg_linear(spark, folder):
-    """Weights of a linear window regressor."""
+    """Weights of a linear window regressor after steps of averaged full-batch descent from zero."""
     examples = _train_rows(window_examples(spark, folder, 5))
+    learner = Learner("linear", inputs=5, outputs=1)
     model = training.train(
-        examples, ["series_id", "window_id"], Learner("linear", inputs=5, outputs=1),
-        Averaging(batch=64, rounds=4, epochs=2), Updater("nesterov", rate=0.05),
+        examples, ["series_id", "window_id"], learner,
+        Averaging(workers=4, batch=None, epochs=DESCENT_STEPS), Updater("sgd", rate=DESCENT_RATE, clip=None),
+        resume=training.Model(learner, np.zeros((len(training.STATE_PARTS), learner.size))),
     )
-    return model_rows(spark, model, "linear", with_updater=False).where(F.col("epoch").isNull()).select("pos", "value")
+    fitted = model_rows(spark, model, "linear", with_updater=False).where(F.col("epoch").isNull())
+    return fitted.select("pos", rounded(F.col("value"), 6).alias("value"))
+
+
+@query
+def forecast_unfitted(spark, folder):
+    """Series and features without a forecast model, and why."""
+    return forecasting.unfitted(_bars_forecast(spark, folder, "ALL"), BAR_FEATURES)
 
 
 @query
@@ -606,7 +618,7 @@ def train_avg_softmax(spark, folder):
     examples = vector_examples(spark, folder)
     model = training.train(
         _train_rows(examples), ["seq_id"], Learner("softmax", inputs=64, outputs=CLASSES),
-        Averaging(batch=10, rounds=4, epochs=3), Updater("adam", rate=0.02, l2=1e-4),
+        Averaging(workers=4, batch=10, rounds=4, epochs=3), Updater("adam", rate=0.02, l2=1e-4),
     )
     scored = training.score(examples, model, ["seq_id", "split", "label"])
     return scored.select("seq_id", "split", "label", evaluation.argmax(F.col("output")).alias("pred"))
@@ -618,7 +630,7 @@ def train_history(spark, folder):
     examples = clinical_examples(spark, folder)
     model = training.train(
         _train_rows(examples), ["seq_id"], Learner("softmax", inputs=len(A.EVENT_TYPES), outputs=2),
-        Averaging(batch=40, rounds=4, epochs=3, seed=1234), Updater("adam", rate=0.036),
+        Averaging(workers=4, batch=40, rounds=4, epochs=3, seed=1234), Updater("adam", rate=0.036),
     )
     return training.history(examples, model, "clinical")
 
@@ -630,7 +642,7 @@ def train_avg_recurrent(spark, folder):
     model = training.train(
         _train_rows(examples), ["series_id", "window_id"],
         Learner("recurrent", inputs=windowing.LENGTH, outputs=1, steps=windowing.LENGTH, hidden=8, dropout=0.2),
-        Averaging(batch=64, rounds=4, epochs=2), Updater("rmsprop", rate=0.005, l2=1e-4),
+        Averaging(workers=4, batch=64, rounds=4, epochs=2), Updater("rmsprop", rate=0.005, l2=1e-4),
     )
     return training.history(examples, model, "recurrent")
 
@@ -643,7 +655,7 @@ def forecast_trained(spark, folder):
     model = training.train(
         _train_rows(examples), ["symbol", "window_id"],
         Learner("linear", inputs=length * len(BAR_FEATURES), outputs=len(BAR_FEATURES)),
-        Averaging(batch=64, rounds=4, epochs=3), Updater("rmsprop", rate=0.005, l2=1e-4),
+        Averaging(workers=4, batch=64, rounds=4, epochs=3), Updater("rmsprop", rate=0.005, l2=1e-4),
     )
     keep = [c for c in examples.columns if c not in ("x", "y", "split")]
     scored = training.score(examples.where(F.col("split") == "test"), model, keep)

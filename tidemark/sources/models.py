@@ -6,6 +6,7 @@ import json
 from dataclasses import asdict
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,15 @@ def model_rows(spark: SparkSession, model: Model, model_id: str, with_updater: b
 
 
 def save_model(spark: SparkSession, model: Model, path: str, model_id: str, with_updater: bool = True) -> None:
-    """Append to a model table; each model is its own partition."""
+    """Add to a model table; each model is its own partition. An id that is there is refused."""
+    try:
+        held = not spark.read.schema(SCHEMA).parquet(path).where(F.col("model_id") == model_id).isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = False
+    if held:
+        raise ValueError(f"model {model_id!r} is in {path} already")
     rows = model_rows(spark, model, model_id, with_updater)
     rows.coalesce(1).write.mode("append").partitionBy("model_id").parquet(path)
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import block_label
 from tidemark.operators.ordering import number_rows
 
-# Fixed value: numbered files are named after their entity.
-STEM_ID = r"(\d+)\.csv$"
+# Fixed value: numbered files are named after their entity, and by nothing else.
+STEM = r"([^/]+)\.csv$"
 
 
 def explode_line(line: Column) -> Column:
@@ -58,6 +58,11 @@ def read_series_text(
     return lines.select("line_no", block_label(F.col("line_no"), block).alias("label"), explode_line(F.col("value")))
 
 
+def _file_id(column: str, strict_names: bool) -> Column:
+    stem = F.regexp_extract(column, STEM, 1)
+    return stem.cast("int") if strict_names else stem.try_cast("int")
+
+
 def read_numbered_files(
     spark: SparkSession,
     path: str,
@@ -76,8 +81,7 @@ def read_numbered_files(
     ``large_files`` reads them in blocks instead, so one file may exceed a
     task's memory.
     """
-    stem = F.regexp_extract("file", r"([^/]+)\.csv$", 1)
-    seq_id = stem.cast("int") if strict_names else stem.try_cast("int")
+    seq_id = _file_id("file", strict_names)
     if large_files:
         lines = read_lines(spark, path, "*.csv").withColumnRenamed("value", "line")
     else:
@@ -89,7 +93,8 @@ def read_numbered_files(
     rows = lines.withColumn("seq_id", seq_id).where(F.col("seq_id").isNotNull())
     if ids is not None:
         rows = rows.where(F.col("seq_id").between(*ids))
-    rows = rows.where(F.col("line_no") >= skip_lines)
+    # Blank lines, as at the end of many files, are no rows.
+    rows = rows.where((F.col("line_no") >= skip_lines) & (F.trim(F.regexp_replace("line", r"\s", " ")) != ""))
     cells = F.split("line", f"\\Q{delimiter}\\E")
     values = [F.trim(cells[i]).cast("double").alias(name) for i, name in enumerate(columns)]
     return rows.select("seq_id", (F.col("line_no") - skip_lines).cast("int").alias("step"), *values)
@@ -101,15 +106,20 @@ def read_numbered_labels(spark: SparkSession, path: str, **options) -> DataFrame
     return rows.where(F.col("step") == 0).select("seq_id", F.col("label").cast("int").alias("label"))
 
 
-def read_file_pairs(spark: SparkSession, features: str, labels: str) -> DataFrame:
-    """Raw bytes of feature and label files with the same id; others drop out."""
+def read_file_pairs(spark: SparkSession, features: str, labels: str, strict_names: bool = True) -> DataFrame:
+    """Raw bytes of feature and label files whose names are the same number; others drop out.
+
+    A name that is no number raises unless ``strict_names`` is off. Names are
+    joined first, so only paired files are read.
+    """
+
+    def files(path: str, name: str) -> DataFrame:
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+        return listed.select(_file_id("path", strict_names).alias("seq_id"), F.col("path").alias(f"{name}_path"), F.col("content").alias(name))
 
-    def side(path: str, name: str) -> DataFrame:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-        return files.select(
-            F.regexp_extract("path", STEM_ID, 1).try_cast("int").alias("seq_id"),
-            F.col("path").alias(f"{name}_path"),
-            F.col("content").alias(name),
-        ).where(F.col("seq_id").isNotNull())
+    def ids(path: str) -> DataFrame:
+        return files(path, "file").select("seq_id").where(F.col("seq_id").isNotNull())
 
-    return side(features, "features").join(side(labels, "labels"), "seq_id")
+    paired = ids(features).join(ids(labels), "seq_id", "left_semi")
+    both = files(features, "features").join(paired, "seq_id", "left_semi")
+    return both.join(files(labels, "labels").join(paired, "seq_id", "left_semi"), "seq_id")
