@@ -98,7 +98,9 @@ def occurrences(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
         rows = _doc_shingles(docs, text, sizes, _row_key(key, text)).join(block, ["q", "token"])
         start = F.col("pos") - F.col("offset")
         length = F.size("window")
-        rows = rows.where((start >= 0) & (start + length <= F.size("w"))).where(F.slice("w", start + 1, length) == F.col("window"))
+        rows = rows.where((start >= 0) & (start + length <= F.size("w")))
+        # A slice may be made before the place is looked at; it must be valid anyway.
+        rows = rows.where(F.slice("w", F.greatest(start + 1, F.lit(1)), length) == F.col("window"))
         part = rows.select("__id", "__h", start.alias("start"), length.alias("len"), "wid")
         found = part if found is None else found.unionByName(part)
     return write_through(found.distinct(), "occurrences"), windows
