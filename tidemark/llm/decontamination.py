@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,15 +50,20 @@ def _window_shingles(windows: DataFrame) -> DataFrame:
     return rows.select("wid", "q", "offset", token.alias("token"))
 
 
-def _doc_shingles(docs: DataFrame, text: str, sizes: list[int], keep: list[Column]) -> DataFrame:
-    """Each place of each document with its shingle: ``*keep, w, q, pos, token``. Lazy, row by row."""
-    rows = docs.select(*keep, word_array(F.col(text)).alias("w")).where("size(w) > 0")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("pos"))
-    parts = [rows.where(F.col("pos") + q <= F.size("w")).select("*", F.lit(q).alias("q"), _shingle(F.col("w"), F.col("pos"), q).alias("token")) for q in sizes]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _doc_shingles(docs: DataFrame, text: str, q: int, keep: list[Column]) -> DataFrame:
+    """Each place of each document with its shingle of q words: ``*keep, w, pos, token``.
+
+    Rows carry their document's words by reference, as long as nothing but
+    projections, filters and a broadcast join follows; so callers drop ``w`` in
+    the same stage.
+    """
+    rows = docs.select(*keep, word_array(F.col(text)).alias("w")).where(F.size("w") >= q)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("w") - q)).alias("pos"))
+    return rows.select("*", _shingle(F.col("w"), F.col("pos"), q).alias("token"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def occurrences(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
@@ -77,11 +85,12 @@ def occurrences(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
         return None, windows
     n_blocks = -(-tokens.count() // BLOCK)
     block_of = F.pmod(F.xxhash64("token", F.lit(7)), F.lit(n_blocks))
-    counted = None
-    for b in range(n_blocks):
-        block = F.broadcast(tokens.where(block_of == b))
-        part = _doc_shingles(docs, text, sizes, []).select("q", "token").join(block, ["q", "token"]).groupBy("q", "token").count()
-        counted = part if counted is None else counted.unionByName(part)
+    counted = []
+    for b, q in product(range(n_blocks), sizes):
+        block = F.broadcast(tokens.where((block_of == b) & (F.col("q") == q)).select("token"))
+        found = _doc_shingles(docs, text, q, []).select("token").join(block, "token").groupBy("token").count()
+        counted.append(found.select(F.lit(q).alias("q"), "token", "count"))
+    counted = _union(counted)
     counted = write_through(counted, "shingle-counts")
     # A window with a shingle that no document has can't occur at all.
     ranked = shingles.join(counted, ["q", "token"], "left").groupBy("wid").agg(
@@ -92,17 +101,17 @@ def occurrences(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     )
     n_blocks = max(1, -(-prefixes.count() // BLOCK))
     block_of = F.pmod(F.xxhash64("wid", F.lit(7)), F.lit(n_blocks))
-    found = None
-    for b in range(n_blocks):
-        block = F.broadcast(prefixes.where(block_of == b))
-        rows = _doc_shingles(docs, text, sizes, _row_key(key, text)).join(block, ["q", "token"])
+    found = []
+    for b, q in product(range(n_blocks), sizes):
+        block = F.broadcast(prefixes.where((block_of == b) & (F.col("q") == q)).drop("q"))
+        rows = _doc_shingles(docs, text, q, _row_key(key, text)).join(block, "token")
         start = F.col("pos") - F.col("offset")
         length = F.size("window")
         rows = rows.where((start >= 0) & (start + length <= F.size("w")))
         # A slice may be made before the place is looked at; it must be valid anyway.
         rows = rows.where(F.slice("w", F.greatest(start + 1, F.lit(1)), length) == F.col("window"))
-        part = rows.select("__id", "__h", start.alias("start"), length.alias("len"), "wid")
-        found = part if found is None else found.unionByName(part)
+        found.append(rows.select("__id", "__h", start.alias("start"), length.alias("len"), "wid"))
+    found = _union(found)
     return write_through(found.distinct(), "occurrences"), windows
 
 
