@@ -26,9 +26,9 @@ SHARD_IDS = 1 << 20
 PART_CHARS = 16 << 20
 END_ID = 0
 # Text encoded at once; the more, the fewer pieces come twice.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 # Pieces of text whose ids a worker keeps, in each of two generations.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 120_000
 
 SHARD = (
     "part int, seq int, first bigint, n bigint, bits int, zeros array<int>, planes array<binary>, ranks array<binary>, "
@@ -128,8 +128,8 @@ class _Encoder:
         flat_ids = np.frombuffer(b"".join(ids), self.kind)
         length = size[code]
         out_at = np.concatenate(([0], np.cumsum(length)))
-        where = np.repeat(begin[:-1][code] - out_at[:-1], length)
-        where += np.arange(len(where))
+        where = np.repeat((begin[:-1][code] - out_at[:-1]).astype(np.int32), length)
+        where += np.arange(len(where), dtype=np.int32)
         return flat_ids[where], out_at[starts + np.arange(len(starts))]
 
 
