@@ -30,7 +30,7 @@ from tidemark.operators.training import Averaging
 from tidemark.plans import adapters as A
 from tidemark.session import new_folder, write_through
 from tidemark.sources.bars import read_bars, typed_bars
-from tidemark.sources.models import model_rows
+from tidemark.sources.models import load_model, model_rows, save_model
 from tidemark.sources.prepared import read_prepared, write_prepared
 from tidemark.sources.sequences import explode_line, read_series_text
 from tidemark.streaming.stateful import exponential_state_stream
@@ -592,20 +592,37 @@ def _train_rows(examples: DataFrame) -> DataFrame:
     return examples.where(F.col("split") == "train")
 
 
-@query
-def train_avg_linear(spark, folder):
-    """Weights of a linear window regressor after steps of averaged full-batch descent from zero."""
+def _descent_model(spark: SparkSession, folder: str) -> training.Model:
+    """A linear window regressor after steps of averaged full-batch descent from zero."""
     examples = _train_rows(window_examples(spark, folder, 5))
     learner = Learner("linear", inputs=5, outputs=1)
-    model = training.train(
+    return training.train(
         examples, ["series_id", "window_id"], learner,
         Averaging(workers=4, batch=None, epochs=DESCENT_STEPS), Updater("sgd", rate=DESCENT_RATE, clip=None),
         resume=training.Model(learner, np.zeros((len(training.STATE_PARTS), learner.size))),
-    )
+    )
+
+
+def _weight_rows(spark: SparkSession, model: training.Model) -> DataFrame:
     fitted = model_rows(spark, model, "linear", with_updater=False).where(F.col("epoch").isNull())
     return fitted.select("pos", rounded(F.col("value"), 6).alias("value"))
 
 
+@query
+def train_avg_linear(spark, folder):
+    """Weights of the window regressor."""
+    return _weight_rows(spark, _descent_model(spark, folder))
+
+
+@query
+def model_round_trip(spark, folder):
+    """The same weights, saved to a model table beside another model and loaded again."""
+    model, path = _descent_model(spark, folder), new_folder(spark, "models")
+    save_model(spark, training.Model(model.learner, model.state + 1), path, "other")
+    save_model(spark, model, path, "linear")
+    return _weight_rows(spark, load_model(spark, path, "linear"))
+
+
 @query
 def forecast_unfitted(spark, folder):
     """Series and features without a forecast model, and why."""
