@@ -97,20 +97,20 @@ def train(texts: DataFrame, least_share: float = LEAST_SHARE) -> trees.Model:
     n_bytes = total.agg(F.sum("n")).first()[0] or 0
     nodes = write_through(total.groupBy(F.shiftright("code", 8).bitwiseAND(255).alias("last")).applyInArrow(lambda t: _grow(t.select(["code", "n"])), _NODE), "nodes")
     kept = nodes.where((F.col("depth") <= 1) | (F.col("size") >= least_share * n_bytes))
-    table = kept.select("depth", "key", "zeros", "ones", "weighted", "ends").toArrow()
-    depth, key = table["depth"].to_numpy(), table["key"].to_numpy()
-    zeros, ones, weighted, ends = (table[c].to_numpy() for c in ("zeros", "ones", "weighted", "ends"))
+    one = ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).cast("float").alias("one")
+    table = kept.select(F.col("depth").cast("byte").alias("depth"), "key", one, "ends").toArrow()
+    depth, key, one, ends = (table[c].to_numpy() for c in ("depth", "key", "one", "ends"))
     layers: list = [None] * (trees.DEPTH + 1)
     for d in range(1, trees.DEPTH + 1):
         at = np.flatnonzero(depth == d)
         at = at[np.argsort(key[at], kind="stable")]
-        layers[d] = (key[at], ((ones[at] + 0.5) / (zeros[at] + ones[at] + 1)).astype(np.float32), ends[at])
+        layers[d] = (key[at], one[at], ends[at])
     # No context at all: the sums over those of one byte, at most 256 times 255.
-    at = depth == 1
-    node, place = np.unique(key[at] & 255, return_inverse=True)
-    zero, one, below = (np.bincount(place, weights=w[at], minlength=len(node)) for w in (zeros, ones, weighted))
-    estimate = trees.log_estimate(zero, one)
-    layers[0] = (node, ((one + 0.5) / (zero + one + 1)).astype(np.float32), np.exp(np.log(0.5) + estimate - (np.log(0.5) + np.logaddexp(estimate, below))).astype(np.float32))
+    last = nodes.where("depth = 1").select("key", "zeros", "ones", "weighted").toArrow()
+    node, place = np.unique(last["key"].to_numpy() & 255, return_inverse=True)
+    zeros, ones, below = (np.bincount(place, weights=last[c].to_numpy(), minlength=len(node)) for c in ("zeros", "ones", "weighted"))
+    estimate = trees.log_estimate(zeros, ones)
+    layers[0] = (node, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32), np.exp(estimate - np.logaddexp(estimate, below)).astype(np.float32))
     return trees.Model(layers)
 
 
