@@ -178,7 +178,7 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     m = F.greatest("site_pages", "most")
     content = 1 - F.col("logs") / F.col("n") / F.log(m)
     layout = (F.log("mass") - F.col("k_logs") / F.col("mass")) / F.log(m)
-    own = node.select("host", "path", F.least(m, F.col("mass")).alias("pages"), F.when(m > 1, F.when(F.col("content"), content).otherwise(layout)).otherwise(1.0).alias("own"))
+    own = node.select("host", "path", F.least(m, F.col("mass")).alias("pages"), F.when(m > 1, F.round(F.when(F.col("content"), content).otherwise(layout), 9)).otherwise(1.0).alias("own"))
     parts = F.split("path", ">")
     above = own.select("host", "pages", "own", parts.alias("p"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"))
     weight = F.col("pages") * F.pow(F.lit(GAMMA), F.size("p") - F.col("depth"))
