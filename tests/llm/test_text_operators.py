@@ -238,3 +238,30 @@ def test_context_trees_by_hand():
     model = trees.Model([(k, ((o + 0.5) / (z + o + 1)).astype(np.float32), e.astype(np.float32)) for k, z, o, _, e in (nodes[d] for d in range(trees.DEPTH + 1))])
     for context in (code[2] >> 8 << 8, 123 << 8):
         assert (10.0 ** model.log10(np.array([context | b for b in range(256)]))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_are_ratios_of_weighted_probabilities(spark, monkeypatch):
+    """Every context counts, and one never seen says one half; whatever a task holds at once."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join("abcdefghij"[k : k + 3] for k in rng.integers(0, 8, 30)) for _ in range(12)] + ["xyz abc zq", "bcd é cde"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    code, count = trees.counted(trees.grams(pa.array(texts[:12]))[0])
+
+    def root(more):
+        seen = dict(zip(code.tolist(), count.tolist()))
+        seen[more] = seen.get(more, 0) + (more >= 0)
+        seen.pop(-1, None)
+        keys, *_, weighted, _ = trees.tree_nodes(np.array(sorted(seen)), np.array([float(seen[c]) for c in sorted(seen)]), 0)[0]
+        return dict(zip(keys.tolist(), weighted.tolist()))
+
+    plain = root(-1)
+    want = []
+    for text in texts:
+        ratio = 0.0
+        for c in trees.grams(pa.array([text]))[0].tolist():
+            ratio += sum(w - plain.get(k, 0.0) for k, w in root(c).items())
+        want.append(ratio / np.log(10))
+    for size in (language_model.CHUNK_GRAMS, 5):
+        monkeypatch.setattr(language_model, "CHUNK_GRAMS", size)
+        got = [r.score for r in language_model.score(df, F.col("doc_id") >= 12).orderBy("doc_id").collect()]
+        assert got == pytest.approx(want, rel=1e-5)

@@ -94,51 +94,57 @@ def tree_nodes(code: np.ndarray, count: np.ndarray, least_depth: int) -> dict[in
     return out
 
 
+def shorter(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Nodes one byte shorter than ``keys``: distinct keys, sums of counts and of log weighted probabilities ``below``.
+
+    ``keys`` must have lost that byte already; what comes of parts of the table can be summed again.
+    """
+    node, place = np.unique(keys, return_inverse=True)
+    return node, *(np.bincount(place, weights=x, minlength=len(node)) for x in (zeros, ones, below))
+
+
+def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Estimate of a one, weight of ending here, and log weighted probability, of nodes whose longer contexts make ``below``."""
+    estimate = log_estimate(zeros, ones)
+    weighted = _HALF + np.logaddexp(estimate, below)
+    return (ones + 0.5) / (zeros + ones + 1), np.exp(_HALF + estimate - weighted), weighted
+
+
+def mix(layers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], code: np.ndarray, odds: np.ndarray | None = None) -> np.ndarray:
+    """Probability of each gram's eight decisions by the depths given, the longest first.
+
+    ``odds`` is what contexts longer than those say. A context without counts
+    says one half, by its own estimate and by those of all that is longer.
+    """
+    node, bit = _nodes(code & 255)
+    p = np.full(node.shape, 0.5) if odds is None else odds
+    for depth in sorted(layers, reverse=True):
+        keys, one, ends = layers[depth]
+        if not len(keys):
+            continue
+        key = context_key(code, depth)[:, None] << 8 | node
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        p = np.where(keys[at] == key, ends[at] * np.where(bit == 1, one[at], 1 - one[at]) + (1 - ends[at]) * p, p)
+    return p
+
+
 class Model:
     """Per depth, sorted keys with the estimate of a one and the weight of ending there."""
 
     def __init__(self, layers: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.layers = layers
-        self.codes, self.logs = np.empty(0, np.int64), np.empty(0, np.float32)
-
-    def _log10(self, code: np.ndarray) -> np.ndarray:
-        node, bit = _nodes(code & 255)
-        p, known = np.full(node.shape, 0.5), np.zeros(node.shape, bool)
-        for depth in range(DEPTH, -1, -1):
-            keys, one, ends = self.layers[depth]
-            if not len(keys):
-                continue
-            key = context_key(code, depth)[:, None] << 8 | node
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            here = keys[at] == key
-            # Where no longer context is known, the tree ends here.
-            p = np.where(here, np.where(known, ends[at] * one[at] + (1 - ends[at]) * p, one[at]), p)
-            known |= here
-        return np.log10(np.where(bit == 1, p, 1 - p)).sum(1).astype(np.float32)
+        self.layers = dict(enumerate(layers))
 
     def log10(self, code: np.ndarray) -> np.ndarray:
-        """Log10 of the probability of each byte; what was asked once is kept."""
-        distinct, place = _distinct(code)
-        at = np.minimum(np.searchsorted(self.codes, distinct), max(len(self.codes) - 1, 0))
-        new = distinct if not len(self.codes) else distinct[self.codes[at] != distinct]
-        if len(new):
-            new = np.sort(new)
-            if len(self.codes) > 3_000_000:
-                self.codes, self.logs = self.codes[:0], self.logs[:0]
-                new = np.sort(distinct)
-            value = np.concatenate([self._log10(new[i : i + 50_000]) for i in range(0, len(new), 50_000)])
-            codes, logs = np.concatenate((self.codes, new)), np.concatenate((self.logs, value))
-            order = np.argsort(codes, kind="stable")
-            self.codes, self.logs = codes[order], logs[order]
-        return self.logs[np.searchsorted(self.codes, distinct)][place]
-
-
-def _distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 of the probability of each byte."""
+        return np.log10(mix(self.layers, code)).sum(1)
+
+
+def distinct_grams(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     coded = pa.array(code).dictionary_encode()
     return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
 def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers and how often each comes."""
-    distinct, place = _distinct(code)
+    distinct, place = distinct_grams(code)
     return distinct, np.bincount(place, minlength=len(distinct))
