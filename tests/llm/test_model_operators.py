@@ -153,6 +153,27 @@ def test_graph_finds_what_brute_force_finds():
     assert hits >= 0.97 * truth.sum()
 
 
+@pytest.mark.parametrize("missed", ["own pairs", "queries of others"])
+def test_audit_sees_lost_links_of_small_groups(monkeypatch, missed):
+    rng = np.random.default_rng(2)
+    group, pairs = rng.normal(size=(1, 32)), rng.normal(size=(60, 32))
+    x = np.concatenate([np.repeat(group, 400, 0), pairs, pairs]) + rng.normal(size=(520, 32)) * 0.01
+
+    class Lossy:
+        def __init__(self, unit, keys):
+            self.unit = unit
+
+        def within(self, unit, beam, least):
+            near = [np.flatnonzero(self.unit @ q >= least) for q in unit]
+            lost = [(len(n) < 400 and missed == "own pairs") or (missed != "own pairs" and not (self.unit == q).all(1).any()) for n, q in zip(near, unit)]
+            return [n[(self.unit[n] == q).all(1)] if beam < 4 * embeddings.BEAM and gone else n for n, q, gone in zip(near, unit, lost)]
+
+    monkeypatch.setattr(embeddings, "Graph", Lossy)
+    others = pairs + rng.normal(size=pairs.shape) * 0.01
+    shard = embeddings._Shard(np.arange(520), np.ones(520, np.int64), x, 0.9, np.arange(1000, 1060), others)
+    assert shard.beam >= 4 * embeddings.BEAM
+
+
 # --- token files ---
 
 

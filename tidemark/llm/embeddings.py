@@ -16,7 +16,9 @@ from tidemark.session import write_through
 # Shards there are at least, and vectors that a shard's task holds at most (a few hundred megabytes with its graph).
 SHARDS = 6
 SHARD_VECTORS = 200_000
+# Vectors with links that an audit takes of the shard and of other shards each, and vectors of each kind that it looks through for them.
 AUDITED = 200
+LOOKED_THROUGH = 4096
 RECALL = 0.99
 _FOUND = "rep bigint, weight bigint, a bigint, b bigint"
 
@@ -24,11 +26,11 @@ _FOUND = "rep bigint, weight bigint, a bigint, b bigint"
 class _Shard:
     """A shard's vectors, their graph, a beam that passes the audit, and components inside the shard."""
 
-    def __init__(self, keys: np.ndarray, copies: np.ndarray, vectors: np.ndarray, least: float):
+    def __init__(self, keys: np.ndarray, copies: np.ndarray, vectors: np.ndarray, least: float, asked_keys: np.ndarray, asked: np.ndarray):
         self.keys, self.copies, self.least = keys, copies, least
         self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         self.graph = Graph(self.unit, keys)
-        self.beam = self._audited(BEAM)
+        self.beam = self._audited(BEAM, asked_keys, asked / np.linalg.norm(asked, axis=1, keepdims=True))
         self.label = np.arange(len(keys))
         for i, near in enumerate(self.links(self.unit)):
             for j in near.tolist():
@@ -41,14 +43,34 @@ class _Shard:
             self.label[i] = i = self.label[self.label[i]]
         return i
 
-    def _audited(self, beam: int) -> int:
-        """Widen the beam until it finds what brute force finds for a sample of the shard."""
-        asked = np.argsort(self.keys * 2654435761 % 4294967296, kind="stable")[:AUDITED]
-        truth = (self.unit[asked] @ self.unit.T >= self.least).sum()
-        while beam < len(self.keys):
-            if sum(map(len, self.links(self.unit[asked], beam))) >= RECALL * truth:
+    def _linked(self, keys: np.ndarray, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The first vectors that have links to others in the shard, with those, by brute force in blocks."""
+        out = []
+        for at in range(0, min(len(keys), LOOKED_THROUGH), 64):
+            for key, q, row in zip(keys[at : at + 64], unit[at : at + 64], unit[at : at + 64] @ self.unit.T >= self.least - 1e-9):
+                near = np.flatnonzero(row & (self.keys != key))
+                near = near[self.unit[near] @ q >= self.least]
+                if len(near):
+                    out.append((q, near))
+            if len(out) >= AUDITED:
                 break
-            beam *= 2
+        return out[:AUDITED]
+
+    def _audited(self, beam: int, asked_keys: np.ndarray, asked: np.ndarray) -> int:
+        """Widen the beam until vectors of the shard and of others find their links, on the mean over vectors.
+
+        Matches with itself don't count, and each vector counts the same, whatever the size of its group.
+        """
+        own = np.argsort(self.keys * 2654435761 % 4294967296, kind="stable")
+        other = ~np.isin(asked_keys, self.keys)
+        for links in (self._linked(self.keys[own], self.unit[own]), self._linked(asked_keys[other], asked[other])):
+            if not links:
+                continue
+            unit = np.array([q for q, _ in links])
+            while beam < len(self.keys):
+                if np.mean([np.isin(near, found).mean() for (_, near), found in zip(links, self.links(unit, beam))]) >= RECALL:
+                    break
+                beam *= 2
         return beam
 
     def links(self, unit: np.ndarray, beam: int | None = None) -> list[np.ndarray]:
@@ -61,7 +83,17 @@ def _search(least: float):
     """Build the graph from a shard's own rows, which come first, then stream all queries through it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, built, held = None, None, []
+        shard, built, held, waiting = None, None, [], []
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            nonlocal built
+            if held and waiting:
+                built = _Shard(*(np.concatenate(x) for x in zip(*held)), least, *(np.concatenate(x) for x in zip(*waiting)))
+                held.clear()
+            for keys, vectors in waiting if built else ():
+                yield from _answer(built, keys, vectors)
+            waiting.clear()
+
         for batch in batches:
             name = batch.column("shard").to_numpy()
             query = batch.column("query").to_numpy(zero_copy_only=False)
@@ -70,17 +102,18 @@ def _search(least: float):
                 part = batch.slice(a, b - a)
                 keys = part.column("rep").to_numpy()
                 vectors = part.column("vector").flatten().to_numpy().astype(np.float64).reshape(len(keys), -1)
+                if name[a] != shard:
+                    yield from answers()
+                    shard, built = name[a], None
+                    held.clear()
                 if not query[a]:
-                    if name[a] != shard:
-                        shard, built, held = name[a], None, []
                     held.append((keys, part.column("copies").to_numpy(), vectors))
                     continue
-                if built is None or name[a] != shard:
-                    built = _Shard(*(np.concatenate(x) for x in zip(*held)), least) if held and name[a] == shard else None
-                    if built is None:
-                        continue
-                    held = []
-                yield from _answer(built, keys, vectors)
+                waiting.append((keys, vectors))
+                # The audit of a new shard takes its queries from the first ones, which come in random order.
+                if built or sum(len(k) for k, _ in waiting) >= 2 * LOOKED_THROUGH:
+                    yield from answers()
+        yield from answers()
 
     return run
 
@@ -129,7 +162,7 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     own = nodes.select((base + F.pmod(F.xxhash64("rep"), F.lit(n_shards))).alias("shard"), F.lit(False).alias("query"), "rep", "copies", "vector")
     every = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda i: base + i))
     asked = nodes.select(every.alias("shard"), F.lit(True).alias("query"), "rep", "copies", "vector")
-    dealt = own.unionByName(asked).repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "query", "rep")
+    dealt = own.unionByName(asked).repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "query", F.when(F.col("query"), F.xxhash64("rep")), "rep")
     found = write_through(dealt.mapInArrow(_search(least), _FOUND), "vector-links")
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("weight").alias("__n"))
     label = components(found.where("a is not null").select("a", "b"))
