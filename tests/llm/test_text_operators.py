@@ -157,6 +157,14 @@ def test_one_of_each_component_stays(docs, rows, no_docs):
     assert jaccard.near_duplicates(no_docs).count() == 0 and jaccard.representatives(no_docs).count() == 0
 
 
+def test_rows_are_told_apart_by_key_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(7, a), (7, b), (7, b), (3, a + " more"), (None, c), (None, c), (None, b), (None, None), (None, ""), (7, ""), (9, "")]
+    got = jaccard.representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = [(7, b), (3, a + " more"), (None, c), (None, None), (None, ""), (7, ""), (9, "")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_local_links_equal_all_pairs():
     rng = np.random.default_rng(4)
     sets = []

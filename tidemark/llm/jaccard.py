@@ -425,17 +425,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest key; rows with a null key stay all.
+    """One row of each component of texts, that with the smallest key, a null key after all others.
 
-    Of rows that repeat a key, the one whose text has the smallest hash stays.
+    Rows are told apart by key and text, so different texts under one key stay,
+    and copies under null keys go. Texts without words link with nothing: of rows
+    that repeat such a text and its key one stays, and those with a null key stay all.
     """
-    found = near_duplicates(docs, key, text)
-    gone = write_through(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__k")).distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, docs[key] == gone["__k"], "left_anti")
-    if docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
-        return kept
-    named = kept.where(F.col(key).isNotNull())
-    first = named.groupBy(F.col(key).alias("__k")).agg(F.min_by(F.struct(*named.columns), F.xxhash64(text)).alias("row")).select("row.*")
-    return first.unionByName(kept.where(F.col(key).isNull()))
+    ids = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    hashed = docs.withColumn("__h", ids)
+    found = near_duplicates(hashed.select("__h", text), "__h", text)
+    named = write_through(found.select("__h", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__c")).distinct(), "texts")
+    pairs = write_through(hashed.groupBy(F.col(key).alias("__k"), "__h").agg(F.count("*").alias("n")), "pairs")
+    # One pair of each text first, so that a text of many rows isn't one hot key of a join.
+    first = pairs.groupBy("__h").agg(F.min(F.struct(F.col("__k").isNull().alias("nameless"), F.col("__k").alias("k"), F.col("__h").alias("h"))).alias("row"))
+    first = first.join(named.where("__c is not null"), "__h").groupBy("__c").agg(F.min("row").alias("row")).select(F.col("row.k").alias("__k"), F.col("row.h").alias("__h"))
+    wordless = named.where("__c is null").select("__h")
+    stay = first.unionByName(pairs.join(wordless, "__h", "left_semi").select("__k", "__h")).distinct()
+    stay = write_through(stay.withColumnsRenamed({"__k": "__sk", "__h": "__sh"}), "stay")
+    if stay.count() <= BROADCAST_ROWS:
+        stay = F.broadcast(stay)
+    kept = hashed.join(stay, hashed[key].eqNullSafe(stay["__sk"]) & (hashed["__h"] == stay["__sh"]), "left_semi")
+    if pairs.where("n > 1").isEmpty():
+        return kept.select(*docs.columns)
+    kept = kept.withColumn("__nameless", F.col(key).isNull() & ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]"))
+    single = kept.where("not __nameless")
+    single = single.groupBy(F.col(key).alias("__k"), F.col("__h").alias("__t")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return single.unionByName(kept.where("__nameless").select(*docs.columns))
