@@ -73,4 +73,81 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE = {"op1_license_scan": OP1, "op9_mixing": OP9, "op10_decontamination": OP10}
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP11 = f"""
+WITH split AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+cut AS (SELECT r, doc_id, unnest(range(1, len(lines) + 1)) AS place, unnest(lines) AS line FROM split),
+keyed AS (SELECT *, translate(trim(line, {_BLANKS}), '{UPPER}', '{LOWER}') AS k FROM cut),
+shared AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT r, place, line, last IS NOT NULL AND last <> doc_id AS gone FROM keyed LEFT JOIN shared ON keyed.k = shared.k),
+kept AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone) AS text FROM marked GROUP BY r)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256 FROM split JOIN kept USING (r)
+"""
+
+_ROUNDS = 6
+_NEAREST = """
+near{r} AS MATERIALIZED (
+  SELECT row, part, c, min(d * 16 + entry) AS best FROM (
+    SELECT row, p.part, p.c, entry, list_sum(list_transform(range(1, len(p.c) + 1), lambda i: (p.c[i] - b.c[i]) * (p.c[i] - b.c[i])))::BIGINT AS d
+    FROM parts p JOIN book{r} b ON p.part = b.part)
+  GROUP BY row, part, c)"""
+_BOOK = """
+book{r} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m, c) AS c FROM book{q} LEFT JOIN (
+    SELECT part, entry, list(value ORDER BY place) AS m FROM (
+      SELECT part, entry, place, floor(sum(x)::DOUBLE / count(*))::BIGINT AS value
+      FROM (SELECT part, best % 16 AS entry, unnest(c) AS x, unnest(range(len(c))) AS place FROM near{q}) GROUP BY part, entry, place)
+    GROUP BY part, entry) USING (part, entry))"""
+
+# Six rounds, written out one after the other.
+OP12 = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] AS c FROM kept, range(8) AS p(part)),
+book0 AS MATERIALIZED (SELECT part, row - 1 AS entry, c FROM parts WHERE row <= 16),
+{",".join(_NEAREST.format(r=r) + "," + _BOOK.format(r=r + 1, q=r) for r in range(_ROUNDS))},
+{_NEAREST.format(r=_ROUNDS)},
+coded AS (SELECT row, string_agg(printf('%02x', best % 16), '' ORDER BY part) AS code, sum(best // 16)::BIGINT AS error FROM near{_ROUNDS} GROUP BY row),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{_ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row), book
+"""
+
+# The checksum's table follows from its polynomial; a text's bytes are read from its hex form.
+OP13 = f"""
+WITH crc(tab) AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+runs AS (
+  SELECT r, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i])) AS f FROM d
+  UNION ALL SELECT r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d
+  UNION ALL SELECT r, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM d),
+wanted AS (
+  SELECT unnest(list_transform(range(1, len(w) + 1), lambda i: w[i])) AS f FROM (SELECT {_WORDS} AS w FROM benchmark)
+  UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM (SELECT {_WORDS} AS w FROM benchmark)
+  UNION ALL SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM (SELECT {_WORDS} AS w FROM benchmark)),
+held AS MATERIALIZED (SELECT r, f, count(*) AS n FROM runs GROUP BY r, f),
+aim AS MATERIALIZED (SELECT f, count(*) AS n FROM wanted GROUP BY f),
+features AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM held UNION SELECT f FROM aim)),
+bytes AS (SELECT f, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM features),
+hashed AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc),
+raw AS (SELECT bucket, sum(n) AS s FROM held JOIN hashed USING (f) GROUP BY bucket),
+target AS (SELECT bucket, sum(n) AS t FROM aim JOIN hashed USING (f) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM raw) AS all_s, (SELECT coalesce(sum(t), 0) FROM target) AS all_t),
+gains AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (all_s + 10000))::DOUBLE / ((coalesce(s, 0) + 1) * (all_t + 10000))::DOUBLE))::BIGINT AS gain
+  FROM raw FULL JOIN target USING (bucket), totals),
+weighed AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM held JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) >= 20 AS long, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weighed USING (r)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY long ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER (PARTITION BY long) // 100 AS drawn FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN long AND place <= drawn THEN place END AS rank FROM ranked
+"""
+
+ORACLE = {
+    "op1_license_scan": OP1, "op9_mixing": OP9, "op10_decontamination": OP10,
+    "op11_line_dedup": OP11, "op12_vector_codes": OP12, "op13_importance_resampling": OP13,
+}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, embeddings, jaccard, language_model, licences, mixing, quality, site_trees, token_files, toxicity
+from tidemark.llm import decontamination, embeddings, importance, jaccard, language_model, licences, lines, mixing, quality, site_trees, token_files, toxicity, vector_codes
 from tidemark.llm.labelled import fold
+from tidemark.session import write_through
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -83,6 +84,29 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's lines, and what stays of it once shared lines are gone."""
+    kept = lines.kept_text(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all usable vectors, and the error of each label."""
+    coded, books = vector_codes.compress(table(spark, folder, "embeddings"), keep=["vec_id", "label"])
+    coded = write_through(coded, "codes")
+    # One row per label; Spark sees its size before it chooses the join.
+    per = coded.groupBy(F.col("label").alias("of")).agg(F.try_sum("error").alias("label_error"))
+    joined = coded.join(per, coded["label"].eqNullSafe(per["of"]))
+    digest = F.lit(books.sha256 if books else None).cast("string")
+    return joined.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights of all documents towards the benchmark, and the ranks of those drawn."""
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -94,4 +118,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_importance_resampling": op13_importance_resampling,
 }
