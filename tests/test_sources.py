@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.learners import Learner
 from tidemark.operators.training import Model
+from tidemark.sources import files
 from tidemark.sources.bars import read_bars, read_bars_text, typed_bars
 from tidemark.sources.models import load_model, save_model
 from tidemark.sources.prepared import read_prepared, write_prepared
 from tidemark.sources.sequences import (
     read_file_pairs,
+    read_labelled_files,
     read_lines,
     read_numbered_files,
     read_numbered_labels,
@@ -160,3 +162,63 @@ def test_model_survives_saving(spark, tmp_path):
         save_model(spark, model, f"{tmp_path}/m", "one")
     with pytest.raises(ValueError):
         load_model(spark, f"{tmp_path}/m", "three")
+
+
+def test_only_sizes_are_joined_and_shuffled(spark, folders):
+    pairs = files.pair_files(files.list_files(spark, f"{folders}/sequence"), files.list_files(spark, f"{folders}/label"))
+    plan = spark._jvm.PythonSQLUtils.explainString(pairs._jdf.queryExecution(), "formatted")
+    assert "content" not in plan and "length" in plan
+    assert {r.seq_id: r.bytes for r in pairs.collect()} == {
+        i: sum((folders / side / f"{i}.csv").stat().st_size for side in ("sequence", "label")) for i in range(10) if i != 4
+    }
+
+
+def test_files_are_dealt_to_tasks_by_bytes(spark):
+    sizes = [(i, f"/{i}.csv", [3000, 0, 9000, 1500][i % 4]) for i in range(40)]
+    packed = files.pack_files(spark.createDataFrame(sizes, "seq_id int, path string, bytes bigint").repartition(7), 10_000)
+    tasks = [[(r.seq_id, max(r.bytes, 1024)) for r in part] for part in packed.rdd.glom().collect() if part]
+    assert [i for task in tasks for i, _ in task] == list(range(40))
+    assert all(sum(n for _, n in task[:-1]) <= 10_000 for task in tasks) and len(tasks) > 10
+    assert files.pack_files(packed.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 20])
+def test_a_file_read_in_blocks(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(files, "BLOCK_BYTES", block)
+    (tmp_path / "5.csv").write_bytes(b"head;x\r\n\r\n1;2\n\n  \n 3.5 ;-4e2;9\r\n" + b"5;6\n" * 50 + b"7;8")
+    got = [v for block in files.LineFormat(("a", "b"), 1, ";").blocks(f"{tmp_path}/5.csv") for v in zip(*block)]
+    assert got == [(1, 2), (3.5, -400)] + [(5, 6)] * 50 + [(7, 8)]
+    with pytest.raises(ValueError, match="5.csv"):
+        list(files.LineFormat(("a", "b"), 1, ";", width=2).blocks(f"file:{tmp_path}/5.csv"))
+    with pytest.raises(ValueError):
+        list(files.LineFormat(("a", "b", "c"), 1, ";").blocks(f"file://{tmp_path}/5.csv"))
+
+
+def test_blank_lines_inside_a_file_leave_no_holes(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("1\n\n2\n \n3\n")
+    (tmp_path / "2.csv").write_text("")
+    rows = read_numbered_files(spark, str(tmp_path), ["a"]).collect()
+    assert sorted(map(tuple, rows)) == [(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0)]
+
+
+def test_labelled_files(spark, folders, monkeypatch):
+    rows = read_labelled_files(spark, f"{folders}/sequence", f"{folders}/label", ["a", "b"], skip_lines=0, ids=(0, 9)).where("false")
+    assert rows.columns == ["seq_id", "step", "a", "b", "label", "label_mask"]
+    for i in range(10):
+        (folders / "label" / f"{i}.csv").write_text(f"class\n{i % 2}\n")
+    rows = read_labelled_files(spark, f"{folders}/sequence", f"{folders}/label", ["a", "b"], skip_lines=1).collect()
+    want = [(i, t, i + 0.5, float(t), i % 2 if t == i else None, int(t == i)) for i in range(10) for t in range(i + 1)]
+    assert sorted(map(tuple, rows)) == want
+    (folders / "label" / "3.csv").write_text("class\n")
+    with pytest.raises(PySparkException, match="no label"):
+        read_labelled_files(spark, f"{folders}/sequence", f"{folders}/label", ["a"], skip_lines=1).collect()
+
+
+def test_written_files_read_back(spark, tmp_path):
+    rows = [(i, t, 0.1 * t + i / 3, float(i)) for i in range(30) for t in range(i)] + [(None, 0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, t int, x double, y double").repartition(5)
+    assert files.write_files(df, f"{tmp_path}/out", "id", ["t"], ["x", "y"]) == 29
+    files.write_files(df, f"{tmp_path}/out", "id", ["t"], ["x", "y"])
+    back = read_numbered_files(spark, f"{tmp_path}/out", ["x", "y"], width=2).collect()
+    assert sorted(map(tuple, back)) == sorted(r for r in rows if r[0] is not None)
+    assert {p.suffix for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")} == {".csv"}

@@ -289,6 +289,13 @@ FROM vectors JOIN lines ON seq_id = vec_id""",
 SELECT seq_id, step, {r('value')} AS value, label FROM vectors JOIN exact ON seq_id = vec_id WHERE split = 'test'""",
 }
 
+ORACLE |= {
+    "files_numbered": f"WITH {CLINICAL} SELECT seq_id, step, {', '.join(EVENT_TYPES)} FROM clinical",
+    "files_range": f"WITH {CLINICAL} SELECT seq_id, step, {', '.join(EVENT_TYPES[:2])} FROM clinical WHERE seq_id BETWEEN 7 AND 40",
+    "files_paired_aligned": ORACLE["align_end"],
+    "files_unpaired": ORACLE["label_join_missing"],
+}
+
 STATE = f"""WITH {SERIES}
 SELECT a.series_id, a.event_id,
        {r("sum(CASE WHEN b.pos = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / 3 END * power(2.0::DOUBLE / 3, a.pos - b.pos) * b.value)", 4)} AS state

@@ -31,8 +31,9 @@ from tidemark.plans import adapters as A
 from tidemark.session import new_folder, write_through
 from tidemark.sources.bars import read_bars, typed_bars
 from tidemark.sources.models import load_model, model_rows, save_model
+from tidemark.sources.files import list_files, write_files
 from tidemark.sources.prepared import read_prepared, write_prepared
-from tidemark.sources.sequences import explode_line, read_series_text
+from tidemark.sources.sequences import explode_line, read_labelled_files, read_numbered_files, read_series_text
 from tidemark.streaming.stateful import exponential_state_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,7 @@ N_TRAIN = 450
 SHUFFLE_SEED = 12345
 ID_RANGES = [("train", 300), ("valid", 80), ("test", 100)]
 HASH_SHARES = [("train", 0.8), ("valid", 0.1), ("test", 0.1)]
+FILE_IDS = (7, 40)
 BATCH = 64
 FILE_BORDER = "1999-01-01"
 
@@ -475,6 +477,39 @@ def series_from_text(spark, folder):
     return read_series_text(spark, path, across_files=True)
 
 
+def _clinical_files(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """One feature file and, for most sequences, one label file per sequence."""
+    path = new_folder(spark, "sequences")
+    write_files(A.clinical(spark, folder), f"{path}/sequence", "seq_id", SERIES_ORDER, A.EVENT_TYPES, header=True)
+    write_files(A.clinical_labels_with_gaps(spark, folder), f"{path}/label", "seq_id", [], ["label"], header=True)
+    return f"{path}/sequence", f"{path}/label"
+
+
+@query
+def files_numbered(spark, folder):
+    """Every sequence's file, written and read back."""
+    return read_numbered_files(spark, _clinical_files(spark, folder)[0], A.EVENT_TYPES, skip_lines=1, width=len(A.EVENT_TYPES))
+
+
+@query
+def files_range(spark, folder):
+    """The files of an id range; the others are listed, not read."""
+    return read_numbered_files(spark, _clinical_files(spark, folder)[0], A.EVENT_TYPES[:2], skip_lines=1, ids=FILE_IDS)
+
+
+@query
+def files_paired_aligned(spark, folder):
+    """Pairs of files as examples, the class on the last step."""
+    return read_labelled_files(spark, *_clinical_files(spark, folder), A.EVENT_TYPES, skip_lines=1)
+
+
+@query
+def files_unpaired(spark, folder):
+    """Ids with a file on one side only, from the listings."""
+    features, labels = (list_files(spark, path) for path in _clinical_files(spark, folder))
+    return alignment.missing_sides(features, labels, "seq_id")
+
+
 @query
 def prepared_test_split(spark, folder):
     path = new_folder(spark, "prepared")

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import block_label
 from tidemark.operators.ordering import number_rows
-
-# Fixed value: numbered files are named after their entity, and by nothing else.
-STEM = r"([^/]+)\.csv$"
+from tidemark.sources.files import LineFormat, list_files, pack_files, pair_files, read_aligned, read_contents, read_rows
 
 
 def explode_line(line: Column) -> Column:
@@ -58,11 +56,6 @@ def read_series_text(
     return lines.select("line_no", block_label(F.col("line_no"), block).alias("label"), explode_line(F.col("value")))
 
 
-def _file_id(column: str, strict_names: bool) -> Column:
-    stem = F.regexp_extract(column, STEM, 1)
-    return stem.cast("int") if strict_names else stem.try_cast("int")
-
-
 def read_numbered_files(
     spark: SparkSession,
     path: str,
@@ -72,32 +65,19 @@ def read_numbered_files(
     ids: tuple[int, int] | None = None,
     large_files: bool = False,
     strict_names: bool = True,
+    width: int | None = None,
 ) -> DataFrame:
     """``<id>.csv`` files of a folder as (seq_id, step, columns), step in file order.
 
     Only ``*.csv`` files are listed. A name that is no number raises unless
     ``strict_names`` is off, which leaves such files out. ``ids`` is an
-    inclusive id range. Files are read whole inside tasks, several per task;
-    ``large_files`` reads them in blocks instead, so one file may exceed a
-    task's memory.
+    inclusive id range; files outside of it are not read. Files are dealt to
+    tasks by their bytes and read block by block, so ``large_files`` changes
+    nothing any more. Blank lines are no rows; a line with fewer cells than
+    columns raises, and one with other than ``width`` cells, where given.
     """
-    seq_id = _file_id("file", strict_names)
-    if large_files:
-        lines = read_lines(spark, path, "*.csv").withColumnRenamed("value", "line")
-    else:
-        whole = spark.read.option("pathGlobFilter", "*.csv").text(path, wholetext=True)
-        lines = whole.select(
-            F.col("_metadata.file_path").alias("file"),
-            F.posexplode(F.split(F.regexp_replace("value", r"\r|\s+\z", ""), "\n")).alias("line_no", "line"),
-        )
-    rows = lines.withColumn("seq_id", seq_id).where(F.col("seq_id").isNotNull())
-    if ids is not None:
-        rows = rows.where(F.col("seq_id").between(*ids))
-    # Blank lines, as at the end of many files, are no rows.
-    rows = rows.where((F.col("line_no") >= skip_lines) & (F.trim(F.regexp_replace("line", r"\s", " ")) != ""))
-    cells = F.split("line", f"\\Q{delimiter}\\E")
-    values = [F.trim(cells[i]).cast("double").alias(name) for i, name in enumerate(columns)]
-    return rows.select("seq_id", (F.col("line_no") - skip_lines).cast("int").alias("step"), *values)
+    files = list_files(spark, path, ids, strict_names)
+    return read_rows(pack_files(files), LineFormat(tuple(columns), skip_lines, delimiter, width))
 
 
 def read_numbered_labels(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -109,17 +89,16 @@ def read_numbered_labels(spark: SparkSession, path: str, **options) -> DataFrame
 def read_file_pairs(spark: SparkSession, features: str, labels: str, strict_names: bool = True) -> DataFrame:
     """Raw bytes of feature and label files whose names are the same number; others drop out.
 
-    A name that is no number raises unless ``strict_names`` is off. Names are
-    joined first, so only paired files are read.
+    A name that is no number raises unless ``strict_names`` is off. Listings
+    are joined, and only paired files are read.
     """
+    return read_contents(pack_files(pair_files(list_files(spark, features, None, strict_names), list_files(spark, labels, None, strict_names))))
 
-    def files(path: str, name: str) -> DataFrame:
-        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-        return listed.select(_file_id("path", strict_names).alias("seq_id"), F.col("path").alias(f"{name}_path"), F.col("content").alias(name))
-
-    def ids(path: str) -> DataFrame:
-        return files(path, "file").select("seq_id").where(F.col("seq_id").isNotNull())
 
-    paired = ids(features).join(ids(labels), "seq_id", "left_semi")
-    both = files(features, "features").join(paired, "seq_id", "left_semi")
-    return both.join(files(labels, "labels").join(paired, "seq_id", "left_semi"), "seq_id")
+def read_labelled_files(
+    spark: SparkSession, features: str, labels: str, columns: Sequence[str], skip_lines: int = 0, delimiter: str = ",",
+    ids: tuple[int, int] | None = None, strict_names: bool = True,
+) -> DataFrame:
+    """Paired files as examples: (seq_id, step, columns, label, label_mask), the class on the last step."""
+    pairs = pair_files(list_files(spark, features, ids, strict_names), list_files(spark, labels, ids, strict_names))
+    return read_aligned(pack_files(pairs), LineFormat(tuple(columns), skip_lines, delimiter), LineFormat(("label",), skip_lines, delimiter))
