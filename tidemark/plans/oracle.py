@@ -339,3 +339,59 @@ per AS (SELECT symbol, feature, any_value(n_rows) AS n_rows, any_value(n_train)
 SELECT symbol, feature, CASE WHEN n_train < 3 THEN 'fewer than 3 train rows' WHEN lo IS NULL THEN 'no train values'
   WHEN hi <= lo THEN 'constant in train' ELSE 'constant before the last train row' END AS reason, n_rows
 FROM per WHERE n_train < 3 OR lo IS NULL OR hi <= lo OR kinds < 2"""
+
+
+def window_models(rows: str, key: str, pooled: bool, features: int, targets: list[int], length: int, l2: float = 1.0) -> str:
+    """Window models and their test forecasts, by the definition: windows written out, normal equations, elimination.
+
+    ``rows`` has key, pos, n_train, n_rows, f (0, 1, ...), v (scaled), lo, hi, raw.
+    """
+    n = length * features + 1
+    k = "0" if pooled else key
+    aims = ", ".join(f"({f}, {n + t})" for t, f in enumerate(targets))
+    return f"""long AS MATERIALIZED ({rows}), aims(f, j) AS (VALUES {aims}),
+inputs AS (
+  SELECT {key}, pos - s AS w, CAST(s * {features} + f AS INTEGER) AS i, v FROM long, range({length}) AS t(s)
+  WHERE pos < n_train AND pos - s BETWEEN 0 AND n_train - {length + 2}),
+augmented AS MATERIALIZED (
+  SELECT {k} AS k, {key}, w, i, v FROM inputs
+  UNION ALL SELECT {k}, {key}, w, {n - 1}, CAST(1 AS DOUBLE) FROM (SELECT DISTINCT {key}, w FROM inputs)
+  UNION ALL SELECT {k}, {key}, pos - {length}, j, v FROM long JOIN aims USING (f) WHERE pos < n_train - 1 AND pos >= {length}),
+products AS MATERIALIZED (
+  SELECT a.k, a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i AND a.i < {n - 1} THEN {l2} ELSE 0 END AS v
+  FROM augmented a JOIN augmented b ON a.{key} = b.{key} AND a.w = b.w WHERE a.i < {n} GROUP BY a.k, a.i, b.i),
+eliminated(k, step, i, line) AS (
+  SELECT k, 0, i, list(v ORDER BY j) FROM products GROUP BY k, i
+  UNION ALL
+  SELECT k, step + 1, i, CASE WHEN i = step THEN list_transform(line, lambda x: x / line[step + 1])
+    ELSE list_transform(line, lambda x, j: x - line[step + 1] * top[j] / top[step + 1]) END
+  FROM (SELECT *, max(CASE WHEN i = step THEN line END) OVER (PARTITION BY k) AS top FROM eliminated) WHERE step < {n}),
+weights AS MATERIALIZED (SELECT k, i, CAST({n} + t AS INTEGER) AS j, line[{n + 1} + t] AS v FROM eliminated, range({len(targets)}) AS u(t) WHERE step = {n}),
+told AS (
+  SELECT {key}, w, j, sum(x.v * weights.v) AS said FROM (
+    SELECT {k} AS k, {key}, pos - n_train - s AS w, CAST(s * {features} + f AS INTEGER) AS i, v FROM long, range({length}) AS t(s)
+    WHERE pos - n_train - s BETWEEN 0 AND n_rows - n_train - {length + 2}) x JOIN weights USING (k, i) GROUP BY 1, 2, 3),
+window_pairs AS (
+  SELECT told.{key}, w AS idx, long.f, (said + b.v) * (hi - lo) + lo AS predict, raw AS actual
+  FROM told JOIN aims USING (j) JOIN long ON long.{key} = told.{key} AND long.f = aims.f AND long.pos = n_train + w + {length}
+  JOIN weights b ON b.k = {k.replace(key, "told." + key)} AND b.i = {n - 1} AND b.j = told.j)"""
+
+
+_BAR_ROWS = " UNION ALL ".join(
+    f"SELECT symbol, pos, n_train, n_rows, {i} AS f, {scaled(f, f + '_min', f + '_max')} AS v, {f}_min AS lo, {f}_max AS hi, {f} AS raw FROM bar_scaled"
+    for i, f in enumerate(BAR_FEATURES)
+)
+_SERIES_ROWS = "SELECT series_id, pos, n_train, n_rows, 0 AS f, x AS v, lo, hi, value AS raw FROM xy"
+_FEATURE = f"[{', '.join(repr(f) for f in BAR_FEATURES)}][f + 1]"
+_ALL_BARS = f"WITH RECURSIVE {TRAIN_BARS}, {window_models(_BAR_ROWS, 'symbol', True, 5, [0, 1, 2, 3, 4], 22)}"
+ORACLE |= {
+    "forecast_window_all": f"{_ALL_BARS} SELECT symbol, idx, {_FEATURE} AS feature, {r('predict', 2)} AS predict, actual FROM window_pairs",
+    "forecast_window_report": f"{_ALL_BARS}, named AS (SELECT symbol, {_FEATURE} AS feature, predict, actual FROM window_pairs) "
+    + regression("symbol, feature", "named", ["mae", "rmse", "r2"], 3),
+    "forecast_window_one": f"WITH RECURSIVE {TRAIN_BARS}, {window_models(_BAR_ROWS, 'symbol', False, 5, [1], 22)} "
+    f"SELECT symbol, idx, {r('predict', 2)} AS predict, actual FROM window_pairs",
+    "window_model_series": f"WITH RECURSIVE {SERIES_MODELS}, {window_models(_SERIES_ROWS, 'series_id', True, 1, [0], 22)} "
+    f"SELECT i AS pos, {r('v')} AS value FROM weights",
+    "forecast_window_series": f"WITH RECURSIVE {SERIES_MODELS}, {window_models(_SERIES_ROWS, 'series_id', False, 1, [0], 5)} "
+    f"SELECT series_id, idx, {r('predict', 4)} AS predict, actual FROM window_pairs",
+}

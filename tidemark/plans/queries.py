@@ -21,6 +21,7 @@ from tidemark.operators import (
     splitting,
     stateful,
     training,
+    window_regression,
     windowing,
 )
 from tidemark.operators.joins import join_on_key
@@ -48,6 +49,7 @@ SHUFFLE_SEED = 12345
 ID_RANGES = [("train", 300), ("valid", 80), ("test", 100)]
 HASH_SHARES = [("train", 0.8), ("valid", 0.1), ("test", 0.1)]
 FILE_IDS = (7, 40)
+SHORT_WINDOW = 5
 BATCH = 64
 FILE_BORDER = "1999-01-01"
 
@@ -430,6 +432,63 @@ def forecast_all(spark, folder):
     return pairs.select("symbol", "idx", "feature", rounded(F.col("predict"), 4).alias("predict"), "actual")
 
 
+# Penalty of the window models: a constant feature must not make them singular.
+WINDOW_L2 = 1.0
+
+
+def _window_parts(rows: Ordered, features: list[str]) -> tuple[Ordered, Ordered]:
+    """Train and test rows, scaled with the train range."""
+    scaled = scaling.scale_series(rows, features, F.col("split") == "train")
+    return splitting.only_split(scaled, "train"), splitting.only_split(scaled, "test")
+
+
+def _window_forecasts(spark: SparkSession, folder: str) -> DataFrame:
+    """All features of the day after each test window, by one model on windows of all symbols."""
+    shape = window_regression.Shape(tuple(BAR_FEATURES), tuple(BAR_FEATURES))
+    train, test = _window_parts(numbered_bars(spark, folder, keep=True), BAR_FEATURES)
+    return window_regression.forecast_windows(test, shape, window_regression.fit_pooled(train, shape, WINDOW_L2))
+
+
+@query
+def forecast_window_all(spark, folder):
+    pairs = _window_forecasts(spark, folder)
+    return pairs.select("symbol", "idx", "feature", rounded(F.col("predict"), 2).alias("predict"), "actual")
+
+
+@query
+def forecast_window_report(spark, folder):
+    report = evaluation.regression_report(_window_forecasts(spark, folder), ["symbol", "feature"])
+    return report.select("symbol", "feature", "n", *[rounded(F.col(c), 3).alias(c) for c in ("mae", "rmse", "r2")])
+
+
+@query
+def forecast_window_one(spark, folder):
+    """The close after each test window, by one model per symbol."""
+    shape = window_regression.Shape(tuple(BAR_FEATURES), ("close",))
+    train, test = _window_parts(numbered_bars(spark, folder, keep=True), BAR_FEATURES)
+    pairs = window_regression.forecast_windows(test, shape, window_regression.fit_each(train, shape, WINDOW_L2))
+    return pairs.select("symbol", "idx", rounded(F.col("predict"), 2).alias("predict"), "actual")
+
+
+@query
+def window_model_series(spark, folder):
+    """Weights of one window model for all series."""
+    shape = window_regression.Shape(("value",), ("value",))
+    train, _ = _window_parts(numbered_series(spark, folder), ["value"])
+    weights = window_regression.fit_pooled(train, shape, WINDOW_L2).weights[:, 0]
+    rows = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "pos int, value double")
+    return rows.select("pos", rounded(F.col("value")).alias("value"))
+
+
+@query
+def forecast_window_series(spark, folder):
+    """Every series' test windows of five values, by a model of its own."""
+    shape = window_regression.Shape(("value",), ("value",), SHORT_WINDOW)
+    train, test = _window_parts(numbered_series(spark, folder), ["value"])
+    pairs = window_regression.forecast_windows(test, shape, window_regression.fit_each(train, shape, WINDOW_L2))
+    return pairs.select("series_id", "idx", rounded(F.col("predict"), 4).alias("predict"), "actual")
+
+
 @query
 def forecast_report(spark, folder):
     pairs = forecasting.forecast_test_windows(_bars_forecast(spark, folder, "ALL"), BAR_FEATURES)
