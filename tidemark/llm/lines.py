@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.words import ascii_lower, slices
 from tidemark.session import write_through
 
+# So many border lines, of 33 bytes, are sent to every executor; more of them are joined by key.
+BROADCAST_BORDERS = 200_000
 BLANKS = " \t\n\x0b\x0c\r"
 NEWLINE = "\n"
 
@@ -148,7 +150,10 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     document = F.struct((~F.col("no_doc")).alias("known"), F.col("doc"))
     # Few lines a partition, and of each at most least_docs documents.
     borders = found.where("kind = 'border'").groupBy("h1", "h2").agg(F.max(document).alias("largest"), F.countDistinct(document).alias("n"))
-    borders = borders.where(F.col("n") >= least_docs)
+    borders = write_through(borders.where(F.col("n") >= least_docs), "borders")
+    if borders.count() <= BROADCAST_BORDERS:
+        # A frequent line's rows stay in the partitions that they were dealt to.
+        borders = F.broadcast(borders)
     opened = found.where("kind = 'open'").join(borders, ["h1", "h2"]).where(document != F.col("largest"))
     drop = [F.when(~F.col("no_doc"), F.col("doc")).alias("doc"), "th", "place"]
     return found.where("kind = 'drop'").select(*drop).unionByName(opened.select(*drop))
