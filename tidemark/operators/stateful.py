@@ -1,95 +1,33 @@
-"""Scoring with a state that is carried along each series.
-
-The state is an exponential mean, ``s = a * x + (1 - a) * s``, which starts at
-the first value of a series. Its steps compose: a chunk of a long series can
-start from nothing, and the state before it is added afterwards, faded by the
-number of rows since. So long series are scanned in chunks, all at once.
-"""
+"""Scoring with a state that is carried along each series, in batch."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import accumulate, islice
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
-
-from tidemark.operators.ordering import CHUNK, EVERYTHING, cut_long_series, join_series
-from tidemark.session import write_through
 
+from tidemark.functions import columns as C
+from tidemark.operators.affine_scan import affine_states, exponential, trend
+from tidemark.operators.ordering import Ordered
 
-def scan_state(keep: np.ndarray, add: np.ndarray, state: float = 0.0) -> np.ndarray:
-    """All states of ``s[i] = keep[i] * s[i - 1] + add[i]``, in row order.
 
-    One multiply-add per row; the result does not depend on batch borders.
-    """
-    steps = zip(keep.tolist(), add.tolist())
-    return np.fromiter(islice(accumulate(steps, lambda s, step: step[0] * s + step[1], initial=state), 1, None), float)
+def exponential_state(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float, restart: str | None = None) -> DataFrame:
+    """The rows with ``state``, the exponential mean up to and including each row."""
+    return affine_states(df, keys, order, value, exponential(alpha), restart)
 
 
-def _group_of(ids: pd.Series) -> tuple:
-    return tuple(None if pd.isna(v) else v for v in ids)
+def trend_state(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float, beta: float, restart: str | None = None) -> DataFrame:
+    """The rows with ``level`` and ``trend`` up to and including each row; their sum is the forecast of the next."""
+    return affine_states(df, keys, order, value, trend(alpha, beta), restart)
 
 
-def _scan_sorted(batches: Iterator[pd.DataFrame], group: list[str], value: str, alpha: float) -> Iterator[pd.DataFrame]:
-    """Scan rows that arrive sorted by group; the state passes from batch to batch.
+def forecast_from_state(ordered: Ordered, feature: str, alpha: float, beta: float) -> DataFrame:
+    """Rows of scaled, time-split series with ``<feature>_predict``, the forecast of the row after each, in original units.
 
-    Adds ``state`` and ``_faded``, the share that a state before the group's
-    first row would still have in it.
+    The state is learnt on the train rows' scale and passes from the last train
+    row into the test rows without a break.
     """
-    carried_group, carried, faded = None, 0.0, 1.0
-    for batch in batches:
-        if not len(batch):
-            continue
-        ids = batch[group]
-        before = ids.shift()
-        starts = ((ids != before) & ~(ids.isna() & before.isna())).any(axis=1).to_numpy()
-        starts[0] = carried_group != _group_of(ids.iloc[0])
-        x, opens = batch[value].to_numpy(np.float64), starts & batch["_opens"].to_numpy(bool)
-        keep = np.where(starts, 0.0, 1 - alpha)
-        states = scan_state(keep, np.where(opens, x, alpha * x), carried)
-        fades = scan_state(keep, np.where(starts & ~opens, 1 - alpha, 0.0), faded)
-        carried_group, carried, faded = _group_of(ids.iloc[-1]), states[-1], fades[-1]
-        yield batch.drop(columns="_opens").assign(state=states, _faded=fades)
-
-
-def _scan(rows: DataFrame, group: list[str], order: list[str], value: str, alpha: float) -> DataFrame:
-    together = rows.repartition(*group).sortWithinPartitions(*group, *order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_opens")
-    return together.mapInPandas(
-        lambda batches: _scan_sorted(batches, group, value, alpha), f"{schema}, state double, _faded double"
-    )
-
-
-def _pass_on(chunks: pd.DataFrame) -> pd.DataFrame:
-    """State before each chunk of a series, from the chunks' own final states."""
-    chunks = chunks.sort_values(CHUNK)
-    after = scan_state(chunks["_faded"].to_numpy(np.float64), chunks["state"].to_numpy(np.float64))
-    return chunks.assign(_state_in=np.concatenate([[0.0], after[:-1]])).drop(columns=["state", "_faded"])
-
-
-def exponential_state(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float) -> DataFrame:
-    """The rows with ``state``, the exponential mean up to and including each row."""
-    ordered = cut_long_series(df, keys, order)
-    whole = _scan(ordered.whole.withColumn("_opens", F.lit(True)), ordered.keys, ordered.order, value, alpha)
-    whole = whole.drop("_faded", EVERYTHING)
-    if ordered.cut is None:
-        return whole
-
-    group = [*ordered.keys, CHUNK]
-    first = F.col(CHUNK) == F.min(CHUNK).over(Window.partitionBy(*ordered.keys))
-    openers = ordered.cut.groupBy(*group).agg(F.lit(1)).select(*group, first.alias("_opens"))
-    alone = _scan(join_series(ordered.cut, openers, group), group, ordered.order, value, alpha)
-    alone = write_through(alone, "states")
-    # One row per chunk, so this table and the groups in it stay small.
-    last = F.max_by(F.struct("state", "_faded"), F.struct(*ordered.order)).alias("last")
-    ends = alone.groupBy(*group).agg(last).select(*group, "last.*")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ends.schema if f.name in group)
-    carried = ends.groupBy(*ordered.keys).applyInPandas(_pass_on, f"{types}, _state_in double")
-    cut = join_series(alone, carried, group).withColumn(
-        "state", F.col("state") + F.col("_faded") * F.col("_state_in")
-    )
-    return whole.unionByName(cut.drop("_faded", "_state_in", CHUNK, EVERYTHING))
+    scored = trend_state(ordered.rows, ordered.keys, ordered.order, f"{feature}_scaled", alpha, beta)
+    ahead: Column = F.col("level") + F.col("trend")
+    return scored.withColumn(f"{feature}_predict", C.undo_min_max(ahead, F.col(f"{feature}_min"), F.col(f"{feature}_max")))

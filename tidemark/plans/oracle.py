@@ -395,3 +395,27 @@ ORACLE |= {
     "forecast_window_series": f"WITH RECURSIVE {SERIES_MODELS}, {window_models(_SERIES_ROWS, 'series_id', False, 1, [0], 5)} "
     f"SELECT series_id, idx, {r('predict', 4)} AS predict, actual FROM window_pairs",
 }
+
+
+def trend_states(rows: str) -> str:
+    """Level and trend, one row after the other; rows has series_id, pos, x and restart."""
+    a, b = "(CAST(1 AS DOUBLE) / 3)", "(CAST(1 AS DOUBLE) / 7)"
+    level = f"({a} * n.x + (1 - {a}) * (s.level + s.trend))"
+    return f"""steps AS MATERIALIZED ({rows}),
+states(series_id, pos, level, trend) AS (
+  SELECT series_id, pos, CAST(x AS DOUBLE), CAST(0 AS DOUBLE) FROM steps WHERE pos = 0
+  UNION ALL
+  SELECT n.series_id, n.pos, CASE WHEN n.restart THEN n.x ELSE {level} END,
+    CASE WHEN n.restart THEN 0 ELSE {b} * ({level} - s.level) + (1 - {b}) * s.trend END
+  FROM states s JOIN steps n ON n.series_id = s.series_id AND n.pos = s.pos + 1)"""
+
+
+ORACLE |= {
+    "state_train_to_test_overlay": f"""WITH RECURSIVE {SERIES_MODELS}, {trend_states("SELECT series_id, pos, x, FALSE AS restart FROM xy")},
+told AS (SELECT xy.*, (level + trend) * (hi - lo) + lo AS said FROM xy JOIN states USING (series_id, pos))
+SELECT series_id, 'train' AS series_name, pos AS idx, {r('value', 4)} AS value FROM told WHERE split = 'train'
+UNION ALL SELECT series_id, 'actual', pos - 1, {r('value', 4)} FROM told WHERE split = 'test'
+UNION ALL SELECT series_id, 'predicted', pos, {r('said', 4)} FROM told WHERE split = 'test'""",
+    "state_with_restarts": f"""WITH RECURSIVE {SERIES}, {trend_states("SELECT series_id, pos, event_id, value AS x, event_type = 'signup' AS restart FROM series JOIN (SELECT event_id, event_type FROM events) USING (event_id)")}
+SELECT series_id, event_id, {r('level', 4)} AS level, {r('trend', 4)} AS trend FROM states JOIN steps USING (series_id, pos)""",
+}

@@ -50,6 +50,7 @@ ID_RANGES = [("train", 300), ("valid", 80), ("test", 100)]
 HASH_SHARES = [("train", 0.8), ("valid", 0.1), ("test", 0.1)]
 FILE_IDS = (7, 40)
 SHORT_WINDOW = 5
+RESTART_EVENT = "signup"
 BATCH = 64
 FILE_BORDER = "1999-01-01"
 
@@ -616,6 +617,28 @@ def stateful_score_stream(spark, folder):
     return rows.select(F.col("user_id").alias("series_id"), "event_id", rounded(F.col("state"), 4).alias("state"))
 
 
+# Thirds and sevenths: no state of two-decimal values lies on a rounding border.
+TREND = (1 / 3, 1 / 7)
+
+
+@query
+def state_train_to_test_overlay(spark, folder):
+    """Train, actual and predicted values of every series, by level and trend that pass from train into test."""
+    rows = scaling.scale_series(numbered_series(spark, folder), ["value"], F.col("split") == "train")
+    lines = overlay.train_actual_predicted(stateful.forecast_from_state(rows, "value", *TREND), ["series_id"], "value")
+    return lines.withColumn("value", rounded(F.col("value"), 4))
+
+
+@query
+def state_with_restarts(spark, folder):
+    """Level and trend of every series, cleared at each sign-up."""
+    events = A.table(spark, folder, "events").select(
+        F.col("user_id").alias("series_id"), "ts", "event_id", "value", (F.col("event_type") == RESTART_EVENT).alias("restart")
+    )
+    scored = stateful.trend_state(events, ["series_id"], SERIES_ORDER, "value", *TREND, restart="restart")
+    return scored.select("series_id", "event_id", *[rounded(F.col(c), 4).alias(c) for c in ("level", "trend")])
+
+
 def window_examples(spark: SparkSession, folder: str, length: int) -> DataFrame:
     """Windows of scaled values (x) with the scaled next value (y, label), inside each split."""
     rows = scaling.scale_series(numbered_series(spark, folder), ["value"], F.col("split") == "train")

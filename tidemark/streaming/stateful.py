@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.stateful import scan_state
+from tidemark.operators.affine_scan import exponential, scan
 from tidemark.operators.training import Model
 
 
@@ -37,6 +37,8 @@ def exponential_state_stream(
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in columns)
 
+    rule = exponential(alpha)
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(batches)).sort_values(list(order))
         x = batch[value].to_numpy(np.float64)
@@ -44,9 +46,8 @@ def exponential_state_stream(
         if restart:
             starts |= batch[restart].fillna(False).to_numpy(bool)
         starts[0] = starts[0] or not state.exists
-        keep = np.where(starts, 0.0, 1 - alpha)
-        add = np.where(starts, x, alpha * x)
-        states = scan_state(keep, add, state.get[0] if state.exists else 0.0)
+        states, _ = scan(rule, x, starts, np.array(state.get if state.exists else [0.0], np.float64), np.eye(1))
+        states = states[:, 0]
         state.update((float(states[-1]),))
         yield batch[columns].assign(state=states)
 
