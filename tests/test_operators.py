@@ -229,3 +229,15 @@ def test_targets():
     assert C.target_columns("CLOSE") == ["close"]
     with pytest.raises(ValueError):
         C.target_columns("MIDDLE")
+
+
+@pytest.mark.parametrize("border_rows", [1, 5, 100_000])
+def test_nth_hash(spark, border_rows):
+    from tidemark.operators.splitting import nth_hash
+
+    rows = sorted([(f"{i * 2654435761 % 2**32:08x}" + "0" * 24, i) for i in range(300)] + [("abcd" + "e" * 28, i) for i in range(20)])
+    df = spark.createDataFrame(rows, "hash string, id int").repartition(5)
+    for n in (1, 2, 150, 211, len(rows) - 1, len(rows)):
+        assert nth_hash(df, n, border_rows) == rows[n - 1]
+    assert nth_hash(df, len(rows) + 1, border_rows) is None
+    assert nth_hash(df.limit(0), 1, border_rows) is None

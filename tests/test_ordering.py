@@ -129,3 +129,14 @@ def test_exponential_state(spark, series, chunk_rows, alpha):
             expect[row[:3]] = state
     assert got.keys() == expect.keys()
     assert all(got[k] == pytest.approx(expect[k], abs=1e-9) for k in expect)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_hot_null_key_is_dealt_out(spark, how):
+    rows = [(None, i) for i in range(2000)] + [("a", i) for i in range(500)] + [("b", 1)]
+    many = spark.createDataFrame(rows, "k string, x int").repartition(4)
+    one = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, y int")
+    joined = join_on_key(many, one, ["k"], how, hot_rows=100)
+    assert sorted(joined.fillna("none").fillna(-1).collect()) == sorted(many.join(one, "k", how).fillna("none").fillna(-1).collect())
+    hot = {r.k: r._salts for r in hot_keys(many, ["k"], 100).collect()}
+    assert hot == {None: 40, "a": 10}

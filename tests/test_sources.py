@@ -8,7 +8,7 @@ from tidemark.operators.training import Model
 from tidemark.sources import files
 from tidemark.sources.bars import read_bars, read_bars_text, typed_bars
 from tidemark.sources.models import load_model, save_model
-from tidemark.sources.prepared import read_prepared, write_prepared
+from tidemark.sources.prepared import committed, fingerprint, read_prepared, write_prepared
 from tidemark.sources.sequences import (
     read_file_pairs,
     read_labelled_files,
@@ -222,3 +222,27 @@ def test_written_files_read_back(spark, tmp_path):
     back = read_numbered_files(spark, f"{tmp_path}/out", ["x", "y"], width=2).collect()
     assert sorted(map(tuple, back)) == sorted(r for r in rows if r[0] is not None)
     assert {p.suffix for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")} == {".csv"}
+
+
+def test_half_written_tables_are_written_anew(spark, tmp_path):
+    df = spark.range(10).select("id", F.when(F.col("id") < 7, "train").otherwise("test").alias("split"))
+    path = f"{tmp_path}/p"
+    (tmp_path / "p" / "tables-lost" / "features" / "_temporary").mkdir(parents=True)
+    (tmp_path / "p" / "manifest" / "_temporary").mkdir(parents=True)
+    with pytest.raises(FileNotFoundError):
+        read_prepared(spark, path)
+    df.limit(2).write.parquet(f"{path}/tables-lost/labels")
+    assert committed(spark, path) is None
+    assert write_prepared(df, df, path) and not write_prepared(df.limit(1), df, path)
+    assert [t.count() for t in read_prepared(spark, path)] == [10, 10]
+
+
+def test_tables_made_from_something_else_are_written_anew(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i == 3 else "x", "train") for i in range(6)], "id int, s string, split string")
+    path, made = f"{tmp_path}/p", fingerprint(df, df, seed=1)
+    assert made == fingerprint(df.repartition(4).orderBy(F.desc("id")), df, seed=1)
+    others = [fingerprint(df, df, seed=2), fingerprint(df.limit(5), df, seed=1), fingerprint(df.union(df.limit(1)), df, seed=1), fingerprint(df.withColumnRenamed("s", "t"), df, seed=1)]
+    assert made not in others and len(set(others)) == 4
+    assert write_prepared(df, df, path, made) and not write_prepared(df, df, path, made)
+    assert write_prepared(df.limit(2), df, path, others[1])
+    assert [t.count() for t in read_prepared(spark, path)] == [2, 6]

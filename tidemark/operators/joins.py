@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import join_series
 from tidemark.session import DEFAULT_HOT_ROWS, HOT_ROWS, int_setting, write_through
 
 # Joins that may repeat rows of the right side without changing the result.
@@ -48,7 +49,8 @@ def join_on_key(
     # Rows that are keys only are alike; their place tells them apart.
     drawn = F.xxhash64(*rest) if rest else F.monotonically_increasing_id()
     salt = F.when(F.col("_salts").isNotNull(), F.pmod(drawn, F.col("_salts")).cast("int")).otherwise(0)
-    salted = many.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    # A null key may be hot too, though it joins with nothing.
+    salted = join_series(many, hot, keys, "left").withColumn("_salt", salt).drop("_salts")
     every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
-    spread = one.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
+    spread = join_series(one, hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")

@@ -57,34 +57,51 @@ def split_by_hash(
     return df.withColumn("split", split)
 
 
+# Rows among which the n-th is looked for by sorting, and digits by which the search is narrowed at a time.
+BORDER_ROWS = 100_000
+DIGITS = 4
+
+
+def nth_hash(hashed: DataFrame, n: int, border_rows: int = BORDER_ROWS) -> tuple | None:
+    """The n-th row (from 1) of ``hash, id`` in that order; None if there are fewer.
+
+    Rows are counted by the hash's next digits, and only those that share the
+    digits which the n-th row falls under are looked at further, until few are
+    left. Whatever the size of the table, at most 65,536 counts and
+    ``border_rows`` rows are put in order (more only if they share one hash).
+    """
+    prefix, left = "", n
+    while True:
+        inside = hashed.where(F.col("hash").startswith(prefix)) if prefix else hashed
+        sizes = inside.groupBy(F.substring("hash", len(prefix) + 1, DIGITS).alias("digits")).agg(F.count(F.lit(1)).alias("size"))
+        upto = sizes.withColumn("upto", F.sum("size").over(Window.orderBy("digits")))
+        border = upto.where(F.col("upto") >= left).orderBy("digits").first()
+        if border is None:
+            return None
+        left -= border.upto - border.size
+        prefix += border.digits
+        if border.size <= border_rows or len(border.digits) < DIGITS:
+            rows = hashed.where(F.col("hash").startswith(prefix))
+            return tuple(rows.orderBy("hash", "id").offset(left - 1).first())
+
+
 def split_exact(df: DataFrame, id_column: str, n_train: int, seed: int) -> DataFrame:
     """Exactly ``n_train`` rows, chosen by shuffled order, are ``train``.
 
     The order is that of the hashed ids. Only the n-th smallest hash is looked
-    for: a count per hash prefix finds the prefix it falls into, and only the
-    rows of that one prefix (1 in 65,536) are sorted. No row is shuffled.
+    for; no row is shuffled.
     """
     if n_train <= 0:
         return df.withColumn("split", F.lit("test"))
-    ranked = df.select(F.col(id_column).alias("_id"), C.hash_key(seed, id_column).alias("_hash"))
-    ranked = ranked.withColumn("_prefix", F.substring("_hash", 1, 4))
-    sizes = ranked.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_size"))
-    upto = F.sum("_size").over(Window.orderBy("_prefix"))
-    border = (
-        sizes.withColumn("_upto", upto)
-        .where((F.col("_upto") >= n_train) & (F.col("_upto") - F.col("_size") < n_train))
-        .select("_prefix", (n_train - F.col("_upto") + F.col("_size")).alias("_nth"))
-    )
-    last = (
-        ranked.join(F.broadcast(border), "_prefix")  # border is a single row
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("_prefix").orderBy("_hash", "_id")))
-        .where(F.col("_rank") == F.col("_nth"))
-        .select(F.struct(F.col("_hash").alias("hash"), F.col("_id").alias("id")).alias("last"))
-    )
+    ranked = df.select(C.hash_key(seed, id_column).alias("hash"), F.col(id_column).alias("id"))
+    last = nth_hash(ranked, n_train)
+    if last is None:
+        # The table is smaller than n_train: all is train.
+        return df.withColumn("split", F.lit("train"))
+    kind = df.schema[id_column].dataType
     here = F.struct(C.hash_key(seed, id_column).alias("hash"), F.col(id_column).alias("id"))
-    # No n-th row exists when the table is smaller than n_train: all is train.
-    inside = F.coalesce(here <= last.scalar(), F.lit(True))
-    return df.withColumn("split", F.when(inside, "train").otherwise("test"))
+    border = F.struct(F.lit(last[0]).alias("hash"), F.lit(last[1]).cast(kind).alias("id"))
+    return df.withColumn("split", F.when(here <= border, "train").otherwise("test"))
 
 
 def union_files(train: DataFrame, test: DataFrame) -> DataFrame:

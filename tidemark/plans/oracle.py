@@ -419,3 +419,7 @@ UNION ALL SELECT series_id, 'predicted', pos, {r('said', 4)} FROM told WHERE spl
     "state_with_restarts": f"""WITH RECURSIVE {SERIES}, {trend_states("SELECT series_id, pos, event_id, value AS x, event_type = 'signup' AS restart FROM series JOIN (SELECT event_id, event_type FROM events) USING (event_id)")}
 SELECT series_id, event_id, {r('level', 4)} AS level, {r('trend', 4)} AS trend FROM states JOIN steps USING (series_id, pos)""",
 }
+
+ORACLE["prepared_written_once"] = f"""WITH {VECTORS}, {EXACT}
+SELECT split, count(*) AS features, count(DISTINCT seq_id) AS labels, count(*) FILTER (WHERE step < 10) AS features_anew,
+  count(DISTINCT seq_id) AS labels_anew, 2 AS writes FROM vectors JOIN exact ON seq_id = vec_id GROUP BY split"""

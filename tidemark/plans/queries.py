@@ -33,7 +33,7 @@ from tidemark.session import new_folder, write_through
 from tidemark.sources.bars import read_bars, typed_bars
 from tidemark.sources.models import load_model, model_rows, save_model
 from tidemark.sources.files import list_files, write_files
-from tidemark.sources.prepared import read_prepared, write_prepared
+from tidemark.sources.prepared import fingerprint, read_prepared, write_prepared
 from tidemark.sources.sequences import explode_line, read_labelled_files, read_numbered_files, read_series_text
 from tidemark.streaming.stateful import exponential_state_stream
 
@@ -570,18 +570,37 @@ def files_unpaired(spark, folder):
     return alignment.missing_sides(features, labels, "seq_id")
 
 
-@query
-def prepared_test_split(spark, folder):
-    path = new_folder(spark, "prepared")
+def _prepared(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     embeddings = splitting.split_exact(A.table(spark, folder, "embeddings"), "vec_id", N_TRAIN, SHUFFLE_SEED)
     features = embeddings.select(F.col("vec_id").alias("seq_id"), "split", F.posexplode("embedding").alias("step", "value"))
     labels = embeddings.select(F.col("vec_id").alias("seq_id"), "split", "label")
-    write_prepared(features.withColumn("value", F.col("value").cast("double")), labels, path)
+    return features.withColumn("value", F.col("value").cast("double")), labels
+
+
+@query
+def prepared_test_split(spark, folder):
+    path = new_folder(spark, "prepared")
+    write_prepared(*_prepared(spark, folder), path)
     features, labels = read_prepared(spark, path, "test")
     joined = features.drop("split").join(labels.drop("split"), "seq_id")
     return joined.select("seq_id", "step", rounded(F.col("value")).alias("value"), "label")
 
 
+@query
+def prepared_written_once(spark, folder):
+    """Rows per split after a run that failed half-way, a whole one, one more of the same and one of another making."""
+    path = new_folder(spark, "prepared")
+    features, labels = _prepared(spark, folder)
+    features.write.partitionBy("split").parquet(f"{path}/tables-lost/features")
+    made_from = fingerprint(features, labels, seed=SHUFFLE_SEED)
+    wrote = [write_prepared(features, labels, path, made_from) for _ in range(2)]
+    before = read_prepared(spark, path)
+    wrote.append(write_prepared(features.where("step < 10"), labels, path, fingerprint(features, labels, seed=SHUFFLE_SEED, steps=10)))
+    counted = [df.groupBy("split").agg(F.count(F.lit(1)).alias(name)) for df, name in zip((*before, *read_prepared(spark, path)), ("features", "labels", "features_anew", "labels_anew"))]
+    both = counted[0].join(counted[1], "split").join(counted[2], "split").join(counted[3], "split")
+    return both.withColumn("writes", F.lit(sum(wrote)))
+
+
 # --- state and training ----------------------------------------------------
 
 # No state of two-decimal values lies on a rounding border.
