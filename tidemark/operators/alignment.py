@@ -41,6 +41,20 @@ def pad_to(ordered: Ordered, length: int, values: list[str]) -> Ordered:
     return ordered.map(fill)
 
 
+def last_steps_vector(ordered: Ordered, steps: int, values: list[str], scale: float = 1.0) -> DataFrame:
+    """One row per sequence: ``x``, its last ``steps`` steps aligned at the end, oldest first.
+
+    Each step has its values, times ``scale``, and a mask; steps before a
+    sequence's first are zeros with mask 0. A group holds ``steps`` rows at most.
+    """
+    back = F.col("n_rows") - 1 - F.col("pos")
+    cells = F.array(*[F.col(v).cast("double") * scale for v in values], F.lit(1.0))
+    recent = ordered.rows.where(back < steps).groupBy(*ordered.keys).agg(F.map_from_entries(F.collect_list(F.struct(back.cast("int"), cells))).alias("_steps"))
+    empty = F.array(*[F.lit(0.0)] * (len(values) + 1))
+    wanted = F.transform(F.sequence(F.lit(steps - 1), F.lit(0), F.lit(-1)), lambda k: F.coalesce(F.element_at("_steps", k), empty))
+    return recent.select(*ordered.keys, F.flatten(wanted).alias("x"))
+
+
 def missing_sides(features: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Ids found on one side only, with the side that lacks them."""
     left = features.select(key).distinct().withColumn("_left", F.lit(True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ratio
@@ -104,6 +104,46 @@ def roc_auc(df: DataFrame, by: Sequence[str], label: str = "label", score: str =
     )
 
 
+def roc_counts(df: DataFrame, by: Sequence[str], label: str = "label", score: str = "score", bins: int = 200) -> DataFrame:
+    """``n_pos, n_neg`` per group and bin of equal width over scores from 0 to 1.
+
+    Counts of several tables, days or epochs add up. Scores outside count in
+    the first or last bin; rows without a score or label count nowhere.
+    """
+    positive = (F.col(label) == 1).cast("long")
+    place = F.greatest(F.lit(0), F.least(F.floor(F.col(score) * bins), F.lit(bins - 1))).cast("int")
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    return rows.groupBy(*by, place.alias("bin")).agg(F.sum(positive).alias("n_pos"), F.sum(1 - positive).alias("n_neg"))
+
+
+def merge_roc_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Counts of several tables as those of all their rows."""
+    return counts.groupBy(*by, "bin").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+
+
+def roc_points(counts: DataFrame, by: Sequence[str], bins: int = 200) -> DataFrame:
+    """Rows at or above each threshold that some row reaches: ``threshold, tp, fp, tpr, fpr``.
+
+    Puts ``bins`` rows per group in order, whatever the number of scores.
+    """
+    down = Window.partitionBy(*by).orderBy(F.desc("bin"))
+    every = Window.partitionBy(*by)
+    sums = counts.select(
+        *by, (F.col("bin") / F.lit(bins)).alias("threshold"),
+        F.sum("n_pos").over(down).alias("tp"), F.sum("n_neg").over(down).alias("fp"),
+        F.sum("n_pos").over(every).alias("_p"), F.sum("n_neg").over(every).alias("_n"),
+    )
+    return sums.select(*by, "threshold", "tp", "fp", ratio(F.col("tp"), F.col("_p")).alias("tpr"), ratio(F.col("fp"), F.col("_n")).alias("fpr"))
+
+
+def roc_area(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``n_pos, n_neg, auc`` per group; pairs that share a bin count half, so it is off by at most half of those."""
+    below = F.sum("n_neg").over(Window.partitionBy(*by).orderBy("bin")) - F.col("n_neg") / 2
+    won = counts.withColumn("_won", F.col("n_pos") * below)
+    pairs = F.sum("n_pos").cast("double") * F.sum("n_neg").cast("double")
+    return won.groupBy(*by).agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"), ratio(F.sum("_won"), pairs).alias("auc"))
+
+
 def argmax(values: Column) -> Column:
     """Index of the first largest element."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

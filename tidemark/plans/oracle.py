@@ -423,3 +423,28 @@ SELECT series_id, event_id, {r('level', 4)} AS level, {r('trend', 4)} AS trend F
 ORACLE["prepared_written_once"] = f"""WITH {VECTORS}, {EXACT}
 SELECT split, count(*) AS features, count(DISTINCT seq_id) AS labels, count(*) FILTER (WHERE step < 10) AS features_anew,
   count(DISTINCT seq_id) AS labels_anew, 2 AS writes FROM vectors JOIN exact ON seq_id = vec_id GROUP BY split"""
+
+_ROC = f"""docs AS (
+  SELECT {HASH_SPLIT.format(id='doc_id')} AS split, quality AS label,
+    least(63, CAST(floor(n_chars::DOUBLE / 16384 * 64) AS INTEGER)) AS bin FROM labels JOIN documents USING (doc_id)),
+bins AS (SELECT split, bin, sum(CAST(label = 1 AS BIGINT)) AS p, sum(CAST(label <> 1 AS BIGINT)) AS q FROM docs GROUP BY 1, 2)"""
+ORACLE |= {
+    "eval_roc_thresholds": f"""WITH {_ROC}
+SELECT a.split, a.bin / 64.0::DOUBLE AS threshold, CAST(sum(b.p) FILTER (WHERE b.bin >= a.bin) AS BIGINT) AS tp,
+  CAST(sum(b.q) FILTER (WHERE b.bin >= a.bin) AS BIGINT) AS fp,
+  {r('CAST(sum(b.p) FILTER (WHERE b.bin >= a.bin) AS DOUBLE) / nullif(CAST(sum(b.p) AS DOUBLE), 0)')} AS tpr,
+  {r('CAST(sum(b.q) FILTER (WHERE b.bin >= a.bin) AS DOUBLE) / nullif(CAST(sum(b.q) AS DOUBLE), 0)')} AS fpr
+FROM bins a JOIN bins b USING (split) GROUP BY a.split, a.bin""",
+    "eval_roc_area": f"""WITH {_ROC}, pairs AS (
+  SELECT a.split, sum(a.p * b.q * CASE WHEN b.bin < a.bin THEN 1.0::DOUBLE WHEN b.bin = a.bin THEN 0.5 ELSE 0 END) AS won
+  FROM bins a JOIN bins b USING (split) GROUP BY a.split),
+totals AS (SELECT split, sum(p) AS p, sum(q) AS q FROM bins GROUP BY split)
+SELECT split, CAST(p AS BIGINT) AS n_pos, CAST(q AS BIGINT) AS n_neg, {r('won / nullif(CAST(p AS DOUBLE) * CAST(q AS DOUBLE), 0)')} AS auc
+FROM pairs JOIN totals USING (split)""",
+    "classify_aligned_steps": f"""WITH {LABELS}
+SELECT label AS class, count(*) AS n, CAST(count(*) AS DOUBLE) AS probability
+FROM clinical_labels WHERE {HASH_SPLIT.format(id='seq_id')} = 'train' GROUP BY label""",
+    "classify_vector_steps": f"""WITH {EXACT}
+SELECT label AS class, count(*) AS n, CAST(count(*) AS DOUBLE) AS probability
+FROM embeddings JOIN exact USING (vec_id) WHERE split = 'train' GROUP BY label""",
+}

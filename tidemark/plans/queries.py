@@ -18,6 +18,7 @@ from tidemark.operators import (
     models,
     overlay,
     scaling,
+    softmax,
     splitting,
     stateful,
     training,
@@ -50,6 +51,10 @@ ID_RANGES = [("train", 300), ("valid", 80), ("test", 100)]
 HASH_SHARES = [("train", 0.8), ("valid", 0.1), ("test", 0.1)]
 FILE_IDS = (7, 40)
 SHORT_WINDOW = 5
+ROC_BINS = 64
+# Length of a document that scores 1.
+MOST_CHARS = 16_384
+LAST_STEPS = 20
 RESTART_EVENT = "signup"
 BATCH = 64
 FILE_BORDER = "1999-01-01"
@@ -400,6 +405,23 @@ def eval_auc_splits(spark, folder):
     return auc.withColumn("auc", rounded(F.col("auc")))
 
 
+@query
+def eval_roc_thresholds(spark, folder):
+    """True and false positives at fixed thresholds, per split, from one pass without sorting."""
+    docs = splitting.split_by_hash(A.scored_docs(spark, folder), ["doc_id"], HASH_SHARES, seed=1)
+    counts = evaluation.roc_counts(docs.withColumn("score", F.col("score") / MOST_CHARS), ["split"], bins=ROC_BINS)
+    points = evaluation.roc_points(counts, ["split"], bins=ROC_BINS)
+    return points.select("split", "threshold", "tp", "fp", *[rounded(F.col(c)).alias(c) for c in ("tpr", "fpr")])
+
+
+@query
+def eval_roc_area(spark, folder):
+    docs = splitting.split_by_hash(A.scored_docs(spark, folder), ["doc_id"], HASH_SHARES, seed=1)
+    counts = evaluation.roc_counts(docs.withColumn("score", F.col("score") / MOST_CHARS), ["split"], bins=ROC_BINS)
+    area = evaluation.roc_area(counts, ["split"])
+    return area.withColumn("auc", rounded(F.col("auc")))
+
+
 # --- forecasts -------------------------------------------------------------
 
 
@@ -821,6 +843,35 @@ def forecast_trained(spark, folder):
     return forecasting.long_pairs(scored.withColumnRenamed("window_id", "idx"), ["symbol"], BAR_FEATURES)
 
 
+def step_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per labelled sequence: its last steps with their mask (x), class and split."""
+    ordered = number_rows(A.clinical(spark, folder), ["seq_id"], SERIES_ORDER)
+    rows = alignment.last_steps_vector(ordered, LAST_STEPS, A.EVENT_TYPES, scale=0.01)
+    return splitting.split_by_hash(rows.join(A.clinical_labels(spark, folder), "seq_id"), ["seq_id"], HASH_SHARES, seed=1)
+
+
+def _train_balance(examples: DataFrame, classes: int, l2: float) -> DataFrame:
+    """Train rows and summed probability per class: equal where the classifier has converged."""
+    train = write_through(_train_rows(examples), "train-rows")
+    model = softmax.fit_softmax(train, classes, l2)
+    scored = softmax.classify(train, model, ["label"]).select("label", F.posexplode("output").alias("class", "p"))
+    return scored.groupBy("class").agg(
+        F.sum((F.col("label") == F.col("class")).cast("long")).alias("n"), rounded(F.sum("p"), 4).alias("probability")
+    )
+
+
+@query
+def classify_aligned_steps(spark, folder):
+    """Classes of sequences from their last steps, aligned at the end, by softmax regression."""
+    return _train_balance(step_examples(spark, folder), 2, 1e-3)
+
+
+@query
+def classify_vector_steps(spark, folder):
+    """Ten classes of sequences of 64 steps, by softmax regression."""
+    return _train_balance(vector_examples(spark, folder).select("x", "label", "split"), CLASSES, 1e-3)
+
+
 @query
 def fit_pooled_ml(spark, folder):
     """One least-squares model of the next scaled value for all series together."""
