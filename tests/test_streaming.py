@@ -1,13 +1,16 @@
 import numpy as np
 import pandas as pd
+import pytest
 from conftest import TINY
-
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from tidemark.operators.affine_scan import affine_states, exponential, trend
 from tidemark.operators.learners import Learner
 from tidemark.operators.stateful import exponential_state
 from tidemark.operators.training import Model
 from tidemark.plans.adapters import series
+from tidemark.streaming.affine import PROVIDER, affine_states_stream, last_states, typed_state
 from tidemark.streaming.stateful import exponential_state_stream, recurrent_state_stream
 
 
@@ -62,3 +65,31 @@ def test_recurrent_state_is_carried_across_batches(spark, tmp_path):
     for k in values:
         assert np.allclose(ends[k], learner.predict(weights, values[k].reshape(1, -1))[0])
     assert out.count() == 24
+
+
+def write_parts(spark, path, *parts):
+    for rows in parts:
+        spark.createDataFrame(rows, "k string, t int, x double, r boolean").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema("k string, t int, x double, r boolean").option("maxFilesPerTrigger", "1").parquet(f"{path}/in")
+
+
+def test_stream_goes_on_from_a_batch_scored_past(spark, tmp_path):
+    rule = trend(0.4, 0.3)
+    rows = [(k, t, float((7 * t + len(k)) % 5), t == 8 and k == "aa") for k in ("a", "aa", "aaa") for t in range(12)]
+    df = spark.createDataFrame(rows, "k string, t int, x double, r boolean")
+    want = {(r.k, r.t): (r.level, r.trend) for r in affine_states(df, ["k"], ["t"], "x", rule, restart="r").collect()}
+    past = affine_states(df.where("t < 5 and k <> 'aaa'"), ["k"], ["t"], "x", rule, restart="r")
+    later = [r for r in rows if r[1] >= 5 or r[0] == "aaa"]
+    stream = write_parts(spark, tmp_path, [r for r in later if r[1] < 9], [r for r in later if r[1] >= 9])
+    with typed_state(spark):
+        out = run(spark, affine_states_stream(stream, ["k"], ["t"], "x", rule, last_states(past, ["k"], ["t"], rule), "r"), tmp_path)
+    got = {(r.k, r.t): (r.level, r.trend) for r in out.collect()}
+    assert set(got) == {r[:2] for r in later}
+    assert all(np.allclose(got[k], want[k]) for k in got)
+    assert "HDFSBacked" in spark.conf.get(PROVIDER)
+
+
+def test_rows_out_of_order_raise(spark, tmp_path):
+    stream = write_parts(spark, tmp_path, [("a", 5, 1.0, False)], [("a", 4, 1.0, False)])
+    with typed_state(spark), pytest.raises(StreamingQueryException, match="after one at"):
+        run(spark, affine_states_stream(stream, ["k"], ["t"], "x", exponential(0.5)), tmp_path)

@@ -448,3 +448,6 @@ FROM clinical_labels WHERE {HASH_SPLIT.format(id='seq_id')} = 'train' GROUP BY l
 SELECT label AS class, count(*) AS n, CAST(count(*) AS DOUBLE) AS probability
 FROM embeddings JOIN exact USING (vec_id) WHERE split = 'train' GROUP BY label""",
 }
+
+ORACLE["state_stream_from_batch"] = f"""WITH RECURSIVE {SERIES_MODELS}, {trend_states("SELECT series_id, pos, x, FALSE AS restart FROM xy")}
+SELECT series_id, event_id, {r('level')} AS level, {r('trend')} AS trend FROM states JOIN xy USING (series_id, pos) WHERE split = 'test'"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.functions.columns import BAR_FEATURES, VECTOR_FEATURES, rounded
 from tidemark.operators import (
+    affine_scan,
     alignment,
     evaluation,
     forecasting,
@@ -36,6 +37,7 @@ from tidemark.sources.models import load_model, model_rows, save_model
 from tidemark.sources.files import list_files, write_files
 from tidemark.sources.prepared import fingerprint, read_prepared, write_prepared
 from tidemark.sources.sequences import explode_line, read_labelled_files, read_numbered_files, read_series_text
+from tidemark.streaming.affine import affine_states_stream, last_states, typed_state
 from tidemark.streaming.stateful import exponential_state_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +53,8 @@ ID_RANGES = [("train", 300), ("valid", 80), ("test", 100)]
 HASH_SHARES = [("train", 0.8), ("valid", 0.1), ("test", 0.1)]
 FILE_IDS = (7, 40)
 SHORT_WINDOW = 5
+# Rows of a stream's file.
+STREAM_ROWS = 1_000_000
 ROC_BINS = 64
 # Length of a document that scores 1.
 MOST_CHARS = 16_384
@@ -680,6 +684,35 @@ def state_with_restarts(spark, folder):
     return scored.select("series_id", "event_id", *[rounded(F.col(c), 4).alias(c) for c in ("level", "trend")])
 
 
+def _as_slices(rows: DataFrame, keys: list[str], order: list[str], path: str) -> None:
+    """Files of a stream: later slices of time after earlier ones, each series in one file of a slice, in order."""
+    border = rows.agg(F.percentile_approx(order[0], 0.5).alias("at")).first().at
+    early = F.col(order[0]) <= F.lit(border)
+    files = max(1, -(-rows.count() // STREAM_ROWS))
+    for part in (rows.where(early), rows.where(~early)):
+        part.repartition(files, *keys).sortWithinPartitions(*keys, *order).write.mode("append").parquet(path)
+
+
+@query
+def state_stream_from_batch(spark, folder):
+    """Level and trend of test rows on a stream that goes on from the batch-scored train rows."""
+    rule = affine_scan.trend(*TREND)
+    scaled = scaling.scale_series(numbered_series(spark, folder), ["value"], F.col("split") == "train").rows
+    rows = write_through(scaled.select("series_id", *SERIES_ORDER, "split", F.col("value_scaled").alias("x")), "scaled")
+    train = affine_scan.affine_states(rows.where("split = 'train'"), ["series_id"], SERIES_ORDER, "x", rule)
+    initial = write_through(last_states(train, ["series_id"], SERIES_ORDER, rule), "initial")
+    path = new_folder(spark, "stream")
+    test = rows.where("split = 'test'").drop("split")
+    _as_slices(test, ["series_id"], SERIES_ORDER, f"{path}/in")
+    stream = spark.readStream.schema(test.schema).option("maxFilesPerTrigger", "1").parquet(f"{path}/in")
+    scored = affine_states_stream(stream, ["series_id"], SERIES_ORDER, "x", rule, initial)
+    with typed_state(spark):
+        run = scored.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress")
+        run.trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.parquet(f"{path}/rows")
+    return done.select("series_id", "event_id", *[rounded(F.col(c)).alias(c) for c in ("level", "trend")])
+
+
 def window_examples(spark: SparkSession, folder: str, length: int) -> DataFrame:
     """Windows of scaled values (x) with the scaled next value (y, label), inside each split."""
     rows = scaling.scale_series(numbered_series(spark, folder), ["value"], F.col("split") == "train")
