@@ -163,3 +163,36 @@ def test_classifier_history_has_auc(line):
     metrics = {(r.epoch, r.split, r.metric): r.value for r in training.history(rows, model, "c").collect()}
     assert len(metrics) == 3 * 2 * 3
     assert metrics[2, "test", "auc"] > 0.95 and metrics[2, "test", "accuracy"] > 0.85
+
+
+@pytest.mark.parametrize("batch,rounds", [(None, None), (8, 3), (16, None)])
+@pytest.mark.parametrize("workers", [1, 3])
+def test_workers_that_run_together_give_the_same_weights(spark, line, batch, rounds, workers):
+    learner, updater = Learner("linear", inputs=2, outputs=1), Updater("adam", rate=0.05)
+    plans = [Averaging(workers=workers, batch=batch, rounds=rounds, frequency=2, epochs=2, barrier=barrier) for barrier in (False, True)]
+    one, other = (training.train(line, ["id"], learner, plan, updater) for plan in plans)
+    assert np.allclose(one.state, other.state, rtol=0, atol=1e-12) and len(one.history) == len(other.history) == 2
+    assert all(np.allclose(a, b, rtol=0, atol=1e-12) for a, b in zip(one.history, other.history))
+
+
+def test_an_epoch_is_one_job_and_no_rounds_table_is_written(spark, line, tmp_path):
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    learner = Learner("linear", inputs=2, outputs=1)
+    jobs = []
+    for epochs in (2, 5):
+        context.setJobGroup(f"epochs-{epochs}", "")
+        training.train(line, ["id"], learner, Averaging(workers=2, batch=4, rounds=20, epochs=epochs, barrier=True), Updater())
+        jobs.append(len(tracker.getJobIdsForGroup(f"epochs-{epochs}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] == 3
+
+
+def test_empty_rounds_and_no_rows(spark, line):
+    learner = Learner("linear", inputs=2, outputs=1)
+    few = line.limit(3)
+    plan = Averaging(workers=2, batch=2, rounds=9, epochs=1)
+    one = training.train(few, ["id"], learner, plan, Updater())
+    other = training.train(few, ["id"], learner, Averaging(workers=2, batch=2, rounds=9, epochs=1, barrier=True), Updater())
+    assert np.allclose(one.state, other.state, rtol=0, atol=1e-12)
+    with pytest.raises(ValueError, match="no rows"):
+        training.train(line.where("false"), ["id"], learner, Averaging(barrier=True), Updater())

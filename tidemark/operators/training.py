@@ -9,6 +9,7 @@ is asked for, not from cores, files or partitions.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -16,6 +17,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,10 @@ class Averaging:
     Without a ``batch``, each worker takes one step per round along the mean
     gradient of all its rows; with plain descent, averaging then gives the step
     of the whole round, whatever the number of workers.
+
+    With ``barrier``, an epoch is one job, in which ``workers`` tasks that run
+    at the same time average among themselves; the cluster must have as many
+    free cores. Results are those of a job per round.
     """
 
     workers: int = 4
@@ -46,6 +52,7 @@ class Averaging:
     rounds: int | None = None
     epochs: int = 1
     seed: int = 12345
+    barrier: bool = False
 
 
 @dataclass
@@ -59,30 +66,33 @@ class Model:
         return self.state[0]
 
 
+def count_rounds(examples: DataFrame, averaging: Averaging) -> int:
+    """Averagings per epoch."""
+    if averaging.rounds is not None:
+        return averaging.rounds
+    if averaging.batch is None:
+        return 1
+    return max(1, -(-examples.count() // (averaging.workers * averaging.batch * averaging.frequency)))
+
+
+def dealt_rows(examples: DataFrame, ids: Sequence[str], averaging: Averaging, rounds: int) -> DataFrame:
+    """Each row with the worker and the round that hashes of its id give it. Shares are about equal, whatever the ids."""
+    key = F.xxhash64(F.lit(averaging.seed), *ids)
+    return examples.select(
+        F.pmod(F.xxhash64(F.lit(1), key), F.lit(averaging.workers)).cast("int").alias("worker"), key.alias("key"), "x", "y",
+        F.pmod(F.xxhash64(F.lit(2), key), F.lit(rounds)).cast("int").alias("round_id"),
+    )
+
+
 def deal_rounds(examples: DataFrame, ids: Sequence[str], averaging: Averaging) -> DataFrame:
-    """Give each row a worker and a round, from hashes of its id.
+    """The dealt rows as a table in the shared folder, partitioned by round.
 
-    The result is a table in the shared folder, partitioned by round: a round
-    reads only its own rows, and a lost executor loses nothing. Hashing deals
-    workers and rounds about equal shares, whatever the ids.
+    A round reads only its own rows, and a lost executor loses nothing.
     """
     spark = examples.sparkSession
-    rounds = averaging.rounds
-    if rounds is None and averaging.batch is None:
-        rounds = 1
-    if rounds is None:
-        rounds = max(1, -(-examples.count() // (averaging.workers * averaging.batch * averaging.frequency)))
-    key = F.xxhash64(F.lit(averaging.seed), *ids)
     path = new_folder(spark, "rounds")
-    (
-        examples.select(
-            F.pmod(F.xxhash64(F.lit(1), key), F.lit(averaging.workers)).cast("int").alias("worker"), key.alias("key"), "x", "y",
-            F.pmod(F.xxhash64(F.lit(2), key), F.lit(rounds)).cast("int").alias("round_id"),
-        )
-        .repartition("round_id", "worker")
-        .write.partitionBy("round_id")
-        .parquet(path)
-    )
+    dealt = dealt_rows(examples, ids, averaging, count_rounds(examples, averaging))
+    dealt.repartition("round_id", "worker").write.partitionBy("round_id").parquet(path)
     return spark.read.schema(ROUND_SCHEMA).parquet(path)
 
 
@@ -91,13 +101,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
-def _by_worker(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Runs of one worker's rows; batches arrive sorted by worker."""
+def _runs(parts: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows with one number in a column; batches arrive sorted by it."""
     for part in parts:
-        worker = part.column("worker").to_numpy()
-        edges = np.flatnonzero(np.concatenate(([True], worker[1:] != worker[:-1], [True]))) if len(worker) else []
+        number = part.column(column).to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1], [True]))) if len(number) else []
         for a, b in zip(edges[:-1], edges[1:]):
-            yield int(worker[a]), part.slice(int(a), int(b - a))
+            yield int(number[a]), part.slice(int(a), int(b - a))
 
 
 def _steps(parts: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -114,23 +124,57 @@ def _steps(parts: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _fit_worker(mine: Iterator[pa.RecordBatch], learner: Learner, updater: Updater, size: int | None, state: np.ndarray, rng: np.random.Generator) -> tuple[int, np.ndarray]:
+    """Rows, and what a worker makes of the state from its rows of one round."""
+    local, n, whole = state.copy(), 0, 0.0
+    for batch in mine if size is None else _steps(mine, size):
+        x, y = (_matrix(batch.column(c), batch.num_rows) for c in ("x", "y"))
+        gradient = learner.gradient(local[0], x, y, rng)
+        if size is None:
+            whole = whole + gradient * len(x)
+        else:
+            updater.step(local, gradient)
+        n += len(x)
+    if size is None and n:
+        updater.step(local, whole / n)
+    return n, local
+
+
+def _average_epoch(sorted_rows: DataFrame, learner: Learner, updater: Updater, averaging: Averaging, state: np.ndarray, seed: int, rounds: int) -> np.ndarray:
+    """All rounds of an epoch in one job: each worker is a task, and they tell one another their states."""
+    shared, size = sorted_rows.sparkSession.sparkContext.broadcast(state), averaging.batch
+
+    def fit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, current = BarrierTaskContext.get(), shared.value
+        runs = groupby(_runs(parts, "round_id"), key=lambda run: run[0])
+        number, mine = next(runs, (rounds, iter(())))
+        for k in range(rounds):
+            rng = np.random.default_rng([seed + k, context.partitionId()])
+            n, local = _fit_worker((run for _, run in mine) if number == k else iter(()), learner, updater, size, current, rng)
+            if number == k:
+                number, mine = next(runs, (rounds, iter(())))
+            said = context.allGather(f"{n} {base64.b64encode(local.tobytes()).decode()}")
+            total, summed = 0, np.zeros_like(current)
+            for told in said:
+                count, other = told.split(" ")
+                total += int(count)
+                summed += int(count) * np.frombuffer(base64.b64decode(other)).reshape(current.shape)
+            current = summed / total if total else current
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_pydict({"state": [current.ravel()]})
+
+    found = sorted_rows.select("round_id", "x", "y").mapInArrow(fit, "state array<double>", barrier=True).collect()
+    shared.destroy()
+    return np.array(found[0].state).reshape(state.shape)
+
+
 def _average_round(rows: DataFrame, learner: Learner, updater: Updater, averaging: Averaging, state: np.ndarray, seed: int) -> np.ndarray:
     shared, size = rows.sparkSession.sparkContext.broadcast(state), averaging.batch
 
     def fit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for worker, mine in groupby(_by_worker(parts), key=lambda run: run[0]):
-            local, n = shared.value.copy(), 0
-            rng, whole = np.random.default_rng([seed, worker]), 0.0
-            for batch in (run for _, run in mine) if size is None else _steps((run for _, run in mine), size):
-                x, y = (_matrix(batch.column(c), batch.num_rows) for c in ("x", "y"))
-                gradient = learner.gradient(local[0], x, y, rng)
-                if size is None:
-                    whole = whole + gradient * len(x)
-                else:
-                    updater.step(local, gradient)
-                n += len(x)
-            if size is None:
-                updater.step(local, whole / n)
+        for worker, mine in groupby(_runs(parts, "worker"), key=lambda run: run[0]):
+            rng = np.random.default_rng([seed, worker])
+            n, local = _fit_worker((run for _, run in mine), learner, updater, size, shared.value, rng)
             yield pa.RecordBatch.from_pydict({"n": [n], "state": [local.ravel()]})
 
     # One small shuffle per round brings a worker's rows together in order.
@@ -164,6 +208,8 @@ def train(
     else:
         state, history = np.zeros((len(STATE_PARTS), learner.size)), []
         state[0] = learner.start(averaging.seed)
+    if averaging.barrier:
+        return _train_with_barriers(examples, ids, learner, averaging, updater, state, history)
     dealt = deal_rounds(examples, ids, averaging)
     last = dealt.agg(F.max("round_id")).first()[0]
     if last is None:
@@ -176,6 +222,24 @@ def train(
     return Model(learner, state, history)
 
 
+def _train_with_barriers(
+    examples: DataFrame, ids: Sequence[str], learner: Learner, averaging: Averaging, updater: Updater, state: np.ndarray, history: list[np.ndarray]
+) -> Model:
+    """One shuffle in all: a worker's rows lie in one partition, sorted by round, and stay on the executors' disks."""
+    rounds = count_rounds(examples, averaging)
+    dealt = dealt_rows(examples, ids, averaging, rounds).repartitionById(averaging.workers, F.col("worker"))
+    kept = dealt.sortWithinPartitions("round_id", "key", "x", "y").persist(StorageLevel.DISK_ONLY)
+    try:
+        if kept.isEmpty():
+            raise ValueError("no rows to train on")
+        for epoch in range(averaging.epochs):
+            state = _average_epoch(kept, learner, updater, averaging, state, averaging.seed + epoch * rounds, rounds)
+            history.append(state[0].copy())
+    finally:
+        kept.unpersist()
+    return Model(learner, state, history)
+
+
 def score(examples: DataFrame, model: Model, keep: Sequence[str], all_epochs: bool = False) -> DataFrame:
     """Outputs per row, for the final weights or for those of every epoch.
 

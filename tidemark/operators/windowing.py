@@ -16,6 +16,7 @@ from pyspark.sql import Window
 from tidemark.operators.ordering import CHUNK, EVERYTHING, Ordered
 
 LENGTH = 22
+BLOCK_BATCHES = 1 << 16
 
 
 def window_total(n_rows: Column, length: int = LENGTH, include_last: bool = False) -> Column:
@@ -62,9 +63,13 @@ def count_windows(df: DataFrame, keys: Sequence[str], length: int = LENGTH) -> D
 def batch_sizes(counts: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     """Windows per mini-batch; the last batch of a series may be short."""
     batches = F.ceil(F.col("n_windows") / F.lit(size))
+    # In two steps, so that no array grows with a series: first blocks of batches, then each one's batches.
+    blocks = F.floor((batches - 1) / F.lit(BLOCK_BATCHES))
+    upto = F.least((F.col("_block") + 1) * BLOCK_BATCHES, batches) - 1
     return (
         counts.where(F.col("n_windows") > 0)
-        .withColumn("batch_id", F.explode(F.sequence(F.lit(0).cast("long"), batches - 1)))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks)))
+        .withColumn("batch_id", F.explode(F.sequence(F.col("_block") * BLOCK_BATCHES, upto)))
         .select(*keys, "batch_id", F.least(F.col("n_windows") - F.col("batch_id") * size, F.lit(size)).alias("n_examples"))
     )
 

@@ -330,7 +330,7 @@ w0 AS (SELECT i, CAST(0 AS DOUBLE) AS v FROM places),
 SELECT CAST(i - 1 AS INTEGER) AS pos, {r("v", 6)} AS value FROM w{steps}"""
 
 
-ORACLE["train_avg_linear"] = ORACLE["model_round_trip"] = descent(5, 0.2)
+ORACLE["train_avg_linear"] = ORACLE["train_avg_barrier"] = ORACLE["model_round_trip"] = descent(5, 0.2)
 ORACLE["forecast_unfitted"] = f"""WITH {TRAIN_BARS}, long AS ({" UNION ALL ".join(
     f"SELECT symbol, pos, n_rows, n_train, '{f}' AS feature, {f}_min AS lo, {f}_max AS hi, {f} AS v FROM bar_scaled" for f in BAR_FEATURES
 )}),

@@ -783,13 +783,13 @@ def _train_rows(examples: DataFrame) -> DataFrame:
     return examples.where(F.col("split") == "train")
 
 
-def _descent_model(spark: SparkSession, folder: str) -> training.Model:
+def _descent_model(spark: SparkSession, folder: str, barrier: bool = False) -> training.Model:
     """A linear window regressor after steps of averaged full-batch descent from zero."""
     examples = _train_rows(window_examples(spark, folder, 5))
     learner = Learner("linear", inputs=5, outputs=1)
     return training.train(
         examples, ["series_id", "window_id"], learner,
-        Averaging(workers=4, batch=None, epochs=DESCENT_STEPS), Updater("sgd", rate=DESCENT_RATE, clip=None),
+        Averaging(workers=4, batch=None, epochs=DESCENT_STEPS, barrier=barrier), Updater("sgd", rate=DESCENT_RATE, clip=None),
         resume=training.Model(learner, np.zeros((len(training.STATE_PARTS), learner.size))),
     )
 
@@ -805,6 +805,12 @@ def train_avg_linear(spark, folder):
     return _weight_rows(spark, _descent_model(spark, folder))
 
 
+@query
+def train_avg_barrier(spark, folder):
+    """The same weights from workers that run together and average among themselves, one job per epoch."""
+    return _weight_rows(spark, _descent_model(spark, folder, barrier=True))
+
+
 @query
 def model_round_trip(spark, folder):
     """The same weights, saved to a model table beside another model and loaded again."""
