@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import importlib
-import re
 import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.wavelet import WaveletMatrix
-from tidemark.llm.words import encode_words, slices
+from tidemark.llm.words import slices
 from tidemark.session import new_folder
 
 # Ids in a shard, the row of a file; a shard closes after the document that fills it.
@@ -27,8 +27,9 @@ PART_CHARS = 16 << 20
 END_ID = 0
 # Text encoded at once; the more, the fewer pieces come twice.
 SLICE_BYTES = 6 << 20
-# Pieces of text whose ids a worker keeps, in each of two generations.
-KEPT_PIECES = 120_000
+# Parts of text whose ids a task keeps before it begins anew, and parts that are encoded as one text.
+KEPT_PARTS = 200_000
+GROUP_PARTS = 256
 
 SHARD = (
     "part int, seq int, first bigint, n bigint, bits int, zeros array<int>, planes array<binary>, ranks array<binary>, "
@@ -40,7 +41,38 @@ _SHARD_ARROW = pa.schema([
 ])
 
 
-_SPACED_WORD = re.compile(r" \S+")
+# What a byte is to the places where a text may be cut.
+_LETTER, _STOP, _SPACE, _NEWLINE, _OTHER, _FOREIGN, _UNSURE = range(1, 8)
+
+
+def _byte_kinds() -> np.ndarray:
+    """ASCII letters, full stops and their like, white space, other ASCII; first bytes of characters of which some are white space are unsure."""
+    kinds = np.full(256, _FOREIGN, np.uint8)
+    kinds[:0x80] = _OTHER
+    kinds[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+    kinds[list(b".,;:!?")] = _STOP
+    kinds[[*range(0x09, 0x0E), *range(0x1C, 0x20), *range(0x80, 0xC0), 0xC2, 0xE1, 0xE2, 0xE3]] = _UNSURE
+    kinds[0x0A], kinds[0x20] = _NEWLINE, _SPACE
+    return kinds
+
+
+_KINDS = _byte_kinds()
+
+
+def cut_places(data: np.ndarray) -> np.ndarray:
+    """True at each byte that a byte-level pattern always begins a new piece at, if no text begins or ends around there.
+
+    That is a space that no white space follows, a stop or line feed after a
+    letter, and a letter after a single line feed. What the pattern makes of the
+    parts on both sides doesn't change by the cut, and no special token is cut.
+    """
+    kind = _KINDS[data]
+    cut = np.zeros(len(data), bool)
+    solid = (kind == _LETTER) | (kind == _STOP) | (kind == _OTHER)
+    cut[:-1] = (kind[:-1] == _SPACE) & (solid[1:] | (kind[1:] == _FOREIGN))
+    cut[1:] |= ((kind[1:] == _STOP) | (kind[1:] == _NEWLINE)) & (kind[:-1] == _LETTER)
+    cut[2:] |= (kind[2:] == _LETTER) & (kind[1:-1] == _NEWLINE) & solid[:-2]
+    return cut
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,92 +81,94 @@ def tokenizer_path(name: str) -> str:
 
 
 class _Encoder:
-    """Byte-level BPE ids of whole texts, each distinct piece of text encoded once.
+    """Byte-level BPE ids of whole texts as the tokenizer gives them, each distinct part of text encoded once.
 
-    Before a single space a byte-level pattern always begins a new piece, and
-    what it makes of a piece doesn't depend on the pieces around it, so a text's
-    ids are those of its pieces between single spaces. A text with two spaces in
-    a row is encoded as a whole.
+    Texts are cut where the tokenizer's pattern always begins a new piece.
+    Parts that were met before are looked up: ``known`` texts, their ids one
+    after the other in ``ids``, and where each one's begin in ``at``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bits = max(1, int(max(vocab.values())).bit_length())
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
+        # Ids that begin with a space, one of which every part but a text's first begins with.
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
-        self.opens[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _missing(self, pieces: list[str]) -> None:
-        """Encode pieces; words after one space together, as their first ids show where each begins."""
-        plain, left = [], []
-        for piece in pieces:
-            (plain if _SPACED_WORD.fullmatch(piece) else left).append(piece)
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        width = np.dtype(self.kind).itemsize
-        for group, coded in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(coded.ids, self.kind)
-            starts = (np.flatnonzero(self.opens[ids]) * width).tolist()
-            if len(starts) == len(group) and starts[0] == 0:
-                raw = ids.tobytes()
-                self.new.update(zip(group, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]))
-            else:
-                left += group
-        self.new.update(zip(left, self._whole(left)))
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        if len(self.new) > KEPT_PIECES:
-            self.old, self.new = self.new, {}
-        missing = []
-        for piece in pieces:
-            if piece not in self.new:
-                ids = self.old.get(piece)
-                if ids is None:
-                    missing.append(piece)
-                else:
-                    self.new[piece] = ids
-        self._missing(missing)
-        return list(map(self.new.__getitem__, pieces))
+        self.opens[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of all parts."""
+        self.known, self.ids, self.at = pa.array([], pa.string()), np.empty(0, self.kind), np.zeros(1, np.int64)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after the other, and where each text's begin."""
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        at = np.concatenate(([0], np.cumsum([len(x) for x in coded], dtype=np.int64)))
+        return np.fromiter(chain.from_iterable(coded), self.kind, int(at[-1])), at
+
+    def _spaced(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encoded``, for parts that begin with a space. Many are encoded as one text, whose ids show where each part begins."""
+        groups = [parts[i : i + GROUP_PARTS] for i in range(0, len(parts), GROUP_PARTS)]
+        ids, at = self._encoded(["".join(g) for g in groups])
+        out, sizes = [np.empty(0, self.kind)], [np.empty(0, np.int64)]
+        for g, a, b in zip(groups, at[:-1], at[1:]):
+            mine = ids[a:b]
+            begins = np.flatnonzero(self.opens[mine])
+            if len(begins) != len(g):
+                # Some part holds another id that begins with a space.
+                mine, each = self._encoded(g)
+                begins = each[:-1]
+            out.append(mine)
+            sizes.append(np.diff(begins, append=len(mine)))
+        return np.concatenate(out), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+
+    def _look_up(self, parts: pa.Array) -> np.ndarray:
+        """Each part's place among the known ones; new ones are encoded and become known."""
+        if len(self.known) > KEPT_PARTS:
+            self.forget()
+        found = pc.index_in(parts, value_set=self.known)
+        if found.null_count:
+            new = parts.filter(found.is_null()).unique()
+            spaced = pc.starts_with(new, " ")
+            for some, encode in ((new.filter(spaced), self._spaced), (new.filter(pc.invert(spaced)), self._encoded)):
+                ids, at = encode(some.to_pylist())
+                self.known = pa.concat_arrays([self.known, some])
+                self.at = np.concatenate((self.at, at[1:] + len(self.ids)))
+                self.ids = np.concatenate((self.ids, ids))
+            found = pc.index_in(parts, value_set=self.known)
+        return found.to_numpy(zero_copy_only=False).astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and where each text's ids begin."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
-        flat = lists.flatten()
-        starts = lists.offsets.to_numpy().astype(np.int64)
-        starts = starts - starts[0]
-        distinct, code = encode_words(flat)
-        # A text's first piece has no space before it.
-        firsts, first_code = encode_words(flat.take(pa.array(starts[:-1])))
-        wholes = [t.as_py() for t in texts.filter(pa.array(odd))]
-        pieces = [" " + p for p in distinct] + [p for p in firsts]
-        code[starts[:-1]] = len(distinct) + first_code
-        ids = self._ids(pieces) + self._whole(wholes)
-        code[starts[:-1][odd]] = len(pieces) + np.arange(len(wholes))
-        ids.append(np.array([END_ID], self.kind).tobytes())
-        code = np.insert(code, starts[1:], len(ids) - 1)
-        width = np.dtype(self.kind).itemsize
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-        begin = np.concatenate(([0], np.cumsum(size)))
-        flat_ids = np.frombuffer(b"".join(ids), self.kind)
-        length = size[code]
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+        offsets = offsets - offsets[0]
+        cut = cut_places(data) if len(data) > 2 else np.zeros(len(data), bool)
+        # What stands around a text's ends belongs to other texts: no cut is made there, but for the ends themselves.
+        first = offsets[:-1][offsets[1:] > offsets[:-1]]
+        for near in (first - 1, first + 1):
+            cut[near[(near >= 0) & (near < len(data))]] = False
+        cut[first] = True
+        begins = np.flatnonzero(cut)
+        parts = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(data)).astype(np.int32)), pa.py_buffer(data))
+        code = self._look_up(parts)
+        starts = np.searchsorted(begins, offsets)
+        ids = np.append(self.ids, self.kind(END_ID))
+        code = np.insert(code, starts[1:], len(self.known))
+        length = np.append(np.diff(self.at), 1)[code]
         out_at = np.concatenate(([0], np.cumsum(length)))
-        where = np.repeat((begin[:-1][code] - out_at[:-1]).astype(np.int32), length)
-        where += np.arange(len(where), dtype=np.int32)
-        return flat_ids[where], out_at[starts + np.arange(len(starts))]
+        take = np.repeat((self.at[code] - out_at[:-1]).astype(np.int32), length)
+        take += np.arange(len(take), dtype=np.int32)
+        return ids[take], out_at[starts + np.arange(len(starts))]
 
 
 def _encoder(path: str) -> _Encoder:
-    """One per worker process, kept from task to task."""
+    """One per worker process; from task to task it keeps the tokenizer, which takes long to load, but no parts."""
     kept = sys.modules.setdefault("tidemark_worker_state", types.ModuleType("tidemark_worker_state")).__dict__
     if ("encoder", path) not in kept:
         kept["encoder", path] = _Encoder(path)
@@ -188,6 +222,7 @@ def write(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", folder: str |
                 if held >= SHARD_IDS:
                     yield _shard(part, seq, first, ids, encoder.bits, keys, ends)
                     seq, first, held, ids, keys, ends = seq + 1, first + held, 0, [], [], []
+        encoder.forget()
         if keys:
             yield _shard(part, seq, first, ids, encoder.bits, keys, ends)
 
