@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import labelled_sample
 from tidemark.llm.subwords import pair_features, sums, word_features
-from tidemark.llm.words import encode_words, hash_strings, slices, split_words
+from tidemark.llm.words import encode_words, give_back, hash_strings, slices, split_words
 
 NGRAMS = (3, 4)
 BUCKETS = 1 << 18
 SAMPLE = 4000
+# Text that is scored at once: its features take many times its size.
+SLICE_BYTES = 1 << 20
 
 
 def _bags(texts: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -38,7 +40,7 @@ def _bags(texts: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
         weight = np.concatenate([np.repeat(n, at[own + 1] - at[own]), np.ones(len(ids[-1]), np.int64)]) if len(own) else np.ones(0)
         ids, where = np.unique(np.concatenate(ids).astype(np.int64), return_inverse=True)
         share = np.bincount(where, weights=weight, minlength=len(ids))
-        bags.append((ids, (share / max(share.sum(), 1.0)).astype(np.float32)))
+        bags.append((ids.astype(np.int32), (share / max(share.sum(), 1.0)).astype(np.float32)))
     return bags
 
 
@@ -53,7 +55,7 @@ def fit(sample: pa.Table, dim: int = 16, buckets: int = BUCKETS, epochs: int = 1
     if len(set(label.tolist())) < 2:
         return {"scores": np.zeros(buckets, np.float32), "bias": 0.0 if not len(label) else (8.0 if label[0] else -8.0)}
     bags = []
-    for batch in slices(iter(sample.combine_chunks().to_batches())):
+    for batch in slices(iter(sample.combine_chunks().to_batches()), size=SLICE_BYTES):
         bags += _bags(batch.column("text"), buckets)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
@@ -73,6 +75,8 @@ def fit(sample: pa.Table, dim: int = 16, buckets: int = BUCKETS, epochs: int = 1
             out -= pace * np.outer(p, mean)
             bias -= pace * np.float32(0.1) * p
             vectors[ids] -= np.outer(share * pace * np.float32(min(len(ids), 200)), back)
+    del bags
+    give_back()
     return {"scores": vectors @ (out[1] - out[0]), "bias": float(bias[1] - bias[0])}
 
 
@@ -99,7 +103,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", into: str = "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE_BYTES):
             yield batch.append_column(into, pa.array(score_texts(batch.column(text), shared.value), pa.float64()))
 
     return plain.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields) + f", `{into}` double")
