@@ -113,6 +113,87 @@ def test_copies_of_one_article_stay(spark):
     assert page(spark, [marked] * 6) == ["Told again"] * 6
 
 
+def test_words_of_classes_never_take_the_article(spark):
+    nav = "<nav><a>x</a></nav>"
+    pages = {
+        "<main class='with-sidebar'><p>One</p></main>": "One",
+        "<div class='content has-sidebar'><article><p>Two</p></article></div>": "Two",
+        "<article class='post comments-open'><p>Three</p></article>": "Three",
+        "<div id='page-share-enabled'><p>Four</p></div>": "Four",
+        "<div class='sidebar'><main><p>Five</p></main><p>side</p></div>": "Five",
+        "<article><header><h1>Head</h1></header><p>a<span hidden>z</span>b <span class=ad>buy</span>c</p></article>": "Head ab c",
+        "<article><p>x<p class='ad'>y<p class='newsletter'>z<div class='discussion'><p>d</div><h2 class='page-header'>h</h2></article>": "x h",
+        "<header><h1>Site</h1></header><div class='comments'><article><p>Kept</p><div class='comment-list'><p>no</p></div></article></div>": "Kept",
+        "<div class='left-sidebar'><p>no</p></div><div class='story'><p>yes</p></div>": "yes",
+    }
+    assert page(spark, [HEAD + nav + p for p in pages], None) == list(pages.values())
+
+
+def test_repeated_texts_go_inside_articles_too_but_copies_stay(spark):
+    sign = "<p>Sign up for our daily letter today</p>"
+    pages = [HEAD + f"<article><h1>Title {i}</h1><p>Own {i} text</p>{sign}<p>more {i}</p></article>" for i in range(12)]
+    assert page(spark, pages) == [f"Title {i} Own {i} text more {i}" for i in range(12)]
+    assert page(spark, [pages[0]] * 12) == ["Title 0 Own 0 text Sign up for our daily letter today more 0"] * 12
+    few = [HEAD + f"<article><p>Own {i}</p>{'<p>In three of twelve</p>' if i < 3 else ''}</article>" for i in range(12)]
+    assert page(spark, few)[0] == "Own 0 In three of twelve"
+    twice = pages + pages[:4] * 3
+    assert page(spark, twice)[12] == "Title 0 Own 0 text more 0"
+
+
+def plain_tree(htmls):
+    """Importance of every path, by the definition, for pages of one host."""
+    from collections import defaultdict
+    from math import log
+
+    seen = set()
+    for h in htmls:
+        article, features = site_trees.page_features(h)
+        seen |= {(article, *f) for f in features}
+    counts = defaultdict(lambda: defaultdict(int))
+    for _, path, content, feature in seen:
+        counts[path, content][feature] += 1
+    site = sum(counts["", False].values())
+    nodes = []
+    for (path, content), k in counts.items():
+        m = max(site, max(k.values()))
+        if m <= 1:
+            own = 1.0
+        elif content:
+            own = round(1 - sum(log(v) for v in k.values()) / len(k) / log(m), 9)
+        else:
+            mass = sum(k.values())
+            own = round(-sum(v / mass * log(v / mass) for v in k.values()) / log(m), 9)
+        nodes.append((path, min(m, sum(k.values())), own))
+    out = {}
+    for path in {p for p, *_ in nodes} | {">".join(p.split(">")[:i]) for p, *_ in nodes for i in range(1, p.count(">") + 2)}:
+        below = [(n * site_trees.GAMMA ** (p.count(">") - path.count(">")), own) for p, n, own in nodes if p == path or p.startswith(path + ">")]
+        out[path] = sum(w * own for w, own in below) / sum(w for w, _ in below)
+    return out
+
+
+def test_importance_equals_its_definition(spark):
+    rng = np.random.default_rng(8)
+    htmls = [
+        HEAD + f"<div class=top><p>Same</p><p>{'A' if i % 2 else 'B'}</p></div><div class=body>" + "".join(f"<p>t {rng.integers(0, 40)}</p>" for _ in range(rng.integers(1, 5))) + "</div>"
+        for i in range(15)
+    ]
+    htmls += htmls[:4]
+    df = spark.createDataFrame([(i, "http://h.example/", h) for i, h in enumerate(htmls)], "page_id int, url string, html string")
+    counted = site_trees.feature_counts(df)
+    got = {r.path: r.importance for r in site_trees.style_tree(counted).collect()}
+    assert got == pytest.approx(plain_tree(htmls))
+
+
+def test_very_long_and_nested_pages_and_clashing_names(spark):
+    long = HEAD + "<article>" + "".join(f"<p>paragraph {i}" for i in range(30_000)) + "</article>"
+    deep = HEAD + "<div>" * 500 + "<p>down here" + "</div>" * 500
+    df = spark.createDataFrame([(1, None, long), (2, "http://a.b", deep), (3, None, None)], "page_id int, url string, html string")
+    names = ("__low", "__host", "host", "path", "row", "paths", "texts", "low_host", "feature", "main_text")
+    got = site_trees.extract(df.withColumns({c: F.lit(c) for c in names})).orderBy("page_id").collect()
+    assert got[0].main_text == " ".join(f"paragraph {i}" for i in range(30_000)) and got[1].main_text == "down here" and got[2].main_text == ""
+    assert all(r[c] == c for r in got for c in names if c != "main_text")
+
+
 def test_pages_of_no_host(spark):
     assert page(spark, [HEAD + "<article>x"] * 2, None) == ["x", "x"] and page(spark, [HEAD + "<article>x"], "::bad") == ["x"]
     assert site_trees.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
@@ -198,7 +279,6 @@ def test_token_files_round_trip(spark, rows, docs, no_docs, monkeypatch):
 
     monkeypatch.setattr(token_files, "SHARD_IDS", 2000)
     tokenizer = Tokenizer.from_file(token_files.tokenizer_path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     odd = [(500, "a  b   c \n\n d\t\te ", "", "", 0), (501, "  lead and  hard space  x", "", "", 0), (502, "it's<|endoftext|>they'll\n\nx \n y", "", "", 0), (503, " ", "", "", 0)]
     table = spark.createDataFrame(rows + odd, docs.schema).withColumns({"key": F.lit(1), "part": F.lit(2)})
     folder = token_files.write(table)
@@ -216,6 +296,23 @@ def test_token_files_round_trip(spark, rows, docs, no_docs, monkeypatch):
     assert token_files.documents(spark, token_files.write(no_docs)).count() == 0
 
 
+def test_ids_of_all_short_strings():
+    """All strings of up to four pieces, white space of every kind and the special token among them."""
+    from itertools import product
+
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path("byte_bpe_50k.json")
+    plain, encoder = Tokenizer.from_file(path), token_files._Encoder(path)
+    kinds = [" ", "\n", "\t", "\x0b", "\r", "\x1c", "\x00", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "a", "B", "7", ".", ",", "'s", "\u00e9", "\u4e2d", "<|endoftext|>"]
+    texts = ["".join(x) for k in range(4) for x in product(kinds, repeat=k)]
+    texts += ["".join(x) for x in product([" ", "\n", "\u2003", "a", ".", "\u00e9", "<|endoftext|>"], repeat=5)] + [None]
+    ids, at = encoder.encode(pa.array(texts, pa.string()))
+    wanted = [e.ids + [0] for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert at.tolist() == [0, *np.cumsum([len(x) for x in wanted]).tolist()]
+    assert ids.tolist() == [i for x in wanted for i in x]
+
+
 # --- pipeline ---
 
 
@@ -239,3 +336,10 @@ def test_pipeline_stages(spark):
     con = duckdb.connect()
     junk = con.execute(f"select doc_id from '{TINY}/labels.parquet' where quality = 0").fetchall()
     assert not {i for (i,) in junk} & {r.doc_id for r in got.collect()}
+
+
+def test_vectors_of_any_length_have_their_cosine(spark):
+    vectors = [(1, [1e200, 0.0]), (2, [2e200, 0.0]), (3, [1e-200, 0.0]), (4, [1.0, 0.0]), (5, [0.0, 3e-310]), (6, [0.0, 1e300])]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5)}
