@@ -273,3 +273,17 @@ def test_scores_are_ratios_of_weighted_probabilities(spark, monkeypatch):
         monkeypatch.setattr(language_model, "CHUNK_GRAMS", size)
         got = [r.score for r in language_model.score(df, F.col("doc_id") >= 12).orderBy("doc_id").collect()]
         assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_clashing_names_of_mixing_and_decontamination(spark, docs, rows):
+    names = ("__s", "__z", "__t", "__source", "__copy", "__id", "__h", "__hit", "__items", "__i", "__k", "items_", "w", "window")
+    clash = docs.withColumns({c: F.lit(c) for c in names})
+    mixed = mixing.mix(clash)
+    assert mixed.count() == len(rows) and mixed.where("__z = '__z' and __source = '__source'").count() == len(rows)
+    assert mixing.repeated(mixed, clash.columns).columns == clash.columns
+    items = spark.createDataFrame([(1, rows[0][1])], "item_id bigint, text string")
+    marked = decontamination.contaminated(clash, items)
+    assert marked.count() == len(rows) and marked.where("__hit = '__hit' and __items = '__items'").count() == len(rows)
+    plain = {(r.doc_id, r.text): r.n_hit for r in decontamination.contaminated(docs, items).collect()}
+    assert {(r.doc_id, r.text): r.n_hit for r in marked.collect()} == plain
+    assert decontamination.clean(clash, items).columns == clash.columns

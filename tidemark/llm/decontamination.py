@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import ascii_lower
+from tidemark.llm.words import ascii_lower, fresh
 from tidemark.session import write_through
 
 # Windows that are sent to every executor at once; more of them are joined in several blocks.
@@ -132,17 +132,19 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     end = F.col("start") + F.col("len")
     spans = found.select("__id", "__h", "start", end.alias("end")).distinct()
     before = Window.partitionBy("__id", "__h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("reach", F.lit(0))))
-    hits = spans.withColumn("reach", F.max("end").over(before)).groupBy("__id", "__h").agg(F.sum(fresh).alias("__hit"))
+    new_words = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("reach", F.lit(0))))
+    hits = spans.withColumn("reach", F.max("end").over(before)).groupBy("__id", "__h").agg(F.sum(new_words).alias("__hit"))
     by_wid = windows.select("item", F.xxhash64("window", F.lit(1)).alias("wid"))
     named = found.select("__id", "__h", "wid").distinct().join(by_wid, "wid").groupBy("__id", "__h").agg(F.sort_array(F.collect_set("item")).alias("__items"))
+    names = {c: fresh(f"__{c}", docs.columns) for c in ("i", "k", "hit", "items", "h")}
+    i, k, hit, held, here = names.values()
     both = hits.join(named, (hits["__id"].eqNullSafe(named["__id"])) & (hits["__h"] == named["__h"])).select(
-        hits["__id"].alias("__i"), hits["__h"].alias("__k"), "__hit", "__items"
+        hits["__id"].alias(i), hits["__h"].alias(k), F.col("__hit").alias(hit), F.col("__items").alias(held)
     )
-    keyed = counted.withColumns({"__id": F.col(key), "__h": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    joined = keyed.join(both, (keyed["__id"].eqNullSafe(both["__i"])) & (keyed["__h"] == both["__k"]), "left")
-    done = {"n_hit": F.coalesce(F.col("__hit"), F.lit(0)).cast("long"), "items": F.coalesce("__items", F.array().cast("array<string>"))}
-    return joined.withColumns(done).drop("__id", "__h", "__i", "__k", "__hit", "__items")
+    keyed = counted.withColumn(here, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = keyed.join(both, (keyed[key].eqNullSafe(both[i])) & (keyed[here] == both[k]), "left")
+    done = {"n_hit": F.coalesce(F.col(hit), F.lit(0)).cast("long"), "items": F.coalesce(held, F.array().cast("array<string>"))}
+    return joined.withColumns(done).drop(i, k, hit, held, here)
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -23,14 +23,20 @@ RECALL = 0.99
 _FOUND = "rep bigint, weight bigint, a bigint, b bigint"
 
 
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Each row divided by its length; first, exactly, by a power of two, so that no square over- or underflows."""
+    scaled = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 class _Shard:
     """A shard's vectors, their graph, a beam that passes the audit, and components inside the shard."""
 
     def __init__(self, keys: np.ndarray, copies: np.ndarray, vectors: np.ndarray, least: float, asked_keys: np.ndarray, asked: np.ndarray):
         self.keys, self.copies, self.least = keys, copies, least
-        self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        self.unit = unit_rows(vectors)
         self.graph = Graph(self.unit, keys)
-        self.beam = self._audited(BEAM, asked_keys, asked / np.linalg.norm(asked, axis=1, keepdims=True))
+        self.beam = self._audited(BEAM, asked_keys, unit_rows(asked))
         self.label = np.arange(len(keys))
         for i, near in enumerate(self.links(self.unit)):
             for j in near.tolist():
@@ -119,7 +125,7 @@ def _search(least: float):
 
 
 def _answer(shard: _Shard, keys: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = unit_rows(vectors)
     for at in range(0, len(keys), 2048):
         rep, weight, a, b = [], [], [], []
         for key, near in zip(keys[at : at + 2048].tolist(), shard.links(unit[at : at + 2048])):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import ascii_lower, slices
+from tidemark.llm.words import ascii_lower, fresh, slices
 from tidemark.session import write_through
 
 # So many border lines, of 33 bytes, are sent to every executor; more of them are joined by key.
@@ -213,14 +213,6 @@ def kept_mask(keep: bytes | None, n_lines: int) -> np.ndarray:
     return mask
 
 
-def _fresh(prefix: str, columns: list[str]) -> str:
-    """A column name that the input lacks."""
-    low = {c.lower() for c in columns}
-    while prefix in low:
-        prefix += "_"
-    return prefix
-
-
 def kept_text(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with each text cut down to the lines that stay, and ``n_lines, n_dropped``.
 
@@ -230,7 +222,7 @@ def kept_text(docs: DataFrame, key: str = "doc_id", text: str = "text", **option
     at a time; an empty table stays empty.
     """
     plain = docs.drop("n_lines", "n_dropped")
-    names = {c: _fresh(f"map_{c}", plain.columns) for c in ("doc", "th", "n_dropped", "keep")}
+    names = {c: fresh(f"map_{c}", plain.columns) for c in ("doc", "th", "n_dropped", "keep")}
     joined = _with_maps(plain, drop_bitmaps(docs, key, text, **options), key, text, names)
     n_dropped, keep = names["n_dropped"], names["keep"]
     joined = joined.withColumn("n_lines", F.size(line_array(F.col(text))).cast("long"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import fresh
 from tidemark.session import write_through
 
 # A table of so many sources is sent to every executor; a longer one is joined by key.
@@ -66,19 +67,21 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     unless there are more than ``BROADCAST_SOURCES`` sources.
     """
     sized = docs.withColumn("size", n_words(F.col(text)))
-    names = {"source": "__s", "source_size": "__z", "target": "__t"}
+    names = {c: fresh(f"__{c}", sized.columns) for c in ("source", "source_size", "target")}
+    s, z, t = names.values()
     targets = source_targets(sized.select(F.col(source), F.col("size")), source, "size", weights, total, cap)
     targets = write_through(targets.withColumnsRenamed(names), "targets")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     plain = sized.drop("source_size", "target", "copies")
-    joined = plain.join(targets, plain[source].eqNullSafe(targets["__s"]), "left")
-    rate = F.when(F.col("__z") > 0, F.col("__t") / F.col("__z")).otherwise(F.lit(0.0))
+    joined = plain.join(targets, plain[source].eqNullSafe(targets[s]), "left")
+    rate = F.when(F.col(z) > 0, F.col(t) / F.col(z)).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (seeded_uniform(F.col(key), seed=seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumns({"source_size": F.col("__z"), "target": F.col("__t"), "copies": copies}).drop("__s", "__z", "__t")
+    return joined.withColumns({"source_size": F.col(z), "target": F.col(t), "copies": copies}).drop(s, z, t)
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each document as many times as it is taken."""
     copies = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
-    return mixed.where(F.col("copies") > 0).select(*columns, copies.alias("__copy")).drop("__copy")
+    extra = fresh("__copy", columns)
+    return mixed.where(F.col("copies") > 0).select(*columns, copies.alias(extra)).drop(extra)

@@ -28,6 +28,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, longer if need be, so that none of the columns has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers outlive their tasks, and what they keep counts against the executor."""
     pa.default_memory_pool().release_unused()
