@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pytest
 from compare import connect, differences
 from conftest import TINY
-from helpers import SCHEMA, alnum_words, docs, jaccard_components, no_docs, rows, words  # noqa: F401
+from helpers import SCHEMA, alnum_words, docs, jaccard_components, lowered, no_docs, rows, words  # noqa: F401
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, jaccard, language_model, licences, mixing
@@ -24,18 +25,75 @@ def test_equals_sql(spark, name):
 # --- licences ---
 
 
-def test_licence_lines(spark):
-    rows = [(1, "some words\nReleased under the MIT License.\nmore words here"), (2, "RELEASED UNDER THE mit license"), (3, "Released of the of"), (4, None), (5, "")]
-    rows += [(2, "RELEASED UNDER THE mit license"), (None, "All rights reserved."), (6, "word " * 20_000 + "\nAll rights reserved!")]
-    got = licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    found = sorted(((r.doc_id or 0), r.passage, r.licence, r.dice) for r in got.collect())
-    assert found == [(0, 0, "proprietary", 1.0), (1, 2, "MIT", 1.0), (2, 0, "MIT", 1.0), (2, 0, "MIT", 1.0), (6, 2, "proprietary", 1.0)]
+def licence_matches(text, templates=licences.TEMPLATES):
+    """By comparing every window: (template, licence, start, dice) of the best window of each template."""
+    import re
+
+    def pairs(t):
+        w = re.findall("[a-z0-9]+", lowered(t))
+        return [f"{a} {b}" for a, b in zip(w, w[1:])] if len(w) > 1 else w
+
+    out, p = [], pairs(text)
+    for i, (licence, notice) in enumerate(templates):
+        b = pairs(notice)
+        best = (0, 0)
+        for start in range(len(p)):
+            if p[start] in b:
+                window = p[start : start + len(b)]
+                window = set(window[: max(j for j, x in enumerate(window) if x in b) + 1])
+                best = max(best, (2.0 * len(window & set(b)) / (len(window) + len(set(b))), -start))
+        if best[0] >= 0.8:
+            out.append((i, licence, -best[1], best[0]))
+    return out
+
+
+def scanned(spark, texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {i: [] for i in range(len(texts))}
+    for r in licences.scan(df, **options).collect():
+        out[r.doc_id].append((r.template, r.licence, r.start, r.dice))
+    return [sorted(v) for v in out.values()]
+
+
+def test_licences_wrapped_indented_embedded_and_commented(spark):
+    def full(licence):
+        return max((n for k, n in licences.TEMPLATES if k == licence), key=len)
+
+    def wrapped(text, lead, width=9):
+        words = text.split()
+        return "\n".join(lead + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+    names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", "MPL-2.0", "ISC", "Unlicense"]
+    texts = [wrapped(full(k), lead) for k in names for lead in ("", "    ", " * ", "# ", "// ")]
+    texts += ["Some text before it. " + full(k) + " And more of it after. " * 3 for k in names]
+    texts += ["Copyright 2020 A. B.\n\n" + wrapped(full("MIT").replace("sublicense", "sub-license").replace("persons", "people"), "")]
+    texts += ["Some text. Released under the MIT License. More text", "Released under MIT License", "RELEASED UNDER THE\nmit licence"]
+    got = scanned(spark, texts)
+    assert got == [licence_matches(t) for t in texts]
+    for k, found in zip([k for k in names for _ in range(5)] + names + ["MIT"] * 2, got):
+        assert k in {licence for _, licence, *_ in found}, k
+    assert [f[2:] for f in got[-3]] == [(2, 1.0)] and got[-1] == []
+
+
+def test_licence_windows_equal_brute_force(spark, rows):
+    rng = random.Random(4)
+    words = [w for _, n in licences.TEMPLATES for w in n.split()] + ["some", "other", "words"] * 20
+    texts = []
+    for _ in range(60):
+        licence, notice = rng.choice(licences.TEMPLATES)
+        cut = [rng.choice(words) if rng.random() < rng.choice([0.02, 0.1, 0.3]) else w for w in notice.split() if rng.random() > 0.03]
+        texts.append(" ".join(rng.choices(words, k=rng.randrange(30)) + cut + rng.choices(words, k=rng.randrange(30)) + cut[: len(cut) // 2]))
+    texts += [None, "", " \n", "of the", "word " * 20_000 + "\nAll rights reserved!", "All rights reserved. " * 50] + [r[1] for r in rows]
+    got = scanned(spark, texts)
+    assert got == [licence_matches(t or "") for t in texts]
+    assert sum(map(bool, got)) > 30
+    assert scanned(spark, texts[:30], templates=[("one", "reserved"), ("none", "- -")]) == [licence_matches(t, [("one", "reserved")]) for t in texts[:30]]
 
 
 def test_licences_of_no_rows_and_no_templates(docs, no_docs):
     assert licences.scan(no_docs).count() == 0
     assert licences.scan(docs, templates=[]).count() == 0
-    clash = docs.withColumns({c: F.lit(1) for c in ("passage", "template", "licence", "dice")})
+    clash = docs.withColumns({c: F.lit(1) for c in ("start", "template", "licence", "dice", "key", "pairs", "b", "n")})
     assert licences.scan(clash).count() == licences.scan(docs).count()
 
 

@@ -10,24 +10,28 @@ def _quoted(text: str) -> str:
 
 
 def _pairs(words: str) -> str:
-    """Distinct neighbouring pairs of a list of words."""
-    return f"CASE WHEN len({words}) > 1 THEN list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1])) ELSE {words} END"
+    """Neighbouring pairs of a list of words."""
+    return f"CASE WHEN len({words}) > 1 THEN list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]) ELSE {words} END"
 
 
+# Every window that begins at a bigram of the template, without any pruning.
 OP1 = f"""
 WITH notices(template, licence, notice) AS (VALUES {", ".join(f"({i}, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumerate(TEMPLATES))}),
-known AS (SELECT template, licence, {_pairs("w")} AS b FROM
-  (SELECT template, licence, regexp_extract_all(translate(notice, '{UPPER}', '{LOWER}'), '[a-z0-9]+') AS w FROM notices)),
-passages AS (
-  SELECT doc_id, 0 AS passage, text AS line FROM documents WHERE length(text) > 0
-  UNION ALL
-  SELECT doc_id, unnest(range(1, len(lines) + 1)) AS passage, unnest(lines) AS line
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE contains(text, chr(10)))),
-cut AS (SELECT doc_id, passage, {_pairs("w")} AS a FROM
-  (SELECT doc_id, passage, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[a-z0-9]+') AS w FROM passages) WHERE len(w) > 0),
-scored AS (SELECT doc_id, passage, template, licence, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
-  FROM cut JOIN known ON len(a) BETWEEN len(b) / 2 AND len(b) * 2)
-SELECT doc_id, passage::INTEGER AS passage, template::INTEGER AS template, licence, dice FROM scored WHERE dice >= 0.8
+known AS (SELECT template, licence, len(p) AS n, list_distinct(p) AS b FROM
+  (SELECT template, licence, {_pairs("w")} AS p FROM
+    (SELECT template, licence, regexp_extract_all(translate(notice, '{UPPER}', '{LOWER}'), '[a-z0-9]+') AS w FROM notices))),
+cut AS MATERIALIZED (SELECT r, doc_id, {_pairs("w")} AS p FROM
+  (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z0-9]+') AS w FROM documents) WHERE len(w) > 0),
+of_templates AS (SELECT template, unnest(b) AS x FROM known),
+hits AS (SELECT r, pos, template FROM (SELECT r, unnest(range(1, len(p) + 1)) AS pos, unnest(p) AS x FROM cut) JOIN of_templates USING (x)),
+windows AS (
+  SELECT h.r, h.pos, h.template, list(g.pos) AS places FROM hits h JOIN known USING (template) JOIN hits g ON g.r = h.r AND g.template = h.template
+  WHERE g.pos >= h.pos AND g.pos < h.pos + n GROUP BY 1, 2, 3),
+sized AS (
+  SELECT r, pos, template, licence, b, list_distinct(p[pos : list_max(places)]) AS a FROM windows JOIN cut USING (r) JOIN known USING (template)),
+scored AS (SELECT r, pos, template, licence, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM sized),
+best AS (SELECT r, template, licence, max(dice) AS dice, arg_min(pos, (-dice, pos)) AS pos FROM scored GROUP BY 1, 2, 3)
+SELECT doc_id, template::INTEGER AS template, licence, (pos - 1)::INTEGER AS start, dice FROM best JOIN cut USING (r) WHERE dice >= 0.8
 """
 
 # Sources fill up one after the other: each round shares out what is left among those still open.
