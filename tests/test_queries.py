@@ -21,8 +21,8 @@ def test_equals_sql(spark, con, name):
 
 CUT = [
     "align_end", "align_end_padded", "block_label", "eval_auc_splits", "eval_regression", "forecast_quality",
-    "label_join", "overlay_series", "scale_minmax_by_symbol", "scale_minmax_train_with_label",
-    "split_chrono", "split_per_file_scale", "stateful_score_batch", "train_windows",
+    "forecast_window_series", "label_join", "overlay_series", "scale_minmax_by_symbol", "scale_minmax_train_with_label",
+    "split_chrono", "split_per_file_scale", "stateful_score_batch", "train_windows", "window_model_series",
 ]
 
 
