@@ -22,8 +22,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) ->
     limit = hot_rows or int_setting(df.sparkSession, HOT_ROWS, DEFAULT_HOT_ROWS)
     counted = df.groupBy(*keys).count().where(F.col("count") >= limit)
     salts = F.ceil(2 * F.col("count") / F.lit(limit)).cast("int").alias("_salts")
-    found = write_through(counted.select(*keys, salts), "hot-keys")
-    return None if found.isEmpty() else found
+    return None if counted.isEmpty() else write_through(counted.select(*keys, salts), "hot-keys")
 
 
 def join_on_key(

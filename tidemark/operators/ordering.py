@@ -98,12 +98,12 @@ def cut_long_series(
     if short:
         return Ordered(df, keys, order)
     size = chunk_rows or int_setting(df.sparkSession, CHUNK_ROWS, DEFAULT_CHUNK_ROWS)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
-    long = write_through(counts, "long-series")
+    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
     total = long.agg(F.sum("_n")).first()[0]
     if total is None:
         return Ordered(df, keys, order)
-    long = long.drop("_n")
+    # Only now is there anything to keep.
+    long = write_through(long.drop("_n"), "long-series")
     ranges = join_series(df, long, keys, "left_semi").repartitionByRange(-(-total // size), *keys, *order)
     return Ordered(
         whole=join_series(df, long, keys, "left_anti"),

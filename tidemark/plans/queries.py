@@ -147,7 +147,8 @@ def scale_minmax_pooled(spark, folder):
 
 @query
 def scale_minmax_vector(spark, folder):
-    scaled = scaling.scale_vector_min_max(A.bars(spark, folder))
+    # The fit and the rows each read the few bars, not the line items again.
+    scaled = scaling.scale_vector_min_max(write_through(A.bars(spark, folder), "bars"))
     long = scaled.select("symbol", "date", F.posexplode(vector_to_array("features")).alias("position", "scaled"))
     return long.withColumn("scaled", rounded(F.col("scaled")))
 

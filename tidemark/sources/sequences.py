@@ -24,11 +24,12 @@ def read_lines(
 ) -> DataFrame:
     """Lines with ``file`` and ``line_no`` (from 0), for files of any size.
 
-    Spark reads a file in byte blocks. The rows of a block keep their order in
-    ``monotonically_increasing_id``, and the blocks have their byte offset, so
-    numbering per (file, block) plus the lines in earlier blocks is exact and
-    no task holds more than a block. ``across_files`` counts on from file to
-    file, in order of file names.
+    Spark reads a file in byte blocks. ``monotonically_increasing_id`` counts the
+    rows of a block one by one, so a line's number is its distance from the
+    block's first line, plus the lines of earlier blocks. These come from a table
+    with one row per block, read in the same query, so that both see the same
+    blocks; Spark sends it to the lines while it is small. ``across_files``
+    counts on from file to file, in order of file names.
     """
     reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
     lines = reader.text(path).select(
@@ -37,15 +38,11 @@ def read_lines(
         F.monotonically_increasing_id().alias("at"),
         F.col("value"),
     )
-    within = number_rows(lines, ["file", "block"], ["at"], short=True).rows
-    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"))
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"))
     order = ([], ["file", "block"]) if across_files else (["file"], ["block"])
-    starts = number_rows(sizes, *order, running=["lines"], short=True).rows  # one row per block
-    return (
-        within.join(starts.select("file", "block", "lines_before"), ["file", "block"])
-        .withColumn("line_no", F.col("pos") + F.col("lines_before"))
-        .select("file", "line_no", "value")
-    )
+    starts = number_rows(blocks, *order, running=["lines"], short=True).rows
+    starts = starts.select("file", "block", (F.col("first") - F.col("lines_before")).alias("base"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("at") - F.col("base")).alias("line_no"), "value")
 
 
 def read_series_text(
