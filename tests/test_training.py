@@ -196,3 +196,11 @@ def test_empty_rounds_and_no_rows(spark, line):
     assert np.allclose(one.state, other.state, rtol=0, atol=1e-12)
     with pytest.raises(ValueError, match="no rows"):
         training.train(line.where("false"), ["id"], learner, Averaging(barrier=True), Updater())
+
+
+def test_plain_descent_is_the_average_of_workers(spark, line, monkeypatch):
+    learner, updater = Learner("linear", inputs=2, outputs=1), Updater("sgd", rate=0.3, l2=0.01, clip=None)
+    fast = training.train(line, ["id"], learner, Averaging(workers=3, batch=None, epochs=4), updater)
+    monkeypatch.setattr(training, "_is_descent", lambda *_: False)
+    dealt = training.train(line, ["id"], learner, Averaging(workers=3, batch=None, epochs=4), updater)
+    assert np.allclose(fast.state[0], dealt.state[0], rtol=0, atol=1e-12) and len(fast.history) == 4

@@ -39,7 +39,8 @@ class Averaging:
     ``rounds`` asks for that many averagings per epoch instead of a frequency.
     Without a ``batch``, each worker takes one step per round along the mean
     gradient of all its rows; with plain descent, averaging then gives the step
-    of the whole round, whatever the number of workers.
+    of the whole round, whatever the number of workers, and in one round an
+    epoch sums gradients where the rows lie.
 
     With ``barrier``, an epoch is one job, in which ``workers`` tasks that run
     at the same time average among themselves; the cluster must have as many
@@ -194,6 +195,41 @@ def _average_round(rows: DataFrame, learner: Learner, updater: Updater, averagin
     return np.array([found[i] for i in range(state.size)]).reshape(state.shape)
 
 
+def _is_descent(learner: Learner, updater: Updater, averaging: Averaging) -> bool:
+    """Whether averaged workers take just the step along the mean gradient of all rows."""
+    alone = averaging.batch is None and averaging.rounds in (None, 1) and not averaging.barrier
+    return alone and updater.kind == "sgd" and updater.clip is None and not learner.dropout
+
+
+def _mean_gradient(rows: DataFrame, learner: Learner, weights: np.ndarray) -> np.ndarray:
+    """One sum per task and parameter, of rows where they lie."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rng = np.zeros(learner.size + 1), np.random.default_rng(0)
+        for part in parts:
+            if part.num_rows:
+                x, y = (_matrix(part.column(c), part.num_rows) for c in ("x", "y"))
+                total += np.append(learner.gradient(shared.value, x, y, rng), 1.0) * part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["pos", "value"])
+
+    summed = rows.mapInArrow(run, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value"))
+    found = {r.pos: r.value for r in summed.collect()}
+    shared.destroy()
+    if not found.get(learner.size):
+        raise ValueError("no rows to train on")
+    return np.array([found[i] for i in range(learner.size)]) / found[learner.size]
+
+
+def _descend(examples: DataFrame, learner: Learner, averaging: Averaging, updater: Updater, state: np.ndarray, history: list[np.ndarray]) -> Model:
+    """Full-batch descent: no row is dealt to a worker or shuffled."""
+    rows = write_through(examples.select("x", "y"), "examples")
+    for _ in range(averaging.epochs):
+        updater.step(state, _mean_gradient(rows, learner, state[0]))
+        history.append(state[0].copy())
+    return Model(learner, state, history)
+
+
 def train(
     examples: DataFrame,
     ids: Sequence[str],
@@ -208,6 +244,8 @@ def train(
     else:
         state, history = np.zeros((len(STATE_PARTS), learner.size)), []
         state[0] = learner.start(averaging.seed)
+    if _is_descent(learner, updater, averaging):
+        return _descend(examples, learner, averaging, updater, state, history)
     if averaging.barrier:
         return _train_with_barriers(examples, ids, learner, averaging, updater, state, history)
     dealt = deal_rounds(examples, ids, averaging)
