@@ -272,6 +272,16 @@ def test_model_of_nothing(no_docs, docs):
     assert language_model.score(no_docs, F.lit(False)).count() == 0
     row = language_model.score(docs.where("doc_id = 403"), F.lit(True)).first()
     assert row.train_tokens == 0 and row.n_known == 0 and row.score == pytest.approx(8 * 8 * np.log10(0.5), abs=1e-4)
+    # With nothing learnt every bit costs one bit, so eight a byte: seven of the text and the end.
+    assert row.bits_per_byte == pytest.approx(8.0, abs=1e-4)
+
+
+def test_code_length_falls_with_learning(spark):
+    df = spark.createDataFrame([(i, "the same few words again and again") for i in range(30)] + [(100, "zq xj kv wy")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.bits_per_byte, r.score) for r in language_model.score(df, F.col("doc_id") == 100).collect()}
+    assert 0 < got[0][0] < 2 < got[100][0]
+    n = len("the same few words again and again") + 1
+    assert got[0][0] == pytest.approx(-got[0][1] / np.log10(2) / n)
 
 
 def test_context_trees_by_hand():

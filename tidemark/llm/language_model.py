@@ -12,6 +12,7 @@ grams and words with buckets of both, packed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ _PACKED = (
 )
 _NAMES = [f.split()[0] for f in _PACKED.split(", ")]
 _KINDS = [_LONG, pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), _LONG, _LONG, pa.list_(_LONG), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
-_SCORED = "key bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, n_train bigint, n_distinct bigint"
+_SCORED = "key bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, n_bytes bigint, n_train bigint, n_distinct bigint"
 
 
 def _joined(flat: pa.Array, starts: np.ndarray) -> pa.Array:
@@ -289,7 +290,7 @@ def _finish(buckets: int):
             "key": pa.array(about["keys"] + none, _LONG), "held_out": pa.array(about["held"] + none, pa.bool_()),
             "n_tokens": pa.array(np.diff(starts).tolist() + none, _LONG), "n_known": pa.array((known[starts[1:]] - known[starts[:-1]]).tolist() + none, _LONG),
             "logs": pa.array((log[starts[1:]] - log[starts[:-1]]).tolist() + none, pa.float64()),
-            "score": pa.array((byte[at[1:]] - byte[at[:-1]]).tolist() + none, pa.float64()),
+            "score": pa.array((byte[at[1:]] - byte[at[:-1]]).tolist() + none, pa.float64()), "n_bytes": pa.array(np.diff(at).tolist() + none, _LONG),
             "n_train": pa.array([None] * n + [a for a, _ in more], _LONG), "n_distinct": pa.array([None] * n + [b for _, b in more], _LONG),
         })
 
@@ -297,12 +298,13 @@ def _finish(buckets: int):
 
 
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``key, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+    """One row per document: ``key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``.
 
     Rows where ``held_out`` is not true are learnt from. Tokens are words
     between ASCII white space, A-Z in lower case, and one end. ``score`` is the
     log10 probability of a text's words with one space between and an end byte,
-    by the context trees. Null and empty texts have the end token only; repeated
+    by the context trees; ``bits_per_byte`` is the code length that this gives
+    each of these bytes. Null and empty texts have the end token only; repeated
     rows count and are scored each; a null key is kept; with nothing to learn
     from, every decision has probability one half.
     """
@@ -318,5 +320,6 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     known = scored.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_distinct"), F.lit(0)).alias("v")).first()
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(known.n + known.v + 1)))
     return scored.where("n_tokens is not null").select(
-        F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(known.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
-    )
+        F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(known.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        (F.col("score") * F.lit(-log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+    )
