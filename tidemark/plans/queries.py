@@ -788,9 +788,11 @@ def _descent_model(spark: SparkSession, folder: str, barrier: bool = False) -> t
     """A linear window regressor after steps of averaged full-batch descent from zero."""
     examples = _train_rows(window_examples(spark, folder, 5))
     learner = Learner("linear", inputs=5, outputs=1)
+    # Workers that run together need a core each; full batches give the same weights with any number.
+    workers = min(4, spark.sparkContext.defaultParallelism) if barrier else 4
     return training.train(
         examples, ["series_id", "window_id"], learner,
-        Averaging(workers=4, batch=None, epochs=DESCENT_STEPS, barrier=barrier), Updater("sgd", rate=DESCENT_RATE, clip=None),
+        Averaging(workers=workers, batch=None, epochs=DESCENT_STEPS, barrier=barrier), Updater("sgd", rate=DESCENT_RATE, clip=None),
         resume=training.Model(learner, np.zeros((len(training.STATE_PARTS), learner.size))),
     )
 
