@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import ascii_lower, fresh, slices
+from tidemark.llm.words import ascii_lower, fresh, slices, small_batches
 from tidemark.session import write_through
 
 # So many border lines, of 33 bytes, are sent to every executor; more of them are joined by key.
@@ -219,8 +219,10 @@ def kept_text(docs: DataFrame, key: str = "doc_id", text: str = "text", **option
     Lines are split at line feeds only and joined by them again. A text all of
     whose lines go is empty. Input columns named like results are replaced,
     all others are kept, whatever their names; very long texts are handled one
-    at a time; an empty table stays empty.
+    at a time; an empty table stays empty. Sets the session's limit of bytes for
+    batches of text.
     """
+    small_batches(docs.sparkSession)
     plain = docs.drop("n_lines", "n_dropped")
     names = {c: fresh(f"map_{c}", plain.columns) for c in ("doc", "th", "n_dropped", "keep")}
     joined = _with_maps(plain, drop_bitmaps(docs, key, text, **options), key, text, names)

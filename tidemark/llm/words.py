@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Text that a task holds in its working form at once; a longer text comes alone.
@@ -43,6 +43,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let text go to Python workers, and come back, a few megabytes at a time.
+
+    A setting of the session, for operators whose rows carry whole texts: by
+    default a batch holds up to 64 MB, several times over in both processes.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of a few megabytes of text."""
     for batch in batches:
