@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.operators import alignment, evaluation, forecasting, overlay, scaling, splitting, windowing
 from tidemark.operators.ordering import number_rows
+from tidemark.plans.queries import window_examples
 
 BAR = "date string, symbol string, open double, close double, low double, high double, volume double"
 
@@ -241,3 +242,24 @@ def test_nth_hash(spark, border_rows):
         assert nth_hash(df, n, border_rows) == rows[n - 1]
     assert nth_hash(df, len(rows) + 1, border_rows) is None
     assert nth_hash(df.limit(0), 1, border_rows) is None
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 9])
+def test_windows_inside_splits_in_one_pass(spark, chunk_rows):
+    series = F.when(F.col("id") >= 100, 9).when(F.col("id") % 3 > 0, F.col("id") % 3)
+    rows = spark.range(106).select(series.alias("k"), F.col("id").alias("t"), (F.col("id") * 7 % 11).alias("v"))
+    split = splitting.split_by_time(number_rows(rows, ["k"], ["t"], chunk_rows=chunk_rows), 0.7)
+    once = windowing.window_arrays(splitting.inside_splits(split), ["v"], 3)
+    apart = [windowing.window_arrays(splitting.only_split(split, part), ["v"], 3) for part in ("train", "test")]
+    columns = ["k", "split", "window_id", "n_rows", F.col("steps.v").alias("v")]
+    expected = apart[0].unionByName(apart[1]).select(*columns).collect()
+    assert len(expected) == 76 and sorted(map(str, once.select(*columns).collect())) == sorted(map(str, expected))
+
+
+def test_both_splits_share_one_scan_of_the_series(spark, tmp_path):
+    rows = spark.range(60).select("id", F.timestamp_seconds("id").alias("ts"), (F.col("id") * 1.5).alias("value"))
+    events = rows.select(F.col("id").alias("event_id"), "ts", (F.col("id") % 2).alias("user_id"), "value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    examples = window_examples(spark, str(tmp_path), 3)
+    assert examples.groupBy("split").count().count() == 2
+    assert examples._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1

@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tidemark.operators import training
-from tidemark.operators.learners import Learner, Updater
+from tidemark.operators.learners import PREDICT_ROWS, Learner, Updater
 from tidemark.operators.training import Averaging
 
 SMALL = [
@@ -204,3 +205,65 @@ def test_plain_descent_is_the_average_of_workers(spark, line, monkeypatch):
     monkeypatch.setattr(training, "_is_descent", lambda *_: False)
     dealt = training.train(line, ["id"], learner, Averaging(workers=3, batch=None, epochs=4), updater)
     assert np.allclose(fast.state[0], dealt.state[0], rtol=0, atol=1e-12) and len(fast.history) == 4
+
+
+def test_each_worker_of_a_round_has_a_task_of_its_own(line, monkeypatch):
+    def mark_task(mine, learner, updater, size, state, rng):
+        rows = sum(part.num_rows for part in mine)
+        return min(rows, 1), np.eye(state.size)[TaskContext.get().partitionId()].reshape(state.shape)
+
+    monkeypatch.setattr(training, "_fit_worker", mark_task)
+    model = training.train(line, ["id"], Learner("linear", inputs=2, outputs=1), Averaging(workers=4, batch=20, rounds=1))
+    assert model.state.ravel()[:4] == pytest.approx([0.25] * 4)
+
+
+@pytest.mark.parametrize("learner", SMALL, ids=lambda m: f"{m.kind}-{m.is_classifier}")
+def test_kept_arrays_change_no_gradient(learner):
+    rng, kept = np.random.default_rng(1), {}
+    for n in (7, 3, 7, 7):
+        x, y, w = rng.normal(size=(n, learner.inputs)), rng.normal(size=(n, learner.outputs)), rng.normal(size=learner.size)
+        assert np.array_equal(learner.gradient(w, x, y, rng, kept), learner.gradient(w, x, y, rng))
+
+
+def test_blocks_of_rows_are_scored_like_single_rows():
+    learner, rng = SMALL[2], np.random.default_rng(1)
+    x, w = rng.normal(size=(2 * PREDICT_ROWS + 5, learner.inputs)), learner.start(2) + 0.1
+    assert np.allclose(learner.predict(w, x), np.vstack([learner.predict(w, row[None]) for row in x]), rtol=0, atol=1e-12)
+    assert learner.predict(w, x[:0]).shape == (0, learner.outputs)
+
+
+def test_recurrent_scores_are_those_of_the_cell_by_hand():
+    learner, rng = SMALL[2], np.random.default_rng(3)
+    x, w = rng.normal(size=(4, learner.inputs)), learner.start(2) + 0.1
+    gates, head = w[: 6 * 12].reshape(6, 12), w[6 * 12 :].reshape(4, 2)
+    h, c = np.zeros((2, 4, 3))
+    for t in range(3):
+        z = np.hstack([x[:, 2 * t : 2 * t + 2], h, np.ones((4, 1))]) @ gates
+        i, f, o = (1 / (1 + np.exp(-z[:, k : k + 3])) for k in (0, 3, 6))
+        c = f * c + i * np.tanh(z[:, 9:])
+        h = o * np.tanh(c)
+    assert np.allclose(learner.predict(w, x), h @ head[:-1] + head[-1], rtol=0, atol=1e-12)
+    seen, h_after, c_after = learner.continue_series(w, x[0].reshape(3, 2), *np.zeros((2, 1, 3)))
+    assert np.allclose(seen[-1], learner.predict(w, x[:1])[0], rtol=0, atol=1e-12)
+    assert np.allclose(np.vstack([h_after, c_after]), np.vstack([h[:1], c[:1]]), rtol=0, atol=1e-12)
+
+
+def test_scores_keep_columns_as_they_are(spark, line):
+    rows = line.select("x", F.lit(None).cast("string").alias("nothing"), F.struct("id").alias("pair"), F.array(F.lit(1)).alias("list"), "id")
+    learner = Learner("linear", inputs=2, outputs=2)
+    model = training.Model(learner, np.zeros((4, learner.size)), [np.zeros(learner.size), np.ones(learner.size)])
+    scored = training.score(rows, model, ["id", "nothing", "pair", "list"], all_epochs=True)
+    found = scored.join(line.select("id", F.col("x").alias("from_x")), "id").collect()
+    assert scored.columns == ["id", "nothing", "pair", "list", "epoch", "output"] and len(found) == 1200
+    for r in found:
+        assert r.nothing is None and r.pair.id == r.id and r.list == [1]
+        assert r.output == pytest.approx([r.epoch * (sum(r.from_x) + 1)] * 2)
+
+
+def test_scores_that_are_no_numbers_are_null(spark):
+    x = F.when(F.col("id") == 1, F.array(F.lit(None).cast("double"), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(1.0)))
+    label = F.when(F.col("id") == 2, F.lit(float("nan"))).otherwise(1.0)
+    learner = Learner("linear", inputs=2, outputs=1)
+    scored = training.score(spark.range(3).select("id", x.alias("x"), label.alias("label")), training.Model(learner, np.ones((4, 3)), []), ["id", "label"])
+    found = {r.id: (r.label, r.output) for r in scored.collect()}
+    assert found == {0: (1.0, [3.0]), 1: (1.0, [None]), 2: (None, [3.0])}

@@ -11,6 +11,20 @@ from dataclasses import dataclass
 
 import numpy as np
 
+PREDICT_ROWS = 256
+
+# Arrays of a learner by number of rows, which a caller keeps from one gradient to the next: fresh memory for each
+# would take a third as long as the arithmetic.
+Kept = dict[int, tuple[np.ndarray, ...]]
+
+
+def _space(steps: int, width: int, units: int, n: int) -> tuple[np.ndarray, ...]:
+    """Arrays for unrolling n sequences: what the cell sees, gates, c, tanh(c), and two for the way back."""
+    seen, c = np.ones((steps + 1, width + units + 1, n)), np.zeros((steps + 1, units, n))
+    seen[0, width:-1] = 0
+    acts, t, through = (np.empty((steps, k * units, n)) for k in (4, 1, 1))
+    return seen, acts, c, t, np.empty((steps, 4, units, n)), through
+
 
 @dataclass(frozen=True)
 class Learner:
@@ -63,62 +77,105 @@ class Learner:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def _cell(self, x: np.ndarray, h: np.ndarray, c: np.ndarray, gates: np.ndarray):
-        """One step of the recurrent cell: new h and c, and what the backward pass needs."""
+    def _by_gate(self, gates: np.ndarray) -> np.ndarray:
+        """The cell's weights, a row per unit of a gate, as its exponentials need them: tanh(z) = 2 / (1 + exp(-2 z)) - 1."""
+        rows = -gates.T
+        rows[3 * self.hidden :] *= 2
+        return rows
+
+    def _cell(self, rows: np.ndarray, seen: np.ndarray, c: np.ndarray, acts: np.ndarray, after: np.ndarray, t: np.ndarray):
+        """One step of the recurrent cell, one column per sequence.
+
+        From what it sees and c before, fills in the four gates, c after and tanh(c).
+        """
         units = self.hidden
-        seen = np.hstack([x, h, np.ones((len(x), 1))])
-        z = seen @ gates
-        i, f, o = (1 / (1 + np.exp(-z[:, k * units : (k + 1) * units])) for k in range(3))
-        g = np.tanh(z[:, 3 * units :])
-        before, c = c, f * c + i * g
-        return o * np.tanh(c), c, (seen, i, f, o, g, before, c)
-
-    def _unroll(self, x: np.ndarray, gates: np.ndarray):
-        seq = x.reshape(len(x), self.steps, -1)
-        h, c = np.zeros((2, len(x), self.hidden))
-        trace = []
-        for t in range(self.steps):
-            h, c, step = self._cell(seq[:, t], h, c, gates)
-            trace.append(step)
-        return h, trace
+        np.matmul(rows, seen, out=acts)
+        np.exp(acts, out=acts)
+        acts += 1
+        np.divide(1, acts, out=acts)
+        new = acts[3 * units :]
+        new *= 2
+        new -= 1
+        np.multiply(acts[units : 2 * units], c, out=after)
+        after += acts[:units] * new
+        np.tanh(after, out=t)
+
+    def _unroll(self, x: np.ndarray, gates: np.ndarray, kept: Kept):
+        """Last h of each sequence, and for all steps what the cell saw, its gates, c (one more, from zero on) and tanh(c).
+
+        All are valid until the next call with the same kept arrays.
+        """
+        n, units, width = len(x), self.hidden, self.inputs // self.steps
+        if n not in kept:
+            kept[n] = _space(self.steps, width, units, n)
+        seen, acts, c, t, *_ = trace = kept[n]
+        seen[:-1, :width] = x.reshape(n, self.steps, width).transpose(1, 2, 0)
+        rows = self._by_gate(gates)
+        for k in range(self.steps):
+            self._cell(rows, seen[k], c[k], acts[k], c[k + 1], t[k])
+            np.multiply(acts[k, 2 * units : 3 * units], t[k], out=seen[k + 1, width:-1])
+        return seen[-1, width:-1].T, trace
+
+    def _unroll_back(self, d_h: np.ndarray, gates: np.ndarray, trace: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Gradient of the gates from that of the last h."""
+        seen, acts, c, t, d_z, through = trace
+        by_gate = acts.reshape(d_z.shape)
+        i, f, o, g = (by_gate[:, k] for k in range(4))
+        # What does not depend on later steps, for all steps at once.
+        np.subtract(1, by_gate[:, :3], out=d_z[:, :3])
+        d_z[:, :3] *= by_gate[:, :3]
+        for k, other in enumerate((g, c[:-1], t)):
+            d_z[:, k] *= other
+        for square, of, times in ((d_z[:, 3], g, i), (through, t, o)):
+            np.multiply(of, of, out=square)
+            np.subtract(1, square, out=square)
+            square *= times
+        back = gates[-1 - self.hidden : -1]
+        d_h, d_c = d_h.T, np.zeros(t.shape[1:])
+        for k in reversed(range(self.steps)):
+            d_c += d_h * through[k]
+            step = d_z[k]
+            step[:2] *= d_c
+            step[2] *= d_h
+            step[3] *= d_c
+            d_h = back @ step.reshape(acts.shape[1:])
+            d_c *= f[k]
+        return np.matmul(seen[:-1], d_z.reshape(acts.shape).transpose(0, 2, 1)).sum(axis=0)
 
     def continue_series(self, w: np.ndarray, x: np.ndarray, h: np.ndarray, c: np.ndarray):
         """Outputs for consecutive rows of one series, from state (h, c) on; and the new state."""
         gates, head = self._unpack(w)
-        outputs = []
+        rows, units, outputs = self._by_gate(gates), self.hidden, []
         for row in x:
-            h, c, _ = self._cell(row[None, :], h, c, gates)
+            seen = np.concatenate([row, h[0], [1.0]])[:, None]
+            acts, after, t = np.empty((4 * units, 1)), np.empty((units, 1)), np.empty((units, 1))
+            self._cell(rows, seen, c.T, acts, after, t)
+            h, c = (acts[2 * units : 3 * units] * t).T, after.T
             outputs.append(self._head(h, head)[0])
         return np.array(outputs), h, c
 
     def predict(self, w: np.ndarray, x: np.ndarray) -> np.ndarray:
         parts = self._unpack(w)
-        hidden = self._unroll(x, parts[0])[0] if self.kind == "recurrent" else x
-        return self._head(hidden, parts[-1])
-
-    def gradient(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        if self.kind != "recurrent":
+            return self._head(x, parts[-1])
+        # Few rows at a time, so that a step's arrays stay in the processor's cache.
+        kept: Kept = {}
+        blocks = [x[at : at + PREDICT_ROWS] for at in range(0, len(x), PREDICT_ROWS)] or [x]
+        return np.concatenate([self._head(self._unroll(block, parts[0], kept)[0], parts[-1]) for block in blocks])
+
+    def gradient(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, kept: Kept | None = None) -> np.ndarray:
         """Mean gradient of squared error or cross-entropy; both end in (p - y)."""
         parts, trace = self._unpack(w), None
         hidden = x
         if self.kind == "recurrent":
-            hidden, trace = self._unroll(x, parts[0])
+            hidden, trace = self._unroll(x, parts[0], {} if kept is None else kept)
         keep = (rng.random(hidden.shape) >= self.dropout) / (1 - self.dropout)
-        kept = hidden * keep if trace is not None else hidden
-        error = (self._head(kept, parts[-1]) - y) / len(x)
-        head = np.vstack([kept.T @ error, error.sum(axis=0)])
+        shown = hidden * keep if trace is not None else hidden
+        error = (self._head(shown, parts[-1]) - y) / len(x)
+        head = np.vstack([shown.T @ error, error.sum(axis=0)])
         if trace is None:
             return head.ravel()
-        gates, d_gates = parts[0], np.zeros_like(parts[0])
-        d_h, d_c = (error @ parts[-1][:-1].T) * keep, 0.0
-        width = self.inputs // self.steps
-        for seen, i, f, o, g, before, c in reversed(trace):
-            t = np.tanh(c)
-            d_c = d_c + d_h * o * (1 - t * t)
-            d_z = np.hstack(
-                [d_c * g * i * (1 - i), d_c * before * f * (1 - f), d_h * t * o * (1 - o), d_c * i * (1 - g * g)]
-            )
-            d_gates += seen.T @ d_z
-            d_h, d_c = (d_z @ gates.T)[:, width:-1], d_c * f
+        d_gates = self._unroll_back((error @ parts[-1][:-1].T) * keep, parts[0], trace)
         return np.concatenate([d_gates.ravel(), head.ravel()])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 from itertools import accumulate
 
@@ -34,6 +35,16 @@ def only_split(ordered: Ordered, split: str) -> Ordered:
     )
 
 
+def inside_splits(ordered: Ordered) -> Ordered:
+    """All rows, with ``pos`` and ``n_rows`` counted inside their time split, which becomes a further key."""
+    train = F.col("split") == "train"
+    counted = {
+        "pos": F.when(train, F.col("pos")).otherwise(F.col("pos") - F.col("n_train")),
+        "n_rows": F.when(train, F.col("n_train")).otherwise(F.col("n_rows") - F.col("n_train")),
+    }
+    return replace(ordered.map(lambda rows: rows.withColumns(counted)), keys=[*ordered.keys, "split"])
+
+
 def split_by_ranges(df: DataFrame, id_column: str, sizes: Sequence[tuple[str, int]]) -> DataFrame:
     """Consecutive id ranges; ids outside all of them are not part of any split."""
     branches, start = [], 0

@@ -15,7 +15,6 @@ from dataclasses import dataclass, field
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import BarrierTaskContext, StorageLevel
 from pyspark.sql import DataFrame
@@ -97,9 +96,15 @@ def deal_rounds(examples: DataFrame, ids: Sequence[str], averaging: Averaging) -
     return spark.read.schema(ROUND_SCHEMA).parquet(path)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
-    values = column.flatten() if isinstance(column, pa.Array) else column.combine_chunks().flatten()
-    return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _nan_as_null(column: pa.Array) -> pa.Array:
+    """Metrics leave out what is null; a number that is none is left out too."""
+    if not pa.types.is_floating(column.type):
+        return column
+    return pa.array(column.to_numpy(zero_copy_only=False), column.type, from_pandas=True)
 
 
 def _runs(parts: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -111,26 +116,30 @@ def _runs(parts: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, p
             yield int(number[a]), part.slice(int(a), int(b - a))
 
 
-def _steps(parts: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """A worker's rows, ``size`` at a time."""
-    held: list[pa.RecordBatch] = []
+def _examples(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for part in parts:
+        yield tuple(_matrix(part.column(c), part.num_rows) for c in ("x", "y"))
+
+
+def _steps(parts: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A worker's rows, ``size`` at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in _examples(parts):
         held.append(part)
-        if sum(p.num_rows for p in held) >= size:
-            table = pa.Table.from_batches(held)
-            whole = table.num_rows // size * size
-            yield from (table.slice(at, size) for at in range(0, whole, size))
-            held = table.slice(whole).to_batches()
-    if sum(p.num_rows for p in held):
-        yield pa.Table.from_batches(held)
+        if sum(len(x) for x, _ in held) >= size:
+            x, y = (np.concatenate(c) for c in zip(*held))
+            whole = len(x) // size * size
+            yield from ((x[at : at + size], y[at : at + size]) for at in range(0, whole, size))
+            held = [(x[whole:], y[whole:])] if whole < len(x) else []
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
 
 
 def _fit_worker(mine: Iterator[pa.RecordBatch], learner: Learner, updater: Updater, size: int | None, state: np.ndarray, rng: np.random.Generator) -> tuple[int, np.ndarray]:
     """Rows, and what a worker makes of the state from its rows of one round."""
-    local, n, whole = state.copy(), 0, 0.0
-    for batch in mine if size is None else _steps(mine, size):
-        x, y = (_matrix(batch.column(c), batch.num_rows) for c in ("x", "y"))
-        gradient = learner.gradient(local[0], x, y, rng)
+    local, n, whole, kept = state.copy(), 0, 0.0, {}
+    for x, y in _examples(mine) if size is None else _steps(mine, size):
+        gradient = learner.gradient(local[0], x, y, rng, None if size is None else kept)
         if size is None:
             whole = whole + gradient * len(x)
         else:
@@ -178,8 +187,8 @@ def _average_round(rows: DataFrame, learner: Learner, updater: Updater, averagin
             n, local = _fit_worker((run for _, run in mine), learner, updater, size, shared.value, rng)
             yield pa.RecordBatch.from_pydict({"n": [n], "state": [local.ravel()]})
 
-    # One small shuffle per round brings a worker's rows together in order.
-    dealt = rows.repartition(averaging.workers, "worker").sortWithinPartitions("worker", "key", "x", "y")
+    # One small shuffle per round brings a worker's rows together in order, each worker's to a task of its own.
+    dealt = rows.repartitionById(averaging.workers, F.col("worker")).sortWithinPartitions("worker", "key", "x", "y")
     fitted = dealt.select("worker", "x", "y").mapInArrow(fit, "n long, state array<double>")
     mean = (
         fitted.select("n", F.posexplode("state").alias("pos", "value"))
@@ -281,7 +290,8 @@ def _train_with_barriers(
 def score(examples: DataFrame, model: Model, keep: Sequence[str], all_epochs: bool = False) -> DataFrame:
     """Outputs per row, for the final weights or for those of every epoch.
 
-    Adds ``epoch`` and ``output ARRAY<DOUBLE>``; all epochs share one scan.
+    Adds ``epoch`` and ``output ARRAY<DOUBLE>``, null where it is no number; all
+    epochs share one scan.
     """
     if all_epochs:
         weights = list(enumerate(model.history))
@@ -290,15 +300,19 @@ def score(examples: DataFrame, model: Model, keep: Sequence[str], all_epochs: bo
     shared, learner = examples.sparkSession.sparkContext.broadcast(weights), model.learner
     kept = examples.select(*keep, "x")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.array(batch.pop("x").to_list(), dtype=np.float64)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            n = part.num_rows
+            if n:
+                x, others = _matrix(part.column("x"), n), [_nan_as_null(part.column(c)) for c in keep]
                 for epoch, w in shared.value:
-                    yield batch.assign(epoch=np.int32(epoch), output=list(learner.predict(w, x)))
+                    ends = pa.array(np.arange(n + 1, dtype=np.int32) * learner.outputs)
+                    output = pa.ListArray.from_arrays(ends, pa.array(learner.predict(w, x).ravel(), from_pandas=True))
+                    columns = [*others, pa.array(np.full(n, epoch, dtype=np.int32)), output]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*keep, "epoch", "output"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "x")
-    return kept.mapInPandas(run, f"{schema}, epoch int, output array<double>")
+    return kept.mapInArrow(run, f"{schema}, epoch int, output array<double>")
 
 
 def history(

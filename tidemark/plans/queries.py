@@ -719,9 +719,7 @@ def window_examples(spark: SparkSession, folder: str, length: int) -> DataFrame:
     rows = scaling.scale_series(numbered_series(spark, folder), ["value"], F.col("split") == "train")
     scaled_next = C.min_max(F.col("next_value"), F.col("value_min"), F.col("value_max"))
     rows = rows.map(lambda df: df.withColumn("scaled_next", scaled_next))
-    inside = [splitting.only_split(rows, split) for split in ("train", "test")]
-    parts = [windowing.window_arrays(part, ["value_scaled", "scaled_next"], length) for part in inside]
-    windows = parts[0].unionByName(parts[1])
+    windows = windowing.window_arrays(splitting.inside_splits(rows), ["value_scaled", "scaled_next"], length)
     label = F.element_at("steps", -1)["scaled_next"]
     return windows.select(
         "series_id",
